@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, tokens, topk
+from . import decontaminate, mixing, tokens, topk, toxicity
 
-QUERIES = {"op4_decontamination": decontaminate.op4_decontamination, "op2_token_counts": tokens.op2_token_counts, "op6_topk": topk.op6_topk, "op8_mixing": mixing.op8_mixing}
+QUERIES = {"op1_toxicity": toxicity.op1_toxicity, "op4_decontamination": decontaminate.op4_decontamination, "op2_token_counts": tokens.op2_token_counts, "op6_topk": topk.op6_topk, "op8_mixing": mixing.op8_mixing}
 ORACLES = {"op4_decontamination": decontaminate.ORACLE, "op6_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE}
