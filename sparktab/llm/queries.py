@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, linededup, mixing, neardup, substrings, tokens, topk, toxicity
+from . import chat, decontaminate, licenses, linededup, mixing, neardup, substrings, tokens, topk, toxicity
 
-QUERIES = {"op5_chat": chat.op5_chat, "op10_linededup": linededup.op10_linededup, "op3_substrings": substrings.op3_substrings, "op7_neardup": neardup.op7_neardup, "op1_toxicity": toxicity.op1_toxicity, "op4_decontamination": decontaminate.op4_decontamination, "op2_token_counts": tokens.op2_token_counts, "op6_topk": topk.op6_topk, "op8_mixing": mixing.op8_mixing}
-ORACLES = {"op5_chat": chat.ORACLE, "op10_linededup": linededup.ORACLE, "op7_neardup": neardup.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op6_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE}
+QUERIES = {"op9_licenses": licenses.op9_licenses, "op5_chat": chat.op5_chat, "op10_linededup": linededup.op10_linededup, "op3_substrings": substrings.op3_substrings, "op7_neardup": neardup.op7_neardup, "op1_toxicity": toxicity.op1_toxicity, "op4_decontamination": decontaminate.op4_decontamination, "op2_token_counts": tokens.op2_token_counts, "op6_topk": topk.op6_topk, "op8_mixing": mixing.op8_mixing}
+ORACLES = {"op9_licenses": licenses.ORACLE, "op5_chat": chat.ORACLE, "op10_linededup": linededup.ORACLE, "op7_neardup": neardup.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op6_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE}
