@@ -55,7 +55,7 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     parts = None
     for n in lengths:
         some, name = minima(items.where(length == n), n, "_")
-        some = some.select("item", "words", F.posexplode(name).alias("at", "minimum"))
+        some = some.select("item", "words", F.posexplode_outer(name).alias("at", "minimum"))  # outer: no filter on the array is inferred and pushed down
         some = some.select("item", "minimum", F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.lit(n))).alias("window"))
         parts = some if parts is None else parts.unionByName(some)
     if parts is None:
@@ -84,7 +84,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     none = F.array(F.lit(None).cast("long"))
     own = F.concat(none, *[F.array_distinct(c) for c in names])
     # the null of each row stands for the row itself, so one pass also counts words and rows
-    found = df.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.explode(own).alias("minimum"))
+    found = df.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.explode_outer(own).alias("minimum"))
     shared = windows.select("minimum").distinct().withColumn("known", F.lit(True))
     found = found.join(_small(shared), "minimum", "left").where("minimum IS NULL OR known")
     base = found.groupBy("doc_id", "text_key").agg(F.first("n_words").alias("n_words"), F.count_if(F.col("minimum").isNull()).alias("copies"), F.collect_set("minimum").alias("hits"))
@@ -98,7 +98,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         at = F.filter(F.transform(name, lambda x, i: F.struct(i.alias("start"), x.alias("minimum"))), lambda x: F.array_contains("hits", x["minimum"]))
         spots.append(F.transform(at, lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("words"), F.concat_ws(" ", F.slice("words", x["start"] + 1, F.lit(n))).alias("window"))))  # noqa: B023
     empty = F.array().cast("array<struct<start:int,words:int,window:string>>")
-    near = near.select("doc_id", "text_key", F.explode(F.concat(empty, *spots)).alias("s")).select("doc_id", "text_key", "s.*")
+    near = near.select("doc_id", "text_key", F.explode_outer(F.concat(empty, *spots)).alias("s")).select("doc_id", "text_key", "s.*")
     sure = near.join(_small(windows.select("window", "set_id")), "window").groupBy("doc_id", "text_key")
     sure = materialise(sure.agg(F.collect_set(F.struct("start", "words")).alias("spans"), F.collect_set("set_id").alias("sets")))
     begin = F.struct(F.lit(0).alias("start"), F.lit(0).alias("words"))

@@ -37,6 +37,8 @@ from .suffixes import common_prefixes, packed, suffix_array
 LENGTH, GRAM = 50, 24
 #: Estimated input bytes of a shard, and bytes of text whose anchors are sought at a time.
 SHARD_BYTES, SLICE = 8_000_000, 1_000_000
+#: Content shards for each shard; their suffix arrays take about a hundred bytes a byte of text.
+BUCKETS = 12
 HOT_SHARDS = 1024
 _SPAN = LENGTH - GRAM + 1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -312,10 +314,10 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("int"))
 
     def offers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _offers(key, table, shards)
+        return _offers(key, table, BUCKETS * shards)
 
     def pieces(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        return _pieces(key, left, right, shards)
+        return _pieces(key, left, right, BUCKETS * shards)
 
     offered = dealt.groupBy("shard").applyInArrow(offers, "bucket int, shard int, hashes binary")
     shared = offered.groupBy("bucket").applyInArrow(_merged, "shard int, hashes binary")

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import documents, fresh, table, text_hash
 
@@ -351,5 +352,5 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
             scores = pa.array(model.scores([t or "" for t in batch.column(position).to_pylist()]), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, key])
 
-    schema = docs.schema.add(key, "double")
+    schema = StructType([*docs.schema.fields, StructField(key, DoubleType())])
     return docs.mapInArrow(run, schema).where(F.col(key) < 0.5).drop(key)
