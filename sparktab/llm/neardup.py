@@ -3,10 +3,12 @@
 A document's set is its distinct shingles of words; documents link if their sets' Jaccard similarity is THRESHOLD per cent
 or more. Documents of one set form a class, whose member of smallest doc_id stands for it. BANDS bands of ROWS minimum
 hashes each find candidates: at the threshold a pair shares no band with a chance below 3e-6, at any higher similarity
-with less. In a bucket every member is held against the smallest, so no bucket makes all its pairs; then members that these
-links left in another component than their bucket's smallest are held against every other member of other components. Each
-pair's odd sketches (the minimum hashes folded into a parity bitmap) must agree to MARGIN, far below the threshold, and
-links are confirmed on the whole sets. Components come from rounds of minimum labels over written tables.
+with less. No bucket makes all its pairs: each member is held against the smallest member of any of its buckets, then
+against the smallest of those buckets where that one lies in another component, and members that are still in another
+component than their bucket's smallest against every other member of other components. Before a pair is confirmed, its
+odd sketches (SAMPLES minimum hashes folded into a parity bitmap, whose differing bits count the differing samples) must
+put its similarity above MARGIN, five standard deviations below the threshold. Links are confirmed on the whole sets.
+Components come from rounds of minimum labels over written tables.
 
 Defined results: empty or null texts have no shingles and no links; rows that share a doc_id are one document with all their
 links; a row without doc_id has no links, no component and is kept; an empty table gives an empty result; other columns are
@@ -26,28 +28,27 @@ from pyspark.sql import functions as F
 from .common import documents, fresh, materialise
 from .shingles import mix, shingle_sets, slices
 
-THRESHOLD, BANDS, ROWS, SKETCH_BITS, MARGIN = 80, 42, 6, 1024, 0.6
+THRESHOLD, BANDS, ROWS, SAMPLES, SKETCH_BITS, MARGIN = 80, 42, 6, 756, 2048, 0.72
 WORDS_OP, WORDS_STAGE = 2, 5
-_K = BANDS * ROWS
 _RNG = np.random.default_rng(11)
-_A = (_RNG.integers(0, 2**32, _K, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_B = _RNG.integers(0, 2**32, _K, dtype=np.uint64).astype(np.uint32)
+_A = (_RNG.integers(0, 2**32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_B = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint64).astype(np.uint32)
 #: Bits in which sketches of two sets may differ: what MARGIN is expected to give.
-MOST_BITS = round(SKETCH_BITS / 2 * (1 - math.exp(-2 * 2 * _K * (1 - MARGIN) / SKETCH_BITS)))
+MOST_BITS = round(SKETCH_BITS / 2 * (1 - math.exp(-2 * 2 * SAMPLES * (1 - MARGIN) / SKETCH_BITS)))
 
 
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(_K, 2**32 - 1, np.uint32)
+    low = np.full(SAMPLES, 2**32 - 1, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(x), 1024):
-        np.minimum(low, (x[at : at + 1024, None] * _A + _B).min(0), out=low)
+    for at in range(0, len(x), 128):
+        np.minimum(low, (x[at : at + 128, None] * _A + _B).min(0), out=low)
     return low
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, from the band's number and its minimum hashes; low is (sets, _K)."""
+    """One 64-bit key per band, from the band's number and its minimum hashes; low is (sets, SAMPLES)."""
     keys = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(low), BANDS))
-    bands = low.reshape(len(low), BANDS, ROWS).astype(np.uint64)
+    bands = low[:, : BANDS * ROWS].reshape(len(low), BANDS, ROWS).astype(np.uint64)
     for j in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, j] + np.uint64(j + 1))
     return keys.view(np.int64)
@@ -55,7 +56,7 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 def odd_sketches(low: np.ndarray) -> np.ndarray:
     """(sets, SKETCH_BITS / 64) parity bitmaps of the samples (place, minimum hash)."""
-    places = mix((np.arange(_K, dtype=np.uint64) << np.uint64(32)) + low.astype(np.uint64)) % np.uint64(SKETCH_BITS)
+    places = mix((np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)) + low.astype(np.uint64)) % np.uint64(SKETCH_BITS)
     bits = np.zeros((len(low), SKETCH_BITS), np.uint8)
     np.add.at(bits, (np.arange(len(low))[:, None], places.astype(np.int64)), 1)
     return np.packbits(bits & 1, axis=1).view(np.int64)
@@ -165,22 +166,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS_OP) -> DataFrame:
         found = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * THRESHOLD)
         return found.where(_bits_apart("x", "y") <= MOST_BITS).select("a", "b").distinct()
 
-    links = materialise(confirm(materialise(close(buckets.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())), docs, words))
-    labels = materialise(components(links))
+    def join_up(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        known = links if labels is None else labels.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b")).union(links)
+        return materialise(components(known))
+
+    def placed(labels: DataFrame) -> DataFrame:
+        own, hub = labels.select(F.col("id").alias("doc_id"), F.col("component").alias("c")), labels.select(F.col("id").alias("hub"), F.col("component").alias("c_hub"))
+        return buckets.join(own, "doc_id", "left").join(hub, "hub", "left").select("key", "hub", "doc_id", F.coalesce("c", "doc_id").alias("c"), F.coalesce("c_hub", "hub").alias("c_hub"))
+
+    labels = join_up(None, confirm(materialise(close(buckets.groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("a")))), docs, words))
+    apart = placed(labels).where("c != c_hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    labels = join_up(labels, confirm(materialise(close(apart)), docs, words))
     # members outside the component of their bucket's smallest, against all others of their bucket in other components
-    own, hub = labels.select(F.col("id").alias("doc_id"), F.col("component").alias("c")), labels.select(F.col("id").alias("hub"), F.col("component").alias("c_hub"))
-    placed = buckets.join(own, "doc_id", "left").join(hub, "hub", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"), F.coalesce("c_hub", "hub").alias("c_hub"))
-    apart = materialise(placed.where("c != c_hub").select("key", F.col("doc_id").alias("a"), F.col("c").alias("c_a")))
+    every = placed(labels)
+    apart = materialise(every.where("c != c_hub").select("key", F.col("doc_id").alias("a"), F.col("c").alias("c_a")))
     if not apart.isEmpty():
-        some = placed.select("key", F.col("doc_id").alias("b"), F.col("c").alias("c_b")).join(apart.select("key").distinct(), "key", "left_semi")
+        some = every.select("key", F.col("doc_id").alias("b"), F.col("c").alias("c_b")).join(apart.select("key").distinct(), "key", "left_semi")
         x = sketched.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
         y = sketched.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
         alike = (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * THRESHOLD) & (_bits_apart("x", "y") <= MOST_BITS)
         left, right = apart.join(x, "a"), some.join(y, "b")
         more = left.join(right, (left["key"] == right["key"]) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialise(confirm(materialise(more), docs, words))
-        if not more.isEmpty():
-            labels = components(links.union(more))
+        labels = join_up(labels, confirm(materialise(more), docs, words))
     found = signed.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
     # a doc_id of several texts is one document: it joins its classes
     split = full.select("doc_id", "s1", "s2", "n_shingles").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
