@@ -75,11 +75,11 @@ def target_encoding(df: DataFrame, column: str, target: str, fold: str, smoothin
     mu_f is the mean over all other folds. Two groupings of (value, fold) make it; no row meets its own fold's targets.
     """
     cell = df.groupBy(q(column).alias("_v"), q(fold).alias("_f")).agg(F.sum(q(target)).alias("s"), F.count(q(target)).alias("n"))
-    per_value = cell.groupBy("_v").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    per_value = cell.groupBy(F.col("_v").alias("_w")).agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
     per_fold = cell.groupBy("_f").agg(F.sum("s").alias("fs"), F.sum("n").alias("fn"))
     every = cell.agg(F.sum("s").alias("as"), F.sum("n").alias("an"))
     prior = per_fold.crossJoin(every).select(F.col("_f").alias("_g"), F.try_divide((F.col("as") - F.coalesce("fs", F.lit(0))).cast("double"), F.col("an") - F.col("fn")).alias("mu"))
-    both = cell.join(per_value, cell["_v"].eqNullSafe(per_value["_v"])).select(cell["_v"], "_f", "s", "n", "all_s", "all_n").join(F.broadcast(prior), F.col("_f").eqNullSafe(F.col("_g")))
+    both = cell.join(per_value, F.col("_v").eqNullSafe(F.col("_w"))).select("_v", "_f", "s", "n", "all_s", "all_n").join(F.broadcast(prior), F.col("_f").eqNullSafe(F.col("_g")))
     s, n = F.col("all_s") - F.coalesce("s", F.lit(0)), F.col("all_n") - F.col("n")
     codes = both.select("_v", "_f", ((F.coalesce(s, F.lit(0)) + F.lit(smoothing) * F.col("mu")) / (n + F.lit(smoothing))).alias(out))
     return df.join(codes, q(column).eqNullSafe(F.col("_v")) & q(fold).eqNullSafe(F.col("_f"))).drop("_v", "_f")
