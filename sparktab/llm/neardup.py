@@ -7,7 +7,8 @@ with less. No bucket makes all its pairs: each member is held against the smalle
 against the smallest of those buckets where that one lies in another component, and members that are still in another
 component than their bucket's smallest against every other member of other components. Before a pair is confirmed, its
 odd sketches (SAMPLES minimum hashes folded into a parity bitmap, whose differing bits count the differing samples) must
-put its similarity above MARGIN, five standard deviations below the threshold. Links are confirmed on the whole sets.
+put its similarity above MARGIN, five standard deviations below the threshold; for the last kind of pairs also larger
+sketches, above FINE_MARGIN, at the same distance. Links are confirmed on the whole sets.
 Components come from rounds of minimum labels over written tables.
 
 Defined results: empty or null texts have no shingles and no links; rows that share a doc_id are one document with all their
@@ -29,19 +30,23 @@ from .common import documents, fresh, materialise
 from .shingles import mix, shingle_sets, slices
 
 THRESHOLD, BANDS, ROWS, SAMPLES, SKETCH_BITS, MARGIN = 80, 42, 6, 756, 2048, 0.72
+#: Of the sketches for members that stay apart from their bucket's smallest: closer to the threshold at the same chance of loss.
+FINE_SAMPLES, FINE_BITS, FINE_MARGIN = 4096, 8192, 0.765
 WORDS_OP, WORDS_STAGE = 2, 5
 _RNG = np.random.default_rng(11)
-_A = (_RNG.integers(0, 2**32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_B = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint64).astype(np.uint32)
-#: Bits in which sketches of two sets may differ: what MARGIN is expected to give.
-MOST_BITS = round(SKETCH_BITS / 2 * (1 - math.exp(-2 * 2 * SAMPLES * (1 - MARGIN) / SKETCH_BITS)))
+_A, _B = (_RNG.integers(0, 2**32, (2, FINE_SAMPLES), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
-def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(SAMPLES, 2**32 - 1, np.uint32)
+def most_bits(samples: int, bits: int, margin: float) -> int:
+    """Bits in which sketches may differ: what sets of the margin's similarity are expected to give."""
+    return round(bits / 2 * (1 - math.exp(-2 * 2 * samples * (1 - margin) / bits)))
+
+
+def min_hashes(shingles: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    low = np.full(samples, 2**32 - 1, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(x), 128):
-        np.minimum(low, (x[at : at + 128, None] * _A + _B).min(0), out=low)
+        np.minimum(low, (x[at : at + 128, None] * _A[:samples] + _B[:samples]).min(0), out=low)
     return low
 
 
@@ -54,14 +59,18 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def odd_sketches(low: np.ndarray) -> np.ndarray:
-    """(sets, SKETCH_BITS / 64) parity bitmaps of the samples (place, minimum hash)."""
-    places = mix((np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)) + low.astype(np.uint64)) % np.uint64(SKETCH_BITS)
-    bits = np.zeros((len(low), SKETCH_BITS), np.uint8)
+def odd_sketches(low: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
+    """(sets, size / 64) parity bitmaps of the samples (place, minimum hash)."""
+    places = mix((np.arange(low.shape[1], dtype=np.uint64) << np.uint64(32)) + low.astype(np.uint64)) % np.uint64(size)
+    bits = np.zeros((len(low), size), np.uint8)
     np.add.at(bits, (np.arange(len(low))[:, None], places.astype(np.int64)), 1)
     return np.packbits(bits & 1, axis=1).view(np.int64)
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel()))
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, s1, s2 (digest of the set), keys, sketch per row of docs(doc_id, text)."""
 
@@ -78,9 +87,8 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 if some.any():
                     keys[some], sketch[some] = band_keys(low[some]), odd_sketches(low[some])
                 digest = np.array([(np.add.reduce(mix(s)), np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-                lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(sets)), pa.array(full), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists(keys), lists(sketch)],
+                    [batch.column("doc_id").slice(at, len(sets)), pa.array(full), pa.array(digest[:, 0]), pa.array(digest[:, 1]), _lists(keys), _lists(sketch)],
                     ["doc_id", "n_shingles", "s1", "s2", "keys", "sketch"],
                 )
                 at += len(sets)
@@ -104,6 +112,21 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, shingles binary")
 
 
+def fine_sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, fine: the larger sketch of each of docs(doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column("text").to_pylist()):
+                low = np.array([min_hashes(s, FINE_SAMPLES) for s in shingle_sets(texts, words)], np.uint32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(low)), _lists(odd_sketches(low, FINE_BITS))], ["doc_id", "fine"])
+                at += len(low)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, fine array<long>")
+
+
 def _bits_apart(a: str, b: str):
     total = F.lit(0)
     for i in range(SKETCH_BITS // 64):
@@ -111,6 +134,10 @@ def _bits_apart(a: str, b: str):
     return total
 
 
+def _fine_bits_apart(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole sets reach THRESHOLD."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -164,7 +191,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS_OP) -> DataFrame:
         a = sketched.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
         b = sketched.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
         found = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * THRESHOLD)
-        return found.where(_bits_apart("x", "y") <= MOST_BITS).select("a", "b").distinct()
+        return found.where(_bits_apart("x", "y") <= most_bits(SAMPLES, SKETCH_BITS, MARGIN)).select("a", "b").distinct()
 
     def join_up(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         known = links if labels is None else labels.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b")).union(links)
@@ -181,11 +208,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS_OP) -> DataFrame:
     every = placed(labels)
     apart = materialise(every.where("c != c_hub").select("key", F.col("doc_id").alias("a"), F.col("c").alias("c_a")))
     if not apart.isEmpty():
-        some = every.select("key", F.col("doc_id").alias("b"), F.col("c").alias("c_b")).join(apart.select("key").distinct(), "key", "left_semi")
-        x = sketched.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
-        y = sketched.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
-        alike = (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * THRESHOLD) & (_bits_apart("x", "y") <= MOST_BITS)
-        left, right = apart.join(x, "a"), some.join(y, "b")
+        some = materialise(every.join(apart.select("key").distinct(), "key", "left_semi").select("key", F.col("doc_id").alias("b"), F.col("c").alias("c_b")))
+        involved = apart.select(F.col("a").alias("id")).union(some.select("b")).distinct()
+        fine = materialise(fine_sketches(docs.join(involved, docs["doc_id"] == involved["id"], "left_semi"), words)).dropDuplicates(["doc_id"])
+        known = sketched.join(fine, "doc_id")
+        left = apart.join(known.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"), F.col("fine").alias("fx")), "a")
+        right = some.join(known.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"), F.col("fine").alias("fy")), "b")
+        alike = (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * THRESHOLD) & (_bits_apart("x", "y") <= most_bits(SAMPLES, SKETCH_BITS, MARGIN))
+        alike &= _fine_bits_apart("fx", "fy") <= most_bits(FINE_SAMPLES, FINE_BITS, FINE_MARGIN)
         more = left.join(right, (left["key"] == right["key"]) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         labels = join_up(labels, confirm(materialise(more), docs, words))
     found = signed.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
