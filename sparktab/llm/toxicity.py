@@ -24,7 +24,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,7 +37,8 @@ from .common import documents, fresh, table, text_hash
 
 TRAIN_ROWS, TRAIN_BYTES, LANDMARKS = 4000, 200_000, 64
 SPAN, DECAY, LEAST, SURE, CHANCE, FOLDS = 6, 0.6, 0.5, 0.8, 0.999, 5
-PIECE, CACHE = 24, 300_000
+#: Letters of a piece of a long word, words that a Python worker keeps, characters read at a time.
+PIECE, CACHE, SLICE_CHARS = 24, 300_000, 500_000
 #: Signs written for letters.
 LETTER_SIGNS = str.maketrans("0134578@$", "oieastbas")
 _SPACED = re.compile(r"(?:(?<=\s)|^)\S(?:[ \t]\S){2,}(?=\s|$)")
@@ -147,20 +148,30 @@ class Kernel:
         own = np.array([len(m) for m in self.landmarks])
         return (n <= own + 1) & (n >= own - 2)
 
-    def of_texts(self, texts: Iterable[str]) -> np.ndarray:
+    def of_texts(self, texts: list[str]) -> np.ndarray:
         """(texts, landmarks): the largest kernel of each text's words."""
-        rows = []
-        for text in texts:
-            words = tokens(text)
-            if new := [w for w in words if w not in self.known]:
-                if len(self.known) + len(new) > CACHE:
-                    self.known.clear()
-                    new = list(words)
-                self.learn(new)
-            hits = [v for v in map(self.known.__getitem__, words) if v is not None]
-            rows.append(np.max(hits, 0) if hits else np.zeros(len(self.landmarks), np.float32))
+        rows: list[np.ndarray] = []
+        held: list[set[str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            held.append(tokens(text))
+            size += len(text)
+            if size >= SLICE_CHARS or i == len(texts) - 1:
+                rows += self._of_words(held)
+                held, size = [], 0
         return np.array(rows, np.float64).reshape(len(rows), len(self.landmarks))
 
+    def _of_words(self, held: list[set[str]]) -> list[np.ndarray]:
+        every = set().union(*held)
+        if new := [w for w in every if w not in self.known]:
+            if len(self.known) + len(new) > CACHE:
+                self.known.clear()
+                new = list(every)
+            self.learn(new)
+        none = np.zeros(len(self.landmarks), np.float32)
+        hits = [[v for v in map(self.known.__getitem__, words) if v is not None] for words in held]
+        return [np.max(h, 0) if h else none for h in hits]
+
 
 def grams(word: str) -> set[str]:
     word = _START + word
