@@ -101,7 +101,7 @@ class Vocabulary:
             lengths = lengths - lost
             ends = np.cumsum(lengths)
             edge = np.zeros(len(symbols) + 1, bool)
-            edge[ends] = True  # edge[i]: i starts a sequence, or is one past the last
+            edge[0] = edge[ends] = True  # edge[i]: i starts a sequence, or is one past the last
             for at in (new, new[~edge[new]] - 1):
                 inner = ~edge[at + 1]
                 ranks[at[~inner]] = _NONE
