@@ -224,3 +224,19 @@ def maturity_vintages(spark, d):
 def ablation_delta(spark, d):
     e = table(spark, d, "events")
     return rounded(M.ablation_delta(e, e.withColumn("value", F.col("value") * 0.9), "event_id", "value"))
+
+
+@R.add("""
+WITH r AS (SELECT event_id AS k, user_id AS g, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y, value AS v FROM events), n AS (SELECT g, y, ROW_NUMBER() OVER (PARTITION BY g ORDER BY k) AS i FROM r),
+d AS (SELECT g, v, b, ROW_NUMBER() OVER (PARTITION BY g, b ORDER BY md5('7|' || b || '|' || k), k) AS i FROM r, (SELECT UNNEST(range(1, 11)) AS b)),
+s AS (SELECT b, AVG(v) FILTER (WHERE y = 1) - AVG(v) FILTER (WHERE y = 0) AS d FROM d JOIN n USING (g, i) GROUP BY b), x AS (SELECT COUNT(*) AS n, AVG(v) FILTER (WHERE y = 1) - AVG(v) FILTER (WHERE y = 0) AS difference FROM r)
+SELECT n, ROUND(difference, 6) AS difference, ROUND((1 + COUNT(*) FILTER (WHERE abs(d) >= abs(difference))) / 11.0, 6) AS p_value FROM s, x GROUP BY ALL
+""")
+def permutation_test(spark, d):
+    t = table(spark, d, "events").withColumn("y", (F.col("event_type") == "error").cast("int"))
+    return rounded(M.permutation_test(t, "event_id", "user_id", "y", "value", 10))
+
+
+@R.add("SELECT COUNT(*) AS n, ROUND(quantile_cont(value, 0.5), 6) AS median, ROUND(quantile_cont(value, 0.95), 6) AS p95 FROM events")
+def latency_summary(spark, d):
+    return rounded(M.latency_summary(table(spark, d, "events"), "value"))

@@ -301,3 +301,26 @@ def group_structure(spark, d):
 @R.add("SELECT quality AS a, COUNT(*) AS n FROM labels GROUP BY 1")
 def class_support(spark, d):
     return table(spark, d, "labels").groupBy(F.col("quality").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add("""
+SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 3))), ',') AS tokens FROM benchmark
+""")
+def tokenise(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(C.tokenise(F.col("text")), ",").alias("tokens"))
+
+
+@R.add("SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys, CASE WHEN event_id % 4 = 0 THEN TRUE ELSE FALSE END AS zoned FROM events")
+def json_keys(spark, d):
+    time = F.when(F.col("event_id") % 4 == 0, F.lit("2026-01-02T03:04:05+08:00")).when(F.col("event_id") % 4 == 1, F.lit("2026-13-02T03:04:05Z")).otherwise(F.col("ts").cast("string"))
+    return table(spark, d, "events").select("event_id", F.array_join(C.json_keys(F.col("props")), ",").alias("keys"), C.is_zoned_time(time).alias("zoned"))
+
+
+@R.add("""
+SELECT event_id, array_to_string(list_transform(regexp_extract_all(props, '([-+]?\\d+(?:\\.\\d+)?(?:[eE][-+]?\\d+)?)'), lambda x: CAST(CAST(CAST(x AS DOUBLE) AS BIGINT) AS VARCHAR)), ',') AS numbers,
+  CASE WHEN length(props || props || props) <= 12 THEN props || props || props ELSE left(props || props || props, 5) || '…' || right(props || props || props, 6) END AS short FROM events
+""")
+def numbers_in_text(spark, d):
+    wide = F.concat("props", "props", "props")
+    ints = F.transform(C.numbers_in(F.col("props")), lambda x: x.cast("long").cast("string"))
+    return table(spark, d, "events").select("event_id", F.array_join(ints, ",").alias("numbers"), C.truncate_middle(wide, 12).alias("short"))

@@ -91,3 +91,31 @@ def row_digest(columns: list[str]) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def tokenise(c: Column, least: int = 3) -> Column:
+    """Distinct runs of a-z and 0-9 of the lower-cased text, least characters or more, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) >= least)))
+
+
+def is_zoned_time(c: Column) -> Column:
+    """Whether text is an ISO 8601 time with a zone that exists in the calendar."""
+    shaped = c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$")
+    return F.coalesce(shaped & F.try_to_timestamp(c).isNotNull(), F.lit(False))
+
+
+def numbers_in(c: Column) -> Column:
+    """The numbers written in a text (signs, decimals, exponents; per cent as hundredths), as doubles."""
+    found = F.regexp_extract_all(c, F.lit(r"([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?%?)"), F.lit(1))
+    return F.transform(found, lambda x: F.when(x.endswith("%"), F.rtrim(x, F.lit("%")).try_cast("double") / 100).otherwise(x.try_cast("double")))
+
+
+def json_keys(c: Column) -> Column:
+    """The top-level keys of a JSON object, sorted."""
+    return F.array_sort(F.json_object_keys(c))
+
+
+def truncate_middle(c: Column, most: int) -> Column:
+    """Text of at most so many characters, the middle left out."""
+    head = (most - 1) // 2
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, head), F.lit("…"), F.right(c, F.lit(most - 1 - head))))

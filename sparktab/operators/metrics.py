@@ -201,3 +201,26 @@ def ablation_delta(reference: DataFrame, ablated: DataFrame, key: str, score: st
     """n_paired, delta: ablated less reference over the same row ids."""
     a, b = reference.select(q(key).alias("k"), q(score).alias("x")), ablated.select(q(key).alias("k"), q(score).alias("y"))
     return a.join(b, "k").agg(F.count(F.lit(1)).alias("n_paired"), (F.avg("y") - F.avg("x")).alias("delta"))
+
+
+def permutation_test(df: DataFrame, key: str, block: str, label: str, value: str, permutations: int = 20, seed: int = 7) -> DataFrame:
+    """n, difference, p_value: mean of label 1 less that of 0 against labels shuffled within blocks, with the +1 correction.
+
+    In permutation b the labels of a block, in order of the key, go to its rows in order of md5(seed|b|key).
+    """
+    rows = df.select(q(key).alias("k"), q(block).alias("g"), (q(label) == 1).cast("int").alias("y"), q(value).cast("double").alias("v"))
+    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+    each = rows.select("g", "k", "v", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("b"))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("k").cast("string")).cast("binary"))
+    dealt = each.withColumn("i", F.row_number().over(Window.partitionBy("g", "b").orderBy(order, "k")))
+    shuffled = dealt.join(numbered.select("g", "i", "y"), ["g", "i"])
+    gap = F.avg(F.when(F.col("y") == 1, F.col("v"))) - F.avg(F.when(F.col("y") == 0, F.col("v")))
+    real = rows.agg(F.count(F.lit(1)).alias("n"), gap.alias("difference"))
+    drawn = shuffled.groupBy("b").agg(gap.alias("d"))
+    both = drawn.crossJoin(F.broadcast(real))
+    return both.groupBy("n", "difference").agg(((1 + F.count_if(F.abs("d") >= F.abs("difference"))) / F.lit(permutations + 1)).alias("p_value"))
+
+
+def latency_summary(df: DataFrame, value: str) -> DataFrame:
+    """n, median, p95 of a measure, exact."""
+    return df.agg(F.count(q(value)).alias("n"), F.percentile(q(value), F.lit(0.5)).alias("median"), F.percentile(q(value), F.lit(0.95)).alias("p95"))
