@@ -212,11 +212,18 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS)
     bad = np.flatnonzero(toxic)
     group = np.arange(len(texts))
     group[bad] = bad[copies([plain[i] for i in bad])]
-    held_by: dict[str, set[int]] = {}
+    words_of: dict[int, set[str]] = {}
     for i in bad:
-        for gram in set().union(*map(grams, plain[i])):
-            held_by.setdefault(gram, set()).add(int(group[i]))
-    counts = {g: len(h) for g, h in held_by.items() if len(h) >= enough}
+        words_of.setdefault(int(group[i]), set()).update(plain[i])
+    # counts by hash first: pieces that too few texts hold never get an entry
+    slots = np.zeros(1 << 22, np.int32)
+    for words in words_of.values():
+        codes = np.fromiter((zlib.crc32(g.encode()) for w in words for g in grams(w)), np.int64)
+        slots[np.unique(codes & (len(slots) - 1))] += 1
+    counts: Counter[str] = Counter()
+    for words in words_of.values():
+        counts.update({g for w in words for g in grams(w) if slots[zlib.crc32(g.encode()) & (len(slots) - 1)] >= enough})
+    counts = Counter({g: n for g, n in counts.items() if n >= enough})
     limit = {g: 0.05 * n * (1 - share) / share for g, n in counts.items()}
     clean: Counter[str] = Counter()
     for word, n in Counter(w for i in np.flatnonzero(~toxic) for w in plain[i]).most_common():
