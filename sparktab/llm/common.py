@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
+import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = _local_dir()
     if spark.sparkContext.getCheckpointDir() is None:
@@ -74,8 +77,9 @@ def materialise(df: DataFrame) -> DataFrame:
 def _drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is not None and spark.sparkContext._jsc is not None:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        with contextlib.suppress(OSError, Py4JError):  # the session may have gone first
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ascii_lower(text: Column) -> Column:
