@@ -28,6 +28,8 @@ from .common import SPACED_WORD, documents, fresh, materialise
 LEAST_BITS, BLOCK_TOKENS, MAX_PASSES, ROWS_PER_BUCKET = 16, 4096, 3, 20_000
 #: Slots made by one task's row at a time.
 _CHUNK = 4096
+#: Tasks that make slots, at most.
+MOST_PARTS = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -63,7 +65,7 @@ def targets(sized: DataFrame) -> DataFrame:
 def _slots(spread: DataFrame, bits: int) -> DataFrame:
     """(source, slot, rank): every slot of the schedule with its rank among its source's slots."""
     chunked = spread.where("hi > lo").select("source", "lo", "hi", F.explode(F.expr(f"sequence(lo, hi - 1, {_CHUNK}L)")).alias("at"))
-    chunked = chunked.repartition(F.col("source"), F.col("at"))
+    chunked = chunked.repartition(max(1, min(MOST_PARTS, (1 << bits) // _CHUNK)), F.col("source"), F.col("at"))
     points = chunked.select("source", "lo", "hi", F.explode(F.expr(f"sequence(at, least(at + {_CHUNK - 1}L, hi - 1))")).alias("j"))
     swap = F.col("j")
     for mask, by in ((0x5555555555555555, 1), (0x3333333333333333, 2), (0x0F0F0F0F0F0F0F0F, 4), (0x00FF00FF00FF00FF, 8), (0x0000FFFF0000FFFF, 16)):
@@ -71,9 +73,11 @@ def _slots(spread: DataFrame, bits: int) -> DataFrame:
     swap = F.shiftrightunsigned(swap, 32).bitwiseOR(F.shiftleft(swap, 32))
     points = points.withColumn("slot", F.shiftrightunsigned(swap, 64 - bits))
     # slots before this one that share its bits above b and have bit b clear: their points are one residue class
-    rank = F.expr(f"""aggregate(sequence(0, {bits - 1}), 0L, (n, b) -> n + if((shiftright(slot, b) & 1L) = 0L, 0L,
-        floor((hi - 1 - (j & (shiftleft(1L, {bits - 1} - b) - 1))) / shiftleft(1L, {bits} - b))
-        - floor((lo - 1 - (j & (shiftleft(1L, {bits - 1} - b) - 1))) / shiftleft(1L, {bits} - b))))""")
+    terms = []
+    for b in range(bits):
+        residue, by = f"(j & {(1 << (bits - 1 - b)) - 1}L)", bits - b
+        terms.append(f"((shiftright(slot, {b}) & 1L) * (shiftright(hi - 1L - {residue}, {by}) - shiftright(lo - 1L - {residue}, {by})))")
+    rank = F.expr(" + ".join(terms))
     return points.select("source", "slot", rank.cast("long").alias("rank"))
 
 
