@@ -36,9 +36,9 @@ from .suffixes import common_prefixes, packed, suffix_array
 
 LENGTH, GRAM = 50, 24
 #: Estimated input bytes of a shard, and bytes of text whose anchors are sought at a time.
-SHARD_BYTES, SLICE = 8_000_000, 1_000_000
+SHARD_BYTES, SLICE = 5_000_000, 300_000
 #: Content shards for each shard; their suffix arrays take about a hundred bytes a byte of text.
-BUCKETS = 12
+BUCKETS = 8
 HOT_SHARDS = 1024
 _SPAN = LENGTH - GRAM + 1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -110,9 +110,33 @@ def _texts(table: pa.Table) -> list[bytes]:
     return [t or b"" for t in table.column("text").to_pylist()]
 
 
-def _by_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """The range of hashes that each lies in; ascends with the hash."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The range of keys that each lies in; ascends with the key."""
+    return ((keys >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    """The upper 48 bits, enough to pair anchors: a chance pair costs a comparison, no wrong removal."""
+    return hashes >> np.uint64(16)
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers as compressed differences, bytes of one weight together; random or sorted, it halves the shuffle."""
+    steps = np.diff(numbers.astype(np.int64), prepend=np.int64(0))
+    return _squeeze(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(packet: bytes) -> np.ndarray:
+    raw = np.frombuffer(_unsqueeze(packet), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel())
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(packet: bytes) -> bytes:
+    return pa.decompress(packet[8:], decompressed_size=int.from_bytes(packet[:8]), codec="zstd", asbytes=True)
 
 
 def _packets(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,34 +157,34 @@ def _offers(key: tuple[pa.Scalar, ...], table: pa.Table, buckets: int) -> pa.Tab
         found.append((h[keep], ids[at + text[keep]]))
     h = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
     doc = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-    h = h & ~np.uint64(1)
-    order = np.argsort(h, kind="stable")
+    h = _keys(h)
+    order = np.argsort(h)
     h, doc = h[order], doc[order]
     starts, _ = _packets(h)
     if len(starts):
         several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-        h = h[starts] | several.astype(np.uint64)
-    bucket = _by_bucket(h, buckets)
+        h = h[starts] << np.uint64(1) | several.astype(np.uint64)
+    bucket = _by_bucket(h >> np.uint64(1), buckets)
     starts, ends = _packets(bucket)
-    return pa.table({"bucket": pa.array(bucket[starts], pa.int32()), "shard": pa.array(np.full(len(starts), key[0].as_py()), pa.int32()), "hashes": pa.array([h[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())})
+    return pa.table({"bucket": pa.array(bucket[starts], pa.int32()), "shard": pa.array(np.full(len(starts), key[0].as_py()), pa.int32()), "hashes": pa.array([_pack(h[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary())})
 
 
 def _merged(table: pa.Table) -> pa.Table:
     """Step 2: (shard, hashes): of each shard's anchors those that another document holds; the lowest bit says: in many shards."""
-    lists = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    lists = [_unpack(x) for x in table.column("hashes").to_pylist()]
     every = np.sort(np.concatenate(lists))
-    plain = every & ~np.uint64(1)
+    plain = every >> 1
     starts, ends = _packets(plain)
     count = ends - starts
-    shared = (count > 1) | (np.maximum.reduceat(every & np.uint64(1), starts) > 0)
+    shared = (count > 1) | (np.maximum.reduceat(every & 1, starts) > 0)
     known = plain[starts][shared]
-    hot = (count[shared] > HOT_SHARDS).astype(np.uint64)
+    hot = (count[shared] > HOT_SHARDS).astype(np.int64)
     out = []
     for own in lists:
-        own = own & ~np.uint64(1)
+        own = own >> 1
         at = np.searchsorted(known, own)  # binary search of the shard's list in the merged one
         hit = (at < len(known)) & (known[np.minimum(at, max(len(known) - 1, 0))] == own) if len(known) else np.zeros(len(own), bool)
-        out.append((own[hit] | hot[at[hit]]).tobytes())
+        out.append(_pack(own[hit] << 1 | hot[at[hit]]) if hit.any() else b"")
     return pa.table({"shard": table.column("shard"), "hashes": pa.array(out, pa.binary())}).filter(pa.array([bool(x) for x in out], pa.bool_()))
 
 
@@ -170,8 +194,8 @@ _PIECES = "bucket int, shard int, text binary, sizes binary, holders binary"
 def _pieces(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
     """Step 3: (bucket, shard, text, sizes, holders): distinct pieces of the shard, and (piece, doc_id, row, start) of each."""
     docs = _in_order(docs)
-    known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in shared.column("hashes").to_pylist())]))
-    plain = known & ~np.uint64(1)
+    known = np.sort(np.concatenate([np.zeros(0, np.int64), *map(_unpack, shared.column("hashes").to_pylist())])).astype(np.uint64)
+    plain = known >> np.uint64(1)
     texts, ids = _texts(docs), docs.column("doc_id").fill_null(-(2**63)).to_numpy()
     sound = docs.column("doc_id").is_valid().to_numpy()
     seen: dict[bytes, int] = {}
@@ -179,7 +203,7 @@ def _pieces(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Table, bucket
     holders: list[tuple[int, int, int, int]] = []
     for at, held in _sliced(texts) if len(known) else ():
         h, text, first, last = anchors(held)
-        h = h & ~np.uint64(1)
+        h = _keys(h)
         spot = np.minimum(np.searchsorted(plain, h), len(plain) - 1)
         hit = (plain[spot] == h) & sound[at + text]
         spot, h, text, first, last = spot[hit], h[hit], text[hit], first[hit], last[hit]
@@ -207,7 +231,7 @@ def _pieces(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Table, bucket
         place[some] = np.arange(len(some))
         part = held_[c:d].copy()
         part[:, 0] = place[part[:, 0]]
-        rows.append((int(own[some[0]]), key[0].as_py(), b"".join(texts_[i] for i in some), sizes[some].tobytes(), part.tobytes()))
+        rows.append((int(own[some[0]]), key[0].as_py(), _squeeze(b"".join(texts_[i] for i in some)), _pack(sizes[some]), _pack(part.T.ravel())))
     return pa.table({n: pa.array(c, k) for (n, k), c in zip((("bucket", pa.int32()), ("shard", pa.int32()), ("text", pa.binary()), ("sizes", pa.binary()), ("holders", pa.binary())), zip(*rows, strict=True), strict=True)})
 
 
@@ -244,14 +268,14 @@ def repeated(texts: list[bytes], sizes: list[np.ndarray], least: list[np.ndarray
 
 def _removals(table: pa.Table) -> pa.Table:
     """Step 4: (shard, spans): (row, start, end) of bytes to remove, as the windows of one content shard tell."""
-    sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("sizes").to_pylist()]
-    holders = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in table.column("holders").to_pylist()]
+    sizes = [_unpack(x) for x in table.column("sizes").to_pylist()]
+    holders = [np.ascontiguousarray(_unpack(x).reshape(4, -1).T) for x in table.column("holders").to_pylist()]
     least = []
     for own, held in zip(sizes, holders, strict=True):
         low = np.full(len(own), 2**63 - 1, np.int64)
         np.minimum.at(low, held[:, 0], held[:, 1])
         least.append(low)
-    which, lows = repeated(table.column("text").to_pylist(), sizes, least)
+    which, lows = repeated([_unsqueeze(x) for x in table.column("text").to_pylist()], sizes, least)
     counts = np.array([len(x) for x in lows], np.int64)
     flat = np.concatenate(lows)
     begin = np.cumsum(counts) - counts
@@ -267,7 +291,7 @@ def _removals(table: pa.Table) -> pa.Table:
         cut = np.concatenate([[True], (each[1:] != each[:-1]) | (offset[1:] != offset[:-1] + 1)])[: len(each)]
         first = np.flatnonzero(cut)
         last = np.concatenate([first[1:], [len(each)]])[: len(first)] - 1
-        out.append(np.stack([row[first], start[first], start[last] + LENGTH], 1).astype(np.int64).tobytes() if len(each) else b"")
+        out.append(_pack(np.concatenate([row[first], start[first], start[last] + LENGTH])) if len(each) else b"")
     return pa.table({"shard": table.column("shard"), "spans": pa.array(out, pa.binary())}).filter(pa.array([bool(x) for x in out], pa.bool_()))
 
 
@@ -283,7 +307,7 @@ def _cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
     """Step 5: a shard's documents with what is left of them."""
     docs = _in_order(docs)
     texts = _texts(docs)
-    every = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 3) for x in spans.column("spans").to_pylist())])
+    every = np.concatenate([np.zeros((0, 3), np.int64), *(_unpack(x).reshape(3, -1).T for x in spans.column("spans").to_pylist())])
     every = every[np.argsort(every[:, 0], kind="stable")]
     ends = np.searchsorted(every[:, 0], np.arange(len(texts)), "right")
     begins = np.concatenate([[0], ends[:-1]])
