@@ -4,6 +4,12 @@ A line's hash is its md5; a rolling hash over each line's hash and the one befor
 is below BOUNDARY, so chunks shift with the lines they hold. Of the chunks of two lines or more that several places of the
 corpus hold, all but the first (least doc_id, then place) are removed, once their bytes are seen to equal the first's.
 
+A repeated passage that crosses chunk boundaries keeps what lies outside whole chunks. remove_passages, which op10_passages
+and the pipeline use, has no boundaries: a line goes if it and a neighbour are two consecutive lines that an earlier place of
+the corpus (least doc_id, then place) holds, so every run of two lines or more that an earlier place holds goes whole. Pairs
+of lines meet by hash, join to passages by the place they repeat, and each passage's bytes are compared with that place's.
+The first place of a line is never removed, as no pair there can have an earlier one.
+
 Chunks are grouped by hash with partial aggregation; a repeated chunk's text travels once per removed place, never to one
 task by group. Lines end at line feeds alone.
 
@@ -14,7 +20,7 @@ lines all go is empty; other columns are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, fresh, materialise, text_hash
@@ -69,15 +75,73 @@ def remove_chunks(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_key", "text", n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.size("gone").cast("long").alias("n_chunks"), kept.alias("kept"))
 
 
+def pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, s, hash: each line but the last with the line after it."""
+    df = docs.where("text IS NOT NULL").withColumn("lines", F.split("text", "\n")).where(F.size("lines") > 1)
+    hashes = F.transform(F.slice("lines", F.lit(1), F.size("lines") - 1), lambda x, i: F.xxhash64(x, F.get("lines", i + 1)))
+    return df.select("doc_id", "text_key", F.posexplode(hashes).alias("s", "hash"))
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, s, e, first_id, first_key, first_s: runs of lines s to e whose pairs an earlier place's run from first_s has."""
+    found = materialise(pairs(docs))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "s")
+    first = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+    again = found.join(first, "hash").where(place != F.col("first"))
+    again = again.select("doc_id", "text_key", "s", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"), (F.col("first.s") - F.col("s")).alias("shift")).distinct()
+    run = ["doc_id", "text_key", "first_id", "first_key", "shift"]
+    again = again.withColumn("run", F.col("s") - F.row_number().over(Window.partitionBy(*run).orderBy("s")))
+    again = again.groupBy(*run, "run").agg(F.min("s").alias("s"), (F.max("s") + 1).alias("e"))
+    return again.select("doc_id", "text_key", "s", "e", "first_id", "first_key", (F.col("s") + F.col("shift")).alias("first_s"))
+
+
+def remove_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text, n_lines, n_removed, kept (the text that is left) per row of docs(doc_id, text)."""
+    docs = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_key"))
+    again = materialise(passages(docs))
+    # both joins with the documents hash the same columns and read the same ones, so that one exchange of the texts serves both
+    d = docs.alias("d")
+    own = F.col("d.doc_id").eqNullSafe(F.col("r.id")) & (F.col("d.text_key") == F.col("r.key"))
+    length = (F.col("e") - F.col("s")).alias("length")
+    wanted = again.select(F.col("first_id").alias("id"), F.col("first_key").alias("key"), "first_s", length).distinct()
+    wanted = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("first_s", "length")).alias("spans"))
+    texts = d.join(wanted.alias("r"), own).select("d.doc_id", "d.text_key", F.split("d.text", "\n").alias("lines"), "r.spans").dropDuplicates(["doc_id", "text_key"])
+    texts = texts.select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"), "lines", F.explode("spans").alias("span"))
+    texts = texts.select("first_id", "first_key", "span.*", _joined("lines", F.col("span.first_s"), F.col("span.first_s") + F.col("span.length")).alias("first_text"))
+    a, t = again.withColumn("length", length).alias("a"), texts.alias("t")
+    same = F.col("a.first_id").eqNullSafe(F.col("t.first_id")) & (F.col("a.first_key") == F.col("t.first_key"))
+    same = same & (F.col("a.first_s") == F.col("t.first_s")) & (F.col("a.length") == F.col("t.length"))
+    lists = a.join(t, same).groupBy(F.col("a.doc_id").alias("id"), F.col("a.text_key").alias("key"))
+    lists = lists.agg(F.sort_array(F.collect_list(F.struct("a.s", "a.e", "t.first_text"))).alias("again"))
+    out = d.join(lists.alias("r"), own, "left").select("d.doc_id", "d.text_key", "d.text", "r.again").withColumn("lines", F.split("text", "\n"))
+    sure = F.filter("again", lambda x: _joined("lines", x["s"], x["e"]) == x["first_text"])
+    out = out.withColumn("gone", F.transform(F.coalesce(sure, F.array().cast("array<struct<s:int,e:int,first_text:string>>")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    # a passage ends before the next one ends, and shares its last line with it at most
+    begin = lambda k: F.when(k > 0, F.get("gone", k - 1)["e"] + 1).otherwise(F.lit(0))
+    end = lambda k: F.when(k < F.size("gone"), F.get("gone", k)["s"]).otherwise(F.size("lines"))
+    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("lines", begin(k) + 1, F.greatest(end(k) - begin(k), F.lit(0)))))
+    out = out.withColumn("left", F.when(F.size("gone") > 0, left))
+    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join("left", "\n"))
+    n_removed = F.when(F.size("gone") == 0, F.lit(0)).otherwise(F.size("lines") - F.size("left")).cast("long")
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long")
+    return out.select("doc_id", "text_key", "text", n_lines.alias("n_lines"), n_removed.alias("n_removed"), kept.alias("kept"))
+
+
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed (lines), n_chunks (removed), kept_sha256 (of the lines left) for every document."""
     out = remove_chunks(documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed (lines of repeated passages), kept_sha256 (of the lines left) for every document."""
+    out = remove_passages(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def linededup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their texts (and n_chars, if there is such a column) as line deduplication leaves them."""
-    cut = remove_chunks(docs.select("doc_id", "text")).where("n_removed > 0")
+    cut = remove_passages(docs.select("doc_id", "text")).where("n_removed > 0")
     id_, key, kept = fresh(docs, "_cut_id", "_cut_key", "_cut_text")
     cut = cut.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("kept").alias(kept)).dropDuplicates([id_, key])
     both = docs.join(cut, docs["doc_id"].eqNullSafe(cut[id_]) & (text_hash(docs["text"]) == cut[key]), "left")
@@ -99,3 +163,12 @@ f AS (SELECT doc_id, SUM(n) AS n_lines, SUM(CASE WHEN gone THEN n ELSE 0 END) AS
 SELECT d.doc_id, CAST(COALESCE(n_lines, 0) AS BIGINT) AS n_lines, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed,
   COALESCE(n_chunks, 0) AS n_chunks, sha256(COALESCE(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN f USING (doc_id)
 """
+
+ORACLE_PASSAGES = """
+WITH l AS (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, UNNEST(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+p AS (SELECT *, LEAD(line) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM l),
+r AS (SELECT *, after IS NOT NULL AND ROW_NUMBER() OVER (PARTITION BY line, after ORDER BY doc_id, i) > 1 AS again FROM p),
+g AS (SELECT *, again OR COALESCE(LAG(again) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS gone FROM r),
+f AS (SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (WHERE gone) AS n_removed, COALESCE(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_removed, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN f USING (doc_id)
+"""

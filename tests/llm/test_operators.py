@@ -412,3 +412,36 @@ def test_line_dedup(spark, empty):
     got = rows_of(linededup.remove_chunks(df), "doc_id", "n_lines", "n_removed", "kept")
     assert got == sorted(lines_by_brute_force(rows), key=lambda t: tuple((x is not None, str(type(x)), x) for x in t))
     assert linededup.remove_chunks(empty).count() == 0
+
+
+def passages_by_brute_force(rows):
+    """Every run of two lines or more that an earlier place holds, found by comparing all places."""
+    order = sorted((i is None, i if i is not None else 0, t) for i, t in rows if t is not None)
+    seen, gone = set(), {}
+    for doc in dict.fromkeys(order):
+        lines = doc[2].split("\n")
+        for s in range(len(lines) - 1):
+            if tuple(lines[s : s + 2]) in seen:
+                gone.setdefault(doc, set()).update([s, s + 1])
+            seen.add(tuple(lines[s : s + 2]))
+    out = []
+    for i, t in rows:
+        out_ = gone.get((i is None, i if i is not None else 0, t), set())
+        lines = t.split("\n") if t is not None else []
+        out.append((i, len(lines), len(out_), "\n".join(x for k, x in enumerate(lines) if k not in out_) if t is not None else None))
+    return out
+
+
+def test_planted_passages_go_whole(spark, empty):
+    rng = random.Random(12)
+    own = lambda n: [prose(rng, 6) + f" {rng.random()}" for _ in range(n)]
+    planted = {n: own(n) for n in (2, 3, 4, 7, 20)}
+    rows = [(0, "\n".join(x for p in planted.values() for x in [*p, *own(1)]))]
+    rows += [(i, "\n".join([*own(rng.randint(1, 4)), *planted[n], *own(rng.randint(1, 4))])) for i, n in enumerate([2, 3, 4, 7, 20] * 6, 1)]
+    rows += [(100, "\n".join(planted[20][:9] + planted[7][2:5])), (101, "\n".join(planted[20][3:12])), (102, rows[0][1]), (103, None), (104, ""), (105, "\n\n\n"), (106, "\n\n\n"), (107, planted[4][0]), (None, rows[1][1]), (108, "a\na\na"), (0, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lines": F.lit(1), "hash": F.lit(2)})
+    got = rows_of(linededup.remove_passages(df), "doc_id", "n_lines", "n_removed", "kept")
+    assert got == sorted(passages_by_brute_force(rows), key=lambda t: tuple((x is not None, str(type(x)), x) for x in t))
+    stage = {r["doc_id"]: r["text"] for r in linededup.linededup_stage(spark, df, "").collect()}
+    assert all(not set(planted[n]) & set(stage[i].split("\n")) for i, n in enumerate([2, 3, 4, 7, 20] * 6, 1))
+    assert linededup.remove_passages(empty).count() == 0
