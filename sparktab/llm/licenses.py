@@ -7,7 +7,10 @@ passed over. Of others the least of the shingles' hashes under each of BANDS see
 templates'. A window that holds LEAST of a template's shingles has similarity 1/12 at least with it, so it shares a band with
 a chance above 1 - 1e-6. Whether the window holds at least LEAST per cent of the template's shingles is then counted exactly.
 
-The templates are a fixed table of few rows, broadcast.
+scan() takes its templates as an argument, id to text; without one it seeks USUAL, the twelve short notices of TEMPLATES and
+those of license_texts.py, whose docstring says what they cover. op9_licenses seeks TEMPLATES alone, as its SQL does;
+op9_usual_licenses seeks USUAL. Templates are a table of few rows, broadcast. A window with too few of any template's
+shingles for LEAST per cent of the shortest is passed over.
 
 Defined results: null, empty and wordless texts have no licences; rows that share doc_id and text get one result each; an
 empty table gives an empty result; other columns are not looked at; texts are read whole.
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialise, text_hash
 from .decontaminate import words
+from .license_texts import MORE
 
 SHINGLE, BANDS, LEAST = 5, 160, 80
 #: Short notices of public licences.
@@ -37,6 +41,8 @@ TEMPLATES = {
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
+#: What scan() seeks by default.
+USUAL = TEMPLATES | MORE
 
 
 def _shingled(df: DataFrame, n: int, out: str) -> DataFrame:
@@ -50,9 +56,9 @@ def _prepared(df: DataFrame) -> DataFrame:
     return df.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).withColumn("n_words", F.size("w"))
 
 
-def templates(spark: SparkSession) -> DataFrame:
+def templates(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     """license, span (words of its windows), n (words of its shingles), shingles (distinct hashes)."""
-    rows = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in TEMPLATES.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in texts.items()])
     df = _prepared(spark.range(1).select(F.explode(rows).alias("t")).select("t.*"))
     parts = None
     for n in range(1, SHINGLE + 1):
@@ -71,9 +77,13 @@ def _bands(shingles: str):
     return F.array(*[F.struct(F.lit(b).alias("band"), least(b).alias("least")) for b in range(BANDS)])
 
 
+def _in(own: list[int]) -> str:
+    return "({})".format(", ".join(f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)" for x in own))
+
+
 def _windows(span: int, n: int, own: list[int]):
     """The windows of span words that hold one of own wholly, with their distinct shingles of n words."""
-    hits = F.filter(F.transform(f"s{n}", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda t: t["x"].isin(own))
+    hits = F.expr(f"filter(hit{n}, t -> t.x IN {_in(own)})")
     half = span // 2
     last = F.transform(hits, lambda t: F.floor(t["i"] / F.lit(half)).cast("int"))
     first = F.transform(hits, lambda t: F.greatest(F.ceil((t["i"] + F.lit(n - span)) / F.lit(half)), F.lit(0)).cast("int"))
@@ -81,24 +91,34 @@ def _windows(span: int, n: int, own: list[int]):
     return F.transform(F.array_distinct(F.concat(last, first)), lambda k: F.struct(F.lit(span).alias("span"), F.lit(n).alias("n"), (k * F.lit(half)).alias("start"), inside(k).alias("shingles")))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, copies, n_words, matches: (license, best containment in per cent, start of that window), by license."""
+def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, text_key, copies, n_words, matches: (license, best containment in per cent, start of that window), by license.
+
+    texts are the templates to seek, id to text (USUAL by default).
+    """
     spark = docs.sparkSession
-    known = templates(spark)
-    kinds = [(r["span"], r["n"], r["s"]) for r in known.groupBy("span", "n").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("s")).collect()]  # a fixed few
+    known = templates(spark, USUAL if texts is None else texts)
+    kinds = known.groupBy("span", "n").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("s"), F.min(F.size("shingles")).alias("m"))
+    kinds = [(r["span"], r["n"], r["s"], -(-r["m"] * LEAST // 100)) for r in kinds.collect()]  # as few as the templates' lengths
     df = _prepared(docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_key")))
-    sizes = sorted({n for _, n, _ in kinds})
+    sizes = sorted({n for _, n, *_ in kinds})
     for n in sizes:
         df = _shingled(df, n, f"s{n}")
-    windows = [_windows(span, n, own) for span, n, own in kinds]
+        every = sorted({x for _, size, own, _ in kinds if size == n for x in own})
+        df = df.withColumn(f"hit{n}", F.expr(f"filter(transform(s{n}, (x, i) -> struct(i AS i, x AS x)), t -> t.x IN {_in(every)})"))
+    windows = []
+    for span, n, own, least in kinds:
+        df = df.withColumn(f"w{span}_{n}", _windows(span, n, own))
+        windows.append(F.expr(f"filter(w{span}_{n}, w -> size(filter(w.shingles, x -> x IN {_in(own)})) >= {least})"))
     itself = F.array(F.struct(F.lit(0).alias("span"), F.lit(0).alias("n"), F.lit(0).alias("start"), F.array().cast("array<bigint>").alias("shingles")))
     df = df.select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), F.explode_outer(F.concat(itself, *windows)).alias("x"))
     df = materialise(df.select("doc_id", "text_key", "n_words", "x.*"))
     base = df.where("span = 0").groupBy("doc_id", "text_key", "n_words").agg(F.count("*").alias("copies"))
     near = df.where("span > 0").dropDuplicates(["doc_id", "text_key", "span", "n", "start"])
     near = near.select("doc_id", "text_key", "span", "n", "start", "shingles", F.explode(_bands("shingles")).alias("b")).select("*", "b.*").drop("b")
-    wanted = known.select("license", "span", "n", F.col("shingles").alias("of"), F.explode(_bands("shingles")).alias("b")).select("license", "span", "n", "of", "b.*")
-    pairs = near.join(F.broadcast(wanted), ["span", "n", "band", "least"]).dropDuplicates(["doc_id", "text_key", "span", "n", "start", "license"])
+    wanted = known.select("license", "span", "n", F.explode(_bands("shingles")).alias("b")).select("license", "span", "n", "b.*")
+    # held is counted before any shuffle, so that long windows don't travel
+    pairs = near.join(F.broadcast(wanted), ["span", "n", "band", "least"]).join(F.broadcast(known.select("license", F.col("shingles").alias("of"))), "license")
     held = F.size(F.array_intersect("of", "shingles"))
     pairs = pairs.withColumn("held", F.floor(held * 100 / F.size("of")).cast("int")).where(held * 100 >= F.size("of") * LEAST)
     best = F.max(F.struct("held", (-F.col("start")).alias("back"))).alias("best")
@@ -109,14 +129,22 @@ def scan(docs: DataFrame) -> DataFrame:
     return out.select("b.doc_id", "b.text_key", "copies", "n_words", F.coalesce("matches", F.array().cast("array<struct<license:string,contained:int,start:int>>")).alias("matches"))
 
 
-def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_words, n_licenses, licenses (ids with the share held and the window's start) for every document."""
-    found = scan(documents(spark, sf_dir, "doc_id", "text"))
+def _listed(found: DataFrame) -> DataFrame:
     found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     each = F.transform("matches", lambda x: F.concat_ws(":", x["license"], x["contained"].cast("string"), x["start"].cast("string")))
     return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_licenses"), F.array_join(each, ",").alias("licenses"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_licenses, licenses (ids with the share held and the window's start) for every document."""
+    return _listed(scan(documents(spark, sf_dir, "doc_id", "text"), TEMPLATES))
+
+
+def op9_usual_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_licenses with all USUAL templates."""
+    return _listed(scan(documents(spark, sf_dir, "doc_id", "text")))
+
+
 _ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
 _LIST = "regexp_extract_all(translate(COALESCE({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE = f"""
@@ -135,3 +163,4 @@ b AS (SELECT doc_id, license, MAX(contained) AS contained, arg_min(start, (-cont
 r AS (SELECT doc_id, COUNT(*) AS n_licenses, string_agg(license || ':' || contained || ':' || start, ',' ORDER BY license) AS licenses FROM b GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_licenses, 0) AS n_licenses, COALESCE(licenses, '') AS licenses FROM d LEFT JOIN r USING (doc_id)
 """
+ORACLE_USUAL = ORACLE.replace(_ROWS, ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in USUAL.items()))

@@ -375,6 +375,29 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_usual_licenses_by_lines_of_other_sources(spark):
+    from pathlib import Path
+
+    rng = random.Random(6)
+    mit = Path(licenses.__file__).parent / "license_texts"
+    lines = {
+        "CC-BY-NC-4.0-short": "Licensed under CC BY-NC 4.0.",
+        "CC-BY-SA-4.0-url": "See https://creativecommons.org/licenses/by-sa/4.0/ for terms.",
+        "CC-BY-NC-ND-4.0-name": "This article is distributed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "LGPL-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the FSF.",
+        "AGPL-notice": "You may copy it under the terms of the GNU Affero General Public License, version 3.",
+        "GPL-3.0-text": (mit / "GPL-3.txt").read_text(),
+        "Apache-2.0-text": (mit / "Apache-2.0.txt").read_text().replace("\n", " "),
+    }
+    rows = [(i, prose(rng, 90) + "\n" + text + "\n" + prose(rng, 40)) for i, text in enumerate(lines.values())] + [(50, prose(rng, 300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: {m["license"] for m in r["matches"]} for r in licenses.scan(df).collect()}
+    assert all(name in got[i] for i, name in enumerate(lines)) and got[50] == set()
+    assert got[0] == {"CC-BY-NC-4.0-short"} and got[1] == {"CC-BY-SA-4.0-url"}
+    own = {r["doc_id"]: {m["license"] for m in r["matches"]} for r in licenses.scan(df, {"mine": "for terms"}).collect()}
+    assert own[1] == {"mine"} and own[0] == set()
+
+
 # 10 line deduplication
 
 
