@@ -316,6 +316,18 @@ def char_ngram_retrieval(spark, d):
     return rounded(T.ngram_retrieval(b.where("item_id < 20"), b, "item_id", "text", "item_id", "text"))
 
 
+@R.add("""
+WITH g AS (SELECT item_id, list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS g FROM benchmark WHERE length(text) >= 3),
+e AS (SELECT item_id, UNNEST(g) AS gram, len(g) AS n FROM g),
+c AS (SELECT a.item_id AS query, b.item_id AS key, COUNT(*) AS common, ANY_VALUE(a.n) AS na, ANY_VALUE(b.n) AS nb FROM e a JOIN e b USING (gram) GROUP BY 1, 2),
+s AS (SELECT *, common / CAST(na + nb - common AS DOUBLE) AS jaccard FROM c)
+SELECT query, key, common, ROUND(jaccard, 6) AS jaccard FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY ROUND(jaccard, 9) DESC, key) AS i FROM s) WHERE i <= 3
+""")
+def char_ngram_retrieval_all(spark, d):
+    b = table(spark, d, "benchmark")
+    return rounded(T.ngram_retrieval(b, b, "item_id", "text", "item_id", "text"))
+
+
 @R.add("SELECT COUNT(*) AS n_series, MIN(n) AS min_n, median(n) AS median_n, MAX(n) AS max_n, COUNT(*) FILTER (WHERE gaps > 0) AS with_gaps FROM (SELECT user_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE g > 1) AS gaps FROM (SELECT user_id, d, d - LAG(d) OVER (PARTITION BY user_id ORDER BY d) AS g FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events)) GROUP BY 1)")
 def panel_summary(spark, d):
     return N.panel_summary(table(spark, d, "events"), "user_id", "ts")

@@ -35,3 +35,9 @@ def test_matches_sql(spark, duck, name):
     got, want = catalogue.QUERIES[name](spark, DATA).toPandas(), duck.sql(catalogue.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got) == plain(want)
+
+
+def test_every_benchmark_item_is_a_query(spark, duck):
+    got = {r["query"] for r in catalogue.QUERIES["char_ngram_retrieval_all"](spark, DATA).select("query").distinct().collect()}
+    want = {i for (i,) in duck.sql("SELECT item_id FROM benchmark WHERE length(text) >= 3").fetchall()}
+    assert got == want and len(want) > 20
