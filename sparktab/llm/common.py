@@ -8,6 +8,7 @@ import math
 import re
 import tempfile
 import uuid
+import weakref
 
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,14 +65,26 @@ def _local_dir() -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back.
 
-    The files outlive a lost executor and are deleted when the driver ends.
+    The files outlive a lost executor and are deleted by release(), or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparktab-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def release(*written: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for df in written:
+        if path := _WRITTEN.pop(df, None):
+            _drop(df.sparkSession, path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:

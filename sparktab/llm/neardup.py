@@ -1,14 +1,19 @@
 """MinHash near-duplicate detection with odd sketches.
 
 A document's set is its distinct shingles of words; documents link if their sets' Jaccard similarity is THRESHOLD per cent
-or more. Documents of one set form a class, whose member of smallest doc_id stands for it. BANDS bands of ROWS minimum
-hashes each find candidates: at the threshold a pair shares no band with a chance below 3e-6, at any higher similarity
-with less. No bucket makes all its pairs: each member is held against the smallest member of any of its buckets, then
-against the smallest of those buckets where that one lies in another component, and members that are still in another
-component than their bucket's smallest against every other member of other components. Before a pair is confirmed, its
-odd sketches (SAMPLES minimum hashes folded into a parity bitmap, whose differing bits count the differing samples) must
-put its similarity above MARGIN, five standard deviations below the threshold; for the last kind of pairs also larger
-sketches, above FINE_MARGIN, at the same distance. Links are confirmed on the whole sets.
+or more. Documents of one set form a class, whose member of smallest doc_id stands for it.
+
+1. BANDS bands of ROWS minimum hashes each put classes into buckets: at the threshold two classes share no bucket with a
+   chance below 3e-6, at any higher similarity with less. A bucket gives one row per member, the edge to its smallest
+   member; what hangs together by such edges is a cluster, and no link leaves a cluster but by that chance.
+2. The texts of classes in clusters are read once more, for their whole sets and odd sketches (SAMPLES minimum hashes folded
+   into a parity bitmap, whose differing bits count the differing samples).
+3. Clusters are settled in groups of bounded bytes of sets: small clusters several at a time, a large one in tiles. Within
+   a group, pairs of different components whose sketches put their similarity above MARGIN (five standard deviations below
+   the threshold) are confirmed on the whole sets, and a link that joins two components is the only thing that comes out: a
+   group of n members makes n - 1 rows at most, however many of its pairs are links.
+4. The tiles of a large cluster all hold the same few anchors, so that most of it is one component after step 3. Members
+   outside the cluster's largest component are then held against all tiles in the same way, and nothing else is.
 Components come from rounds of minimum labels over written tables.
 
 Defined results: empty or null texts have no shingles and no links; rows that share a doc_id are one document with all their
@@ -23,18 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, materialise
+from .common import documents, fresh, materialise, release
 from .shingles import mix, shingle_sets, slices
 
 THRESHOLD, BANDS, ROWS, SAMPLES, SKETCH_BITS, MARGIN = 80, 42, 6, 756, 2048, 0.72
-#: Of the sketches for members that stay apart from their bucket's smallest: closer to the threshold at the same chance of loss.
-FINE_SAMPLES, FINE_BITS, FINE_MARGIN = 4096, 8192, 0.765
 WORDS_OP, WORDS_STAGE = 2, 5
+#: Bytes of sets of a large cluster that are settled at a time, about, and members of it that every tile holds, about; small
+#: clusters share groups of a BINS-th of that.
+TILE_BYTES, ANCHORS, BINS = 4_000_000, 256, 8
+#: Shingles of candidates that are looked up at a time.
+_LOOKUP = 2_000_000
 _RNG = np.random.default_rng(11)
-_A, _B = (_RNG.integers(0, 2**32, (2, FINE_SAMPLES), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_A, _B = (_RNG.integers(0, 2**32, (2, SAMPLES), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
 def most_bits(samples: int, bits: int, margin: float) -> int:
@@ -51,7 +59,7 @@ def min_hashes(shingles: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, from the band's number and its minimum hashes; low is (sets, SAMPLES)."""
+    """One 64-bit key per band, from the band's number and its minimum hashes; low is (sets, BANDS * ROWS or more)."""
     keys = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(low), BANDS))
     bands = low[:, : BANDS * ROWS].reshape(len(low), BANDS, ROWS).astype(np.uint64)
     for j in range(ROWS):
@@ -67,96 +75,127 @@ def odd_sketches(low: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits(bits & 1, axis=1).view(np.int64)
 
 
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, 2): two 64-bit sums over the mixed shingles of each set."""
+    other = np.uint64(0x5851F42D4C957F2D)
+    both = [(np.add.reduce(mix(s)), np.add.reduce(mix(s ^ other))) for s in sets]
+    return np.array(both, np.uint64).reshape(-1, 2).view(np.int64)
+
+
 def _lists(rows: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel()))
+    starts = pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32())
+    return pa.ListArray.from_arrays(starts, pa.array(rows.ravel()))
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (digest of the set), keys, sketch per row of docs(doc_id, text)."""
+    """doc_id, n_shingles, s1, s2 (digest of the set), keys per row of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for texts in slices(batch.column("text").to_pylist()):
                 sets = shingle_sets(texts, words)
-                low = np.array([min_hashes(s) for s in sets], np.uint32)
+                low = np.array([min_hashes(s, BANDS * ROWS) for s in sets], np.uint32)
                 full = np.array([len(s) for s in sets], np.int64)
-                some = full > 0
-                keys = np.zeros((len(sets), BANDS), np.int64)
-                sketch = np.zeros((len(sets), SKETCH_BITS // 64), np.int64)
-                if some.any():
-                    keys[some], sketch[some] = band_keys(low[some]), odd_sketches(low[some])
-                digest = np.array([(np.add.reduce(mix(s)), np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(sets)), pa.array(full), pa.array(digest[:, 0]), pa.array(digest[:, 1]), _lists(keys), _lists(sketch)],
-                    ["doc_id", "n_shingles", "s1", "s2", "keys", "sketch"],
-                )
+                keys = np.where(full[:, None] > 0, band_keys(low), 0)
+                digest = digests(sets)
+                columns = [pa.array(full), pa.array(digest[:, 0]), pa.array(digest[:, 1]), _lists(keys)]
+                ids = batch.column("doc_id").slice(at, len(sets))
+                yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_shingles", "s1", "s2", "keys"])
                 at += len(sets)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>, sketch array<long>")
+    schema = f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles: the sorted set as bytes."""
+def whole_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """cluster, rep, s1, s2, sketch, shingles (the sorted set, as bytes) for members(s1, s2, rep, cluster).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for texts in slices(batch.column("text").to_pylist()):
-                sets = [s.tobytes() for s in shingle_sets(texts, words)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(sets)), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
-                at += len(sets)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, shingles binary")
-
-
-def fine_sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, fine: the larger sketch of each of docs(doc_id, text)."""
+    The texts come from the documents that stand for them; a document whose text has another set is passed over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for texts in slices(batch.column("text").to_pylist()):
-                low = np.array([min_hashes(s, FINE_SAMPLES) for s in shingle_sets(texts, words)], np.uint32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(low)), _lists(odd_sketches(low, FINE_BITS))], ["doc_id", "fine"])
-                at += len(low)
-
+                sets = shingle_sets(texts, words)
+                part = batch.slice(at, len(sets)).drop_columns(["text"])
+                at += len(sets)
+                wanted = np.stack([part.column("s1").to_numpy(), part.column("s2").to_numpy()], 1)
+                own = np.flatnonzero((digests(sets) == wanted).all(1))
+                if not len(own):
+                    continue
+                sketch = odd_sketches(np.array([min_hashes(sets[i]) for i in own], np.uint32))
+                columns = [pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([sets[i].tobytes() for i in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(own)).columns, *columns], [*part.schema.names, "sketch", "shingles"])
+
+    # always by a shuffle: the classes in clusters grow with the documents
+    both = docs.join(members.hint("merge"), docs["doc_id"] == members["rep"]).select("cluster", "rep", "s1", "s2", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, fine array<long>")
-
-
-def _bits_apart(a: str, b: str):
-    total = F.lit(0)
-    for i in range(SKETCH_BITS // 64):
-        total = total + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
-    return total
-
-
-def _fine_bits_apart(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose whole sets reach THRESHOLD."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialise(_sets(docs.select("doc_id", "text").join(ids, docs["doc_id"] == ids["id"], "left_semi"), words))
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                inter = len(np.intersect1d(p, q, assume_unique=True)) if len(p) and len(q) else 0
-                good.append(100 * inter >= THRESHOLD * (len(p) + len(q) - inter) and inter > 0)
-            kept = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
-            yield kept.filter(pa.array(good, pa.bool_()))
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return both.mapInArrow(run, f"cluster long, rep {kind}, s1 long, s2 long, sketch binary, shingles binary")
+
+
+def settle(cluster: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], label: np.ndarray, asks: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) of rows of one cluster that each join two components; label holds the rows' components at the start.
+
+    Rows of one cluster stand together. A row that asks is held against all rows of its cluster, those before it that ask
+    as well left out.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # shingles of one row alone are in no intersection
+    shared = count[code] > 1
+    upto = np.concatenate([[0], np.cumsum(shared)])
+    ends = upto[np.cumsum(size)]
+    starts = np.concatenate([[0], ends[:-1]])
+    code = code[shared]
+    mark = np.zeros(len(count), bool)
+    label, most, out = label.copy(), most_bits(SAMPLES, SKETCH_BITS, MARGIN), []
+    first = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(cluster)], strict=True):
+        for i in (lo + np.flatnonzero(asks[lo:hi])).tolist():
+            rest = lo + np.flatnonzero(label[lo:hi] != label[i])
+            rest = rest[(rest > i) | ~asks[rest]]
+            rest = rest[100 * np.minimum(size[rest], size[i]) >= THRESHOLD * np.maximum(size[rest], size[i])]
+            rest = rest[np.bitwise_count(sketch[rest] ^ sketch[i]).sum(1, dtype=np.int64) <= most]
+            if not len(rest):
+                continue
+            own = code[starts[i] : ends[i]]
+            mark[own] = True
+            held = ends[rest] - starts[rest]
+            for part in np.split(rest, np.flatnonzero(np.diff(np.cumsum(held) // _LOOKUP)) + 1):
+                n = ends[part] - starts[part]
+                stop = np.cumsum(n)
+                flat = np.arange(stop[-1]) + np.repeat(starts[part] - (stop - n), n)
+                hits = np.concatenate([[0], np.cumsum(mark[code[flat]])])
+                inter = hits[stop] - hits[stop - n]
+                links = part[100 * inter >= THRESHOLD * (size[i] + size[part] - inter)]
+                for j in links.tolist():
+                    if label[j] != label[i]:
+                        out.append((i, j))
+                        label[lo:hi][label[lo:hi] == label[j]] = label[i]
+            mark[own] = False
+    return out
+
+
+def _settled(table: pa.Table) -> pa.Table:
+    """(a, b): links between the representatives in a group's rows; a row repeated in both roles is in one component."""
+    table = table.sort_by("cluster")
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(table), -1)
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    # rows that share a component, by the smallest row of it
+    names = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+    cluster = table.column("cluster").to_numpy()
+    found = settle(cluster, sketch, sets, names, table.column("asks").to_numpy())
+    rep = table.column("rep")
+    i, j = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
+    return pa.table({"a": rep.take(i), "b": rep.take(j)})
+
+
+def _links(groups: DataFrame, kind: str) -> DataFrame:
+    """Settle groups(g1, g2, g3, cluster, rep, component, asks, sketch, shingles)."""
+    return groups.groupBy("g1", "g2", "g3").applyInArrow(_settled, f"a {kind}, b {kind}").where("a != b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -165,67 +204,87 @@ def components(links: DataFrame) -> DataFrame:
     labels = materialise(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "near").alias("next"), F.col("component").alias("before"))
-        step = materialise(step)
+        step = labels.join(near, labels["id"] == near["a"])
+        step = materialise(step.select("id", F.least("component", "near").alias("next"), F.col("component").alias("before")))
         jump = step.select(F.col("id").alias("at"), F.col("next").alias("beyond"))
-        new = materialise(step.join(jump, step["next"] == jump["at"], "left").select("id", F.least("next", F.coalesce("beyond", "next")).alias("component"), "before"))
+        new = step.join(jump, step["next"] == jump["at"], "left")
+        new = materialise(new.select("id", F.least("next", F.coalesce("beyond", "next")).alias("component"), "before"))
+        release(labels, step)
         if new.where("component != before").isEmpty():
+            release(edges)
             return new.select("id", "component")
-        labels = new.select("id", "component")
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS_OP) -> DataFrame:
+        labels = new
+
+
+def _share(c: str, seed: int, n: Column | int) -> Column:
+    """A number below n, by the value's hash."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(c)), n if isinstance(n, Column) else F.lit(n)).cast("int")
+
+
+def _each(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def cluster_links(sets: DataFrame, tile_bytes: int = TILE_BYTES, anchors: int = ANCHORS) -> DataFrame:
+    """(a, b): links that join all components of the clusters in sets(cluster, rep, s1, s2, sketch, shingles)."""
+    kind = sets.schema["rep"].dataType.simpleString()
+    sized = materialise(sets.groupBy("cluster").agg(F.sum(F.length("shingles")).alias("bytes"), F.count("*").alias("n")))
+    total = sized.agg(F.sum("bytes")).first()[0] or 0
+    bins = max(1, -(-total * BINS // tile_bytes))
+    large = sized.where(F.col("bytes") > tile_bytes)
+    large = large.select("cluster", F.ceil(F.col("bytes") / tile_bytes).cast("int").alias("tiles"), F.ceil(F.col("n") / anchors).cast("int").alias("nth"))
+    dealt = sets.join(large, "cluster", "left").withColumns({"component": F.col("rep"), "asks": F.lit(True)})
+    whole = ["cluster", "rep", "component", "asks", "sketch", "shingles"]
+    small = dealt.where("tiles IS NULL").select(F.lit(0).alias("g1"), _share("cluster", 1, bins).alias("g2"), F.lit(0).alias("g3"), *whole)
+    tiled = dealt.where("tiles IS NOT NULL")
+    in_all = _share("s1", 2, F.col("nth")) == 0
+    own = F.when(in_all, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(_share("s1", 3, F.col("tiles"))))
+    tiled = tiled.select(F.lit(1).alias("g1"), F.xxhash64("cluster").alias("g2"), F.explode(own).alias("g3"), *whole)
+    columns = [F.col(c).cast("long").alias(c) for c in ("g1", "g2", "g3")]
+    links = materialise(_links(small.select(*columns, *whole).unionByName(tiled.select(*columns, *whole)), kind))
+    if large.isEmpty():
+        return links
+    labels = materialise(components(links))
+    part = sets.join(large.select("cluster"), "cluster").join(labels, sets["rep"] == labels["id"], "left")
+    part = part.select("cluster", "rep", "s1", "sketch", "shingles", F.coalesce("component", "rep").alias("component"))
+    counts = part.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    main = F.max_by("component", F.struct("n", "component")).alias("main")
+    left = counts.groupBy("cluster").agg(main, F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    left = materialise(left.where("n > most"))
+    half = F.lit(tile_bytes // 2)
+    tiles = left.select("cluster", "main", F.ceil(F.col("bytes") / half).cast("int").alias("qs"))
+    rows = part.join(tiles, "cluster")
+    asking = rows.where("component != main").withColumn("asks", F.lit(True))
+    # as many groups of asking rows as groups of all rows, at most
+    askers = asking.groupBy("cluster").agg(F.ceil(F.sum(F.length("shingles")) / half).cast("int").alias("ps"))
+    rows = rows.join(askers, "cluster").withColumns({"p": _share("s1", 4, F.col("ps")), "q": _share("s1", 5, F.col("qs"))})
+    one = rows.where("component != main").select(F.col("p").alias("g1"), _each("qs").alias("g2"), F.xxhash64("cluster").alias("g3"), "cluster", "rep", "component", F.lit(True).alias("asks"), "sketch", "shingles")
+    two = rows.select(_each("ps").alias("g1"), F.col("q").alias("g2"), F.xxhash64("cluster").alias("g3"), "cluster", "rep", "component", F.lit(False).alias("asks"), "sketch", "shingles")
+    return links.unionByName(_links(one.unionByName(two), kind))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS_OP, tile_bytes: int = TILE_BYTES, anchors: int = ANCHORS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
     signed = materialise(signatures(docs, words))
     full = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = materialise(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = full.join(classes, ["s1", "s2", "n_shingles"]).where("doc_id = rep").select("doc_id", "n_shingles", "keys", "sketch").dropDuplicates(["doc_id", "keys"])
-    reps = materialise(reps)
-    banded = reps.select("doc_id", F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
-    buckets = materialise(banded.join(hubs, "key").where("doc_id != hub"))
-    sketched = reps.select("doc_id", F.col("n_shingles").alias("n"), "sketch")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        a = sketched.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
-        b = sketched.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
-        found = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * THRESHOLD)
-        return found.where(_bits_apart("x", "y") <= most_bits(SAMPLES, SKETCH_BITS, MARGIN)).select("a", "b").distinct()
-
-    def join_up(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-        known = links if labels is None else labels.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b")).union(links)
-        return materialise(components(known))
-
-    def placed(labels: DataFrame) -> DataFrame:
-        own, hub = labels.select(F.col("id").alias("doc_id"), F.col("component").alias("c")), labels.select(F.col("id").alias("hub"), F.col("component").alias("c_hub"))
-        return buckets.join(own, "doc_id", "left").join(hub, "hub", "left").select("key", "hub", "doc_id", F.coalesce("c", "doc_id").alias("c"), F.coalesce("c_hub", "hub").alias("c_hub"))
-
-    labels = join_up(None, confirm(materialise(close(buckets.groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("a")))), docs, words))
-    apart = placed(labels).where("c != c_hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    labels = join_up(labels, confirm(materialise(close(apart)), docs, words))
-    # members outside the component of their bucket's smallest, against all others of their bucket in other components
-    every = placed(labels)
-    apart = materialise(every.where("c != c_hub").select("key", F.col("doc_id").alias("a"), F.col("c").alias("c_a")))
-    if not apart.isEmpty():
-        some = materialise(every.join(apart.select("key").distinct(), "key", "left_semi").select("key", F.col("doc_id").alias("b"), F.col("c").alias("c_b")))
-        involved = apart.select(F.col("a").alias("id")).union(some.select("b")).distinct()
-        fine = materialise(fine_sketches(docs.join(involved, docs["doc_id"] == involved["id"], "left_semi"), words)).dropDuplicates(["doc_id"])
-        known = sketched.join(fine, "doc_id")
-        left = apart.join(known.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"), F.col("fine").alias("fx")), "a")
-        right = some.join(known.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"), F.col("fine").alias("fy")), "b")
-        alike = (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * THRESHOLD) & (_bits_apart("x", "y") <= most_bits(SAMPLES, SKETCH_BITS, MARGIN))
-        alike &= _fine_bits_apart("fx", "fy") <= most_bits(FINE_SAMPLES, FINE_BITS, FINE_MARGIN)
-        more = left.join(right, (left["key"] == right["key"]) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        labels = join_up(labels, confirm(materialise(more), docs, words))
-    found = signed.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
+    by_set = ["s1", "s2", "n_shingles"]
+    classes = materialise(full.groupBy(*by_set).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    # clusters go by half of the digest: a chance meeting only puts two classes into one cluster
+    banded = classes.select("s1", F.explode("keys").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min("s1").alias("hub"), F.max("s1").alias("last")).where("hub < last").select("key", "hub")
+    stars = materialise(banded.join(hubs, "key").where("s1 != hub").select(F.col("hub").alias("a"), F.col("s1").alias("b")).distinct())
+    clusters = components(stars)
+    members = classes.join(clusters, classes["s1"] == clusters["id"]).select("s1", "s2", "rep", F.col("component").alias("cluster"))
+    sets = materialise(whole_sets(docs, members, words).dropDuplicates(["s1", "s2"]))
+    links = materialise(cluster_links(sets, tile_bytes, anchors))
+    release(stars, sets)
     # a doc_id of several texts is one document: it joins its classes
-    split = full.select("doc_id", "s1", "s2", "n_shingles").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not split.isEmpty():
-        again = full.join(split, "doc_id", "left_semi").join(classes, ["s1", "s2", "n_shingles"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-        known = labels.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b"))
-        labels = components(known.union(again))
-    found = found.join(labels.select(F.col("id").alias("rep"), F.col("component")), "rep", "left")
+    split = full.select("doc_id", *by_set).distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = full.join(split, "doc_id", "left_semi").join(classes, by_set).where("doc_id != rep")
+    links = links.unionByName(again.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    labels = components(links).select(F.col("id").alias("rep"), "component")
+    found = signed.select("doc_id", *by_set).join(classes.drop("keys"), by_set, "left").join(labels, "rep", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return found.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -299,6 +299,9 @@ def test_near_duplicates(spark, docs, empty):
     got = rows_of(neardup.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept")
     assert got == sorted(components_by_brute_force(rows), key=lambda t: tuple((x is not None, str(type(x)), x) for x in t))
     assert neardup.near_duplicates(empty).count() == 0
+    # the same from many tiles of one cluster, of which few members are anchors
+    tiled = neardup.near_duplicates(df, tile_bytes=8000, anchors=2)
+    assert rows_of(tiled, "doc_id", "n_shingles", "component_id", "kept") == got
 
 
 def test_sketches_estimate_similarity():
