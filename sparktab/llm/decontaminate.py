@@ -4,7 +4,7 @@ Texts are sequences of words (A-Z lower-cased; runs of ASCII letters and digits
 window is WINDOW consecutive words of an item, or the whole item if it is shorter. Winnowing hashes every K_GRAM-word gram
 and keeps the minimum of each WINDOW - K_GRAM + 1 consecutive ones, so a shared run of WINDOW words always shares the
 minimum of its own grams: no shared window is missed. Minima of documents are joined with those of the benchmark; the
-windows of documents that own a shared minimum are then compared word by word, and the hit windows extend to runs of words.
+windows that own a shared minimum are then compared word by word, and the hit windows extend to runs of words.
 
 The benchmark's minima are broadcast only up to BROADCAST_ROWS of them, as counted; beyond that they are joined by a shuffle.
 
@@ -15,7 +15,7 @@ text get one result each; an empty benchmark hits nothing; other columns are not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, ASCII_UPPER, ascii_lower, documents, fresh, materialise, table, text_hash
@@ -46,8 +46,8 @@ def _prepared(df: DataFrame) -> DataFrame:
     return df.withColumn("words", words(F.col("text"))).withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
 
 
-def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(minimum, window, set_id, items) per distinct window, items those that hold it; and the windows' lengths."""
+def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(minimum, window, set_id) per distinct window; (set_id, item), the items that hold it; and the windows' lengths."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     items = _prepared(items).where(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(WINDOW))
@@ -55,13 +55,18 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     parts = None
     for n in lengths:
         some, name = minima(items.where(length == n), n, "_")
-        some = some.select("item", "words", F.posexplode_outer(name).alias("at", "minimum"))  # outer: no filter on the array is inferred and pushed down
+        # outer: no filter on the array is inferred and pushed down
+        some = some.select("item", "words", F.posexplode_outer(name).alias("at", "minimum"))
         some = some.select("item", "minimum", F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.lit(n))).alias("window"))
         parts = some if parts is None else parts.unionByName(some)
     if parts is None:
         parts = items.select("item", F.lit(0).cast("long").alias("minimum"), F.lit("").alias("window"))
-    sets = parts.groupBy("minimum", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return materialise(sets.withColumn("set_id", F.xxhash64("items"))), lengths
+    parts = materialise(parts.distinct())
+    # windows of the same items share a set; a set's items are rows, however many items hold a passage
+    sets = parts.groupBy("minimum", "window").agg(F.bit_xor(F.xxhash64("item")).alias("x"), F.count("*").alias("n"))
+    sets = materialise(sets.select("minimum", "window", F.xxhash64("x", "n").alias("set_id")))
+    members = parts.join(sets, ["minimum", "window"]).select("set_id", "item").distinct()
+    return sets, materialise(members), lengths
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -75,53 +80,51 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spans are the hit runs of words as (start, words); copies counts rows with this doc_id and text.
     """
     docs = docs.select("doc_id", "text").withColumn("text_key", text_hash(F.col("text")))
-    windows, lengths = benchmark_windows(benchmark)
+    windows, members, lengths = benchmark_windows(benchmark)
     df = _prepared(docs)
-    names = []
+    spots = []
     for n in lengths:
         df, name = minima(df, n, "_")
-        names.append(name)
-    none = F.array(F.lit(None).cast("long"))
-    own = F.concat(none, *[F.array_distinct(c) for c in names])
-    # the null of each row stands for the row itself, so one pass also counts words and rows
-    found = df.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.explode_outer(own).alias("minimum"))
-    shared = windows.select("minimum").distinct().withColumn("known", F.lit(True))
-    found = found.join(_small(shared), "minimum", "left").where("minimum IS NULL OR known")
-    base = found.groupBy("doc_id", "text_key").agg(F.first("n_words").alias("n_words"), F.count_if(F.col("minimum").isNull()).alias("copies"), F.collect_set("minimum").alias("hits"))
+        spots.append(F.transform(name, lambda x, i: F.struct(i.alias("start"), F.lit(n).alias("words"), x.alias("minimum"))))  # noqa: B023
+    # the first of each row stands for the row itself, so one pass also counts words and rows
+    itself = F.array(F.struct(F.lit(-1).alias("start"), F.lit(0).alias("words"), F.lit(None).cast("long").alias("minimum")))
+    n_words = F.size("words").cast("long").alias("n_words")
+    found = df.select("doc_id", "text_key", n_words, F.explode_outer(F.concat(itself, *spots)).alias("s"))
+    found = found.select("doc_id", "text_key", "n_words", "s.*")
+    # a key of its own for each row without a minimum, so that these don't meet in one task
+    found = found.withColumn("met", F.coalesce("minimum", F.xxhash64("doc_id", "text_key")))
+    shared = windows.select(F.col("minimum").alias("met")).distinct().withColumn("known", F.lit(True))
+    found = found.join(_small(shared), "met", "left").where("minimum IS NULL OR known")
+    spot = F.when(F.col("minimum").isNotNull(), F.struct("start", "words"))
+    count = F.count_if(F.col("minimum").isNull()).alias("copies")
+    base = found.groupBy("doc_id", "text_key").agg(F.first("n_words").alias("n_words"), count, F.collect_set(spot).alias("hits"))
     base = materialise(base)
     hit = base.where(F.size("hits") > 0).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "hits")
-    near = docs.join(hit, docs["doc_id"].eqNullSafe(hit["id"]) & (docs["text_key"] == hit["key"])).select("doc_id", "text_key", "text", "hits")
-    near = _prepared(near)
-    spots = []
-    for n in lengths:
-        near, name = minima(near, n, "_")
-        at = F.filter(F.transform(name, lambda x, i: F.struct(i.alias("start"), x.alias("minimum"))), lambda x: F.array_contains("hits", x["minimum"]))
-        spots.append(F.transform(at, lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("words"), F.concat_ws(" ", F.slice("words", x["start"] + 1, F.lit(n))).alias("window"))))  # noqa: B023
-    empty = F.array().cast("array<struct<start:int,words:int,window:string>>")
-    near = near.select("doc_id", "text_key", F.explode_outer(F.concat(empty, *spots)).alias("s")).select("doc_id", "text_key", "s.*")
-    sure = near.join(_small(windows.select("window", "set_id")), "window").groupBy("doc_id", "text_key")
-    sure = materialise(sure.agg(F.collect_set(F.struct("start", "words")).alias("spans"), F.collect_set("set_id").alias("sets")))
-    begin = F.struct(F.lit(0).alias("start"), F.lit(0).alias("words"))
-    runs = F.aggregate(
-        F.sort_array("spans"),
-        F.array().cast("array<struct<start:int,words:int>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), begin)["start"] + F.coalesce(F.try_element_at(done, F.lit(-1)), begin)["words"] >= x["start"]),
-            F.concat(
-                F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(F.struct(F.try_element_at(done, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(done, F.lit(-1))["words"], x["start"] + x["words"] - F.try_element_at(done, F.lit(-1))["start"]).alias("words"))),
-            ),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
-    items = sure.select("doc_id", "text_key", F.explode("sets").alias("set_id")).join(windows.select("set_id", "items").dropDuplicates(["set_id"]), "set_id")
-    items = items.select("doc_id", "text_key", F.explode("items").alias("item")).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    sure, items = sure.withColumn("runs", runs).alias("s"), items.alias("i")
-    base = base.alias("b")
+    near = docs.join(hit, docs["doc_id"].eqNullSafe(hit["id"]) & (docs["text_key"] == hit["key"]))
+    near = near.select("doc_id", "text_key", "hits", words(F.col("text")).alias("w")).dropDuplicates(["doc_id", "text_key"])
+    window = lambda x: F.concat_ws(" ", F.slice("w", x["start"] + 1, x["words"]))
+    each = F.transform("hits", lambda x: F.struct(x["start"].alias("start"), x["words"].alias("words"), window(x).alias("window")))
+    near = near.select("doc_id", "text_key", F.explode(each).alias("s")).select("doc_id", "text_key", "s.*")
+    sure = near.join(_small(windows.select("window", "set_id").distinct()), "window")
+    sure = materialise(sure.select("doc_id", "text_key", "start", "words", "set_id"))
+    # windows that overlap or touch are one run
+    own = Window.partitionBy("doc_id", "text_key").orderBy("start", "words")
+    upto = F.max(F.col("start") + F.col("words")).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    runs = sure.select("doc_id", "text_key", "start", "words").distinct().withColumn("fresh", (F.col("start") > F.coalesce(upto, F.lit(-1))).cast("int"))
+    runs = runs.withColumn("run", F.sum("fresh").over(own)).groupBy("doc_id", "text_key", "run")
+    runs = runs.agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("words")) - F.min("start")).alias("words"))
+    runs = runs.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("runs"))
+    items = sure.select("doc_id", "text_key", "set_id").distinct().join(members, "set_id")
+    items = items.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    base, runs, items = base.alias("b"), runs.alias("s"), items.alias("i")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
-    out = base.join(sure, same("b", "s"), "left").join(items, same("b", "i"), "left")
-    n_hit = F.aggregate(F.transform("s.runs", lambda x: x["words"].cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    out = base.join(runs, same("b", "s"), "left").join(items, same("b", "i"), "left")
+    n_hit = F.aggregate("s.runs", F.lit(0).cast("long"), lambda a, x: a + x["words"])
     no_items = F.array().cast("array<string>")
-    return out.select("b.doc_id", "b.text_key", "b.n_words", "b.copies", F.coalesce(n_hit, F.lit(0)).alias("n_hit"), F.coalesce("i.items", no_items).alias("items"), F.col("s.runs").alias("spans"))
+    return out.select(
+        "b.doc_id", "b.text_key", "b.n_words", "b.copies", F.coalesce(n_hit, F.lit(0)).alias("n_hit"),
+        F.coalesce("i.items", no_items).alias("items"), F.col("s.runs").alias("spans"),
+    )
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ the corpus (least doc_id, then place) holds, so every run of two lines or more t
 of lines meet by hash, join to passages by the place they repeat, and each passage's bytes are compared with that place's.
 The first place of a line is never removed, as no pair there can have an earlier one.
 
-Chunks are grouped by hash with partial aggregation; a repeated chunk's text travels once per removed place, never to one
-task by group. Lines end at line feeds alone.
+Chunks are grouped by hash with partial aggregation; a repeated chunk's text travels once per removed place, and the join
+that sends it reads two plain exchanges, so that Spark splits the places of a common chunk over tasks. Lines end at line feeds alone.
 
 Defined results: null text stays null and has no lines; empty text is one empty line, which is no chunk of two; rows that
 share doc_id and text are one document; rows without doc_id come last; an empty table gives an empty result; a text whose
@@ -60,7 +60,8 @@ def remove_chunks(docs: DataFrame) -> DataFrame:
     lengths = found.join(first, "hash").where(place == F.col("first")).select("hash", "first", "e").distinct()
     wanted = own(lengths, F.col("first.doc_id"), F.col("first.text_key")).select("hash", F.col("first.s").alias("s"), "e", "j1", "j2", "j3")
     texts = keyed.join(wanted, same).withColumn("lines", F.split("text", "\n"))
-    texts = texts.select("hash", _joined("lines", F.col("s"), F.col("e")).alias("first_text")).dropDuplicates(["hash"])
+    # written, so that a skewed join with the places of a common chunk can be split
+    texts = materialise(texts.select("hash", _joined("lines", F.col("s"), F.col("e")).alias("first_text")).dropDuplicates(["hash"]))
     lists = again.join(texts, "hash").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("s", "e", "first_text"))).alias("again"))
     lists = own(lists, F.col("doc_id"), F.col("text_key")).select("j1", "j2", "j3", "again")
     out = keyed.join(lists, same, "left").select("doc_id", "text_key", "text", "again").withColumn("lines", F.split("text", "\n"))

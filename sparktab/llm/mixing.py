@@ -7,7 +7,7 @@ The schedule has N = 2**m slots. Slot k is the van der Corput point v(k) = rever
 cumulative targets it falls on one source. As v permutes the multiples of 1/N, a source with share p gets p*N slots to
 within one, and every prefix of the schedule holds the shares to within O(log N) slots. A slot's rank within its source has
 a closed form (bits of k against a residue class), so no window over a source's slots is needed, however hot it is.
-A source's documents, in the order of md5(doc_id), form one stream of words, repeated MAX_PASSES times and cut into blocks
+A source's documents, in the order of md5(doc_id and md5 of the text), form one stream of words, repeated MAX_PASSES times and cut into blocks
 of B = ceil(words / N) words; the slot of rank r takes the block r. The join of slots with blocks gives spans:
 (slot, source, document, pass, first word, words).
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import SPACED_WORD, documents, fresh, materialise
 
 #: Slots are at least 2**LEAST_BITS, and as many more as keep blocks at BLOCK_TOKENS words at most.
-LEAST_BITS, BLOCK_TOKENS, MAX_PASSES, ROWS_PER_BUCKET = 16, 4096, 3, 20_000
+LEAST_BITS, BLOCK_TOKENS, MAX_PASSES = 16, 4096, 3
 #: Slots made by one task's row at a time.
 _CHUNK = 4096
 #: Tasks that make slots, at most.
@@ -36,9 +36,15 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
 
 
+def stream_key(docs: DataFrame) -> Column:
+    """Orders a source's stream; the text takes part, so that rows of one doc_id don't stand together."""
+    text = F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), text).cast("binary"))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h): h, the first 8 hex digits of md5(doc_id) as a number, orders a source's stream first."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    """(doc_id, source, size, k, h): k orders a source's stream, and h is its first 8 hex digits as a number."""
+    key = stream_key(docs)
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("k"), F.conv(F.substring(key, 1, 8), 16, 10).cast("long").alias("h"))
 
 
@@ -84,7 +90,7 @@ def _slots(spread: DataFrame, bits: int) -> DataFrame:
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, spans).
 
-    rows: doc_id, source, size, source_size, target, row (its place in its source's stream, unique there), at (words before
+    rows: doc_id, k, source, size, source_size, target, row (its place in its source's stream, unique there), at (words before
     it). spans: source, row, slot, pass, start, words: what each slot takes, start counted within the document.
     """
     sized = materialise(sizes(docs))
@@ -98,8 +104,8 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edge = lambda c: F.least(F.lit(1 << bits), F.floor(c * F.lit(float(1 << bits)) / F.greatest(F.col("total"), F.lit(1)).cast("double") + F.lit(1e-6))).cast("long")
     spread = per.withColumn("end", ends).select("source", "source_size", "target", edge(F.col("end") - F.col("target")).alias("lo"), edge(F.col("end")).alias("hi"))
     spread = spread.withColumn("quota", F.least((F.col("hi") - F.col("lo")) * F.lit(block), F.floor("target"))).withColumn("tag", F.col("source").isNull())
-    # places within streams: within a bucket of md5, then buckets before it
-    buckets = 1 << max(0, math.ceil(math.log2(max(1, count / ROWS_PER_BUCKET))))
+    # places within streams: within a bucket of md5, then buckets before it; about as many buckets as rows in each
+    buckets = 1 << math.ceil(math.log2(max(1, math.isqrt(count))))
     cut = sized.withColumn("bucket", F.floor(F.col("h") * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
     inner = Window.partitionBy("source", "bucket").orderBy("k", "doc_id", "size")
     held = cut.groupBy("source", "bucket").agg(F.sum("size").alias("held"), F.count("*").alias("rows"))
@@ -108,7 +114,7 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = held.alias("b").join(spread.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.*", "source_size", "target", "quota")
     placed = cut.withColumn("nth", F.row_number().over(inner)).withColumn("upto", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     rows = placed.alias("p").join(held.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.bucket") == F.col("b.bucket")))
-    rows = materialise(rows.select("doc_id", "p.source", "size", "source_size", "target", "quota", (F.col("rows_before") + F.col("nth")).alias("row"), (F.col("words_before") + F.col("upto") - F.col("size")).alias("at")))
+    rows = materialise(rows.select("doc_id", "k", "p.source", "size", "source_size", "target", "quota", (F.col("rows_before") + F.col("nth")).alias("row"), (F.col("words_before") + F.col("upto") - F.col("size")).alias("at")))
     begin = F.col("at") + F.col("pass") * F.col("source_size")
     part = rows.where("size > 0").select("source", "row", "size", "quota", "at", "source_size", F.explode(F.array(*[F.lit(i) for i in range(MAX_PASSES)])).alias("pass"))
     part = part.withColumn("begin", begin).withColumn("end", F.least(begin + F.col("size"), F.col("quota"))).where("end > begin")
@@ -121,14 +127,14 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, taken, first_slot, row."""
+    """Per row of docs: doc_id, k (its stream_key), source, size, source_size, target, taken, first_slot, row."""
     rows, spans = plan(docs)
-    base = rows.select("source", "row", "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("words"), F.lit(None).cast("long").alias("slot"))
+    base = rows.select("source", "row", "doc_id", "k", "size", "source_size", "target", F.lit(0).cast("long").alias("words"), F.lit(None).cast("long").alias("slot"))
     none = F.lit(None)
-    taken = spans.select("source", "row", none.cast(base.schema["doc_id"].dataType).alias("doc_id"), none.cast("long").alias("size"), none.cast("long").alias("source_size"), none.cast("double").alias("target"), "words", "slot")
+    taken = spans.select("source", "row", none.cast(base.schema["doc_id"].dataType).alias("doc_id"), none.cast("string").alias("k"), none.cast("long").alias("size"), none.cast("long").alias("source_size"), none.cast("double").alias("target"), "words", "slot")
     both = base.unionByName(taken).groupBy("source", "row")
     first = lambda c: F.max(c).alias(c)
-    return both.agg(first("doc_id"), first("size"), first("source_size"), first("target"), F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    return both.agg(first("doc_id"), first("k"), first("size"), first("source_size"), first("target"), F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,19 +145,24 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last stage of the pipeline: the documents that the mix takes, with their taken words and the slot where each first comes.
 
-    Rows that repeat a doc_id are mixed as rows of their own and share that doc_id's columns.
+    Rows that repeat a doc_id and text are mixed as rows of their own; each of them gets their mean of taken words.
     """
-    taken = mix(docs.select("doc_id", "text", "source")).where("taken > 0").select("doc_id", "taken", "first_slot", "target")
-    taken = taken.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.min("first_slot").alias("first_slot"), F.max("target").alias("target"))
+    key, k2, id_ = fresh(docs, "_mix_key", "_mix_key2", "_mix_id")
     names = fresh(docs, "mix_taken", "mix_first_slot", "mix_target")
-    other = taken.select(F.col("doc_id").alias("_mix_id"), F.col("taken").alias(names[0]), F.col("first_slot").alias(names[1]), F.col("target").alias(names[2]))
-    return docs.join(other, docs["doc_id"].eqNullSafe(other["_mix_id"])).drop("_mix_id")
+    keyed = mix(docs.select("doc_id", "text", "source"))
+    taken = keyed.groupBy("doc_id", "k", "source").agg((F.sum("taken") / F.count("*")).alias("taken"), F.min("first_slot").alias("first_slot"), F.max("target").alias("target"))
+    taken = taken.where("taken > 0").select(
+        F.col("doc_id").alias(id_), F.col("k").alias(k2), F.col("source").alias(key), F.round("taken").cast("long").alias(names[0]),
+        F.col("first_slot").alias(names[1]), F.col("target").alias(names[2]),
+    )
+    same = docs["doc_id"].eqNullSafe(taken[id_]) & (stream_key(docs) == taken[k2]) & docs["source"].eqNullSafe(taken[key])
+    return docs.join(taken, same).drop(id_, k2, key)
 
 
 ORACLE = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5(CAST(doc_id AS VARCHAR)) AS k FROM documents),
+         md5(COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || md5(COALESCE(text, ''))) AS k FROM documents),
 per AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, (ROW_NUMBER() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight FROM per),
 filling AS (

@@ -241,16 +241,15 @@ def test_topk(spark):
     rows += [(2000, None), (2001, [None] * 8), (2002, [float("nan")] * 8), (2003, []), (None, [0.5] * 8), (40, [9.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(0))
     got = rows_of(topk.search(df), "query_id", "rank", "vec_id", "score")
-    kept = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            kept[i] = min(kept.get(i, v), v)
-    whole = {i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(int) for i, v in kept.items()}
+    kept = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    whole = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in kept]
     want = []
-    for a in (i for i in whole if i % 20 == 0):
-        best = sorted(((-int(whole[a] @ whole[b]), b) for b in whole if b != a))[:20]
-        want += [(a, r + 1, b, -s) for r, (s, b) in enumerate(best)]
+    for at, (a, v) in enumerate(whole):  # a row that repeats a vec_id is a candidate and a query of its own
+        if a % 20 == 0:
+            best = sorted((-int(v @ w), b) for k, (b, w) in enumerate(whole) if k != at)[:20]
+            want += [(a, r + 1, b, -s) for r, (s, b) in enumerate(best)]
     assert got == sorted(want)
+    assert rows_of(topk.search(df, tile_bytes=64 * 50), "query_id", "rank", "vec_id", "score") == got
     assert topk.search(df.where("false")).count() == 0
     huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0])], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in topk.search(huge).orderBy("rank").collect()] == [1, 2]
