@@ -164,8 +164,9 @@ def signature_split(spark, d):
 
 @R.add("""
 WITH f AS (SELECT CAST(CAST('0x' || substr(md5('7|' || o_custkey), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold, CAST(o_orderkey AS VARCHAR) AS k FROM orders),
-i AS (SELECT fold, substr(md5(k), 1, 2) AS b, COUNT(*) AS n, sha256(string_agg(k, ',' ORDER BY k)) AS s FROM f GROUP BY ALL)
-SELECT fold, CAST(SUM(n) AS BIGINT) AS n, sha256(string_agg(b || ':' || s, ',' ORDER BY b)) AS fingerprint FROM i GROUP BY fold
+i AS (SELECT fold, UNNEST([0, 1, 2, 3]) AS i, CAST('0x' || substr(sha256(k), 15 * UNNEST([0, 1, 2, 3]) + 1, 15) AS BIGINT) AS x FROM f),
+s AS (SELECT fold, i, COUNT(*) AS n, CAST(SUM(x) AS VARCHAR) AS s FROM i GROUP BY ALL)
+SELECT fold, MAX(n) AS n, sha256(MAX(n) || ',' || string_agg(s, ',' ORDER BY i)) AS fingerprint FROM s GROUP BY fold
 """)
 def split_fingerprint(spark, d):
     return S.split_fingerprint(S.group_split(table(spark, d, "orders"), "o_custkey"), "o_orderkey", "fold")

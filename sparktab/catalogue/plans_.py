@@ -15,8 +15,16 @@ QUERIES, ORACLES = R.queries, R.oracles
 
 
 @R.add("""
-SELECT * FROM (VALUES ('info', 'Dataset shape'), ('warning', 'Repeated observations'), ('positive', 'No missing values'), ('review', 'Possible identifiers')) v(severity, title)
-UNION ALL SELECT CASE WHEN MAX(n) >= 3 * MIN(n) THEN 'warning' ELSE 'info' END, 'Target class balance' FROM (SELECT COUNT(*) AS n FROM labels GROUP BY toxic)
+WITH t AS (SELECT COUNT(*) AS n, 3 * COUNT(*) - COUNT(doc_id) - COUNT(quality) - COUNT(toxic) AS gaps, COUNT(*) - LEAST(COUNT(doc_id), COUNT(quality), COUNT(toxic)) AS most,
+  COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT quality, toxic FROM labels)) AS again, LEAST(COUNT(DISTINCT doc_id), COUNT(DISTINCT quality), COUNT(DISTINCT toxic)) AS least FROM labels),
+c AS (SELECT COUNT(*) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY toxic)
+SELECT 'info' AS severity, 'Dataset shape' AS title
+UNION ALL SELECT CASE WHEN again > 0 THEN 'warning' ELSE 'positive' END, CASE WHEN again > 0 THEN 'Repeated observations' ELSE 'No repeated observations' END FROM t
+UNION ALL SELECT CASE WHEN most >= 0.2 * n THEN 'warning' WHEN gaps > 0 THEN 'info' ELSE 'positive' END,
+  CASE WHEN most >= 0.2 * n THEN 'Substantial missingness' WHEN gaps > 0 THEN 'Some values are missing' ELSE 'No missing values' END FROM t
+UNION ALL SELECT 'warning', 'Constant columns' FROM t WHERE least <= 1
+UNION ALL SELECT 'review', 'Possible identifiers' FROM (SELECT COUNT(doc_id) AS k FROM labels) WHERE k > 0
+UNION ALL SELECT CASE WHEN MAX(n) >= 3 * MIN(n) THEN 'warning' ELSE 'info' END, 'Target class balance' FROM c HAVING COUNT(*) BETWEEN 2 AND 20
 """)
 def eda_findings(spark, d):
     df = table(spark, d, "labels")
@@ -25,15 +33,36 @@ def eda_findings(spark, d):
 
 
 @R.add("""
-SELECT * FROM (VALUES ('warning', 'identifier_features_excluded', 'doc_id'), ('warning', 'substantive_duplicate_observations', ''),
-  ('warning', 'exact_feature_signature_grouping_fallback', ''), ('blocker', 'conflicting_labels_for_identical_features', '')) v(severity, code, columns)
+WITH q AS (SELECT quality, COUNT(*) AS n, COUNT(DISTINCT toxic) AS k FROM labels GROUP BY quality), c AS (SELECT toxic, COUNT(*) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY toxic)
+SELECT 'warning' AS severity, 'identifier_features_excluded' AS code, 'doc_id' AS columns FROM (SELECT COUNT(doc_id) AS n FROM labels) WHERE n > 0
+UNION ALL SELECT 'blocker', 'missing_target', 'toxic' FROM (SELECT COUNT(*) AS n FROM labels WHERE toxic IS NULL) WHERE n > 0
+UNION ALL SELECT 'blocker', 'singleton_class', 'toxic' FROM (SELECT MIN(n) AS n FROM c) WHERE n < 2
+UNION ALL SELECT 'warning', 'small_class', 'toxic' FROM (SELECT MIN(n) AS n FROM c) WHERE n BETWEEN 2 AND 9
+UNION ALL SELECT 'warning', 'substantive_duplicate_observations', '' FROM (SELECT COUNT(*) AS n, (SELECT COUNT(*) FROM (SELECT DISTINCT quality, toxic FROM labels)) AS k FROM labels) WHERE n > k
+UNION ALL SELECT 'warning', 'exact_feature_signature_grouping_fallback', '' FROM (SELECT MAX(n) AS n FROM q) WHERE n > 1
+UNION ALL SELECT 'blocker', 'conflicting_labels_for_identical_features', '' FROM (SELECT MAX(k) AS k FROM q) WHERE k > 1
+UNION ALL SELECT 'warning', 'constant_features', 'quality' FROM (SELECT COUNT(quality) AS k FROM q) WHERE k <= 1
+UNION ALL SELECT 'warning', 'high_missingness', 'quality' FROM (SELECT COUNT(*) AS n, COUNT(quality) AS k FROM labels) WHERE 2 * k <= n
 """)
 def preflight_findings(spark, d):
     return preflight.findings_frame(table(spark, d, "labels"), preflight.Request("toxic", "one row per document", "before review"))
 
 
 @R.add("""
-SELECT * FROM (VALUES ('warning', 'identifier_features_excluded', 'c_name')) v(severity, code, columns)
+WITH g AS (SELECT c_nationkey AS g, COUNT(*) AS n, COUNT(DISTINCT c_mktsegment) AS k FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1),
+s AS (SELECT c_custkey, c_acctbal, COUNT(*) AS n, COUNT(DISTINCT c_mktsegment) AS k, COUNT(DISTINCT c_nationkey) AS g FROM customer GROUP BY 1, 2),
+c AS (SELECT COUNT(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment)
+SELECT 'warning' AS severity, 'identifier_features_excluded' AS code, 'c_name' AS columns FROM (SELECT COUNT(c_name) AS n, COUNT(DISTINCT c_name) AS k FROM customer) WHERE n >= 20 AND k >= 0.98 * n
+UNION ALL SELECT 'blocker', 'singleton_class', 'c_mktsegment' FROM (SELECT MIN(n) AS n FROM c) WHERE n < 2
+UNION ALL SELECT 'warning', 'small_class', 'c_mktsegment' FROM (SELECT MIN(n) AS n FROM c) WHERE n BETWEEN 2 AND 9
+UNION ALL SELECT 'warning', 'substantive_duplicate_observations', '' FROM (SELECT COUNT(*) AS n, (SELECT COUNT(*) FROM (SELECT DISTINCT c_custkey, c_acctbal, c_mktsegment FROM customer)) AS k FROM customer) WHERE n > k
+UNION ALL SELECT 'blocker', 'conflicting_labels_for_identical_features', '' FROM (SELECT MAX(k) AS k FROM s) WHERE k > 1
+UNION ALL SELECT 'blocker', 'insufficient_groups', 'c_nationkey' FROM (SELECT COUNT(*) AS n FROM g) WHERE n < 2
+UNION ALL SELECT 'blocker', 'missing_group_values', 'c_nationkey' FROM (SELECT COUNT(*) AS n FROM customer WHERE c_nationkey IS NULL) WHERE n > 0
+UNION ALL SELECT 'warning', 'singleton_only_groups', 'c_nationkey' FROM (SELECT MAX(n) AS n FROM g) WHERE n = 1
+UNION ALL SELECT 'warning', 'feature_signatures_cross_groups', 'c_nationkey' FROM (SELECT MAX(g) AS g FROM s) WHERE g > 1
+UNION ALL SELECT 'blocker', 'conflicting_labels_cross_groups', 'c_nationkey' FROM (SELECT COUNT(*) AS n FROM s WHERE g > 1 AND k > 1) WHERE n > 0
+UNION ALL SELECT 'warning', 'target_dependent_group_assignment', 'c_nationkey' FROM (SELECT COUNT(*) AS n, MAX(k) AS k FROM g), (SELECT COUNT(DISTINCT c_mktsegment) AS t FROM customer) WHERE n >= 2 AND t >= 2 AND k <= 1
 """)
 def preflight_groups(spark, d):
     return preflight.findings_frame(table(spark, d, "customer"), preflight.Request("c_mktsegment", "one row per customer", "at signing", group="c_nationkey"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.types import DATE_NAME, EDA_ID_NAME, PIPELINE_NAME
 from ..operators import association as A
 from ..operators import distribution as D
 from ..operators import duplicates as U
@@ -94,18 +95,30 @@ def substantive_duplicates(spark, d):
     return U.duplicate_rows(table(spark, d, "documents"), ["text", "lang", "source", "n_chars"])
 
 
-@R.add("""
-SELECT 'c_custkey' AS column_name, 'numeric measure' AS role UNION ALL SELECT 'c_name', CASE WHEN (SELECT COUNT(*) FROM customer) >= 20 THEN 'possible identifier' ELSE 'category' END
-UNION ALL SELECT 'c_nationkey', 'group column' UNION ALL SELECT 'c_acctbal', 'numeric measure' UNION ALL SELECT 'c_mktsegment', 'target'
-""")
+def _role_sql(source: str, kinds: dict[str, str], target: str = "", time: str = "", group: str = "") -> str:
+    """Each column's role from its values; kinds: n(umber), t(ext), d(ate or time), x (nested, as text)."""
+    one = """
+SELECT '{c}' AS column_name, CASE WHEN '{c}' = '{target}' THEN 'target' WHEN '{c}' = '{time}' THEN 'time' WHEN '{c}' = '{group}' THEN 'group'
+  WHEN regexp_matches('{c}', '{pipeline}', 'i') THEN 'possible pipeline metadata'
+  WHEN n > 0 AND (regexp_matches('{c}', '{identifier}', 'i') OR (n >= 20 AND k / n >= 0.98 AND '{kind}' <> 'n')) THEN 'possible identifier'
+  WHEN regexp_matches('{c}', '{dated}', 'i') AND '{kind}' = 'd' THEN 'date/time-like'
+  WHEN k <= 1 THEN 'constant' WHEN '{kind}' = 'n' THEN 'numeric measure' ELSE 'category/text' END AS role
+FROM (SELECT COUNT({c}) AS n, CAST(COUNT(DISTINCT {c}) AS DOUBLE) AS k FROM {source})"""
+    rules = {"pipeline": PIPELINE_NAME.pattern, "identifier": EDA_ID_NAME.pattern, "dated": DATE_NAME.pattern}
+    named = {"source": source, "target": target, "time": time, "group": group}
+    return " UNION ALL ".join(one.format(c=c, kind=kind, **rules, **named) for c, kind in kinds.items())
+
+
+_CUSTOMER = {"c_custkey": "n", "c_name": "t", "c_nationkey": "n", "c_acctbal": "n", "c_mktsegment": "t"}
+_EVENTS = {"event_id": "n", "ts": "d", "user_id": "n", "event_type": "t", "value": "n", "props": "t"}
+
+
+@R.add(_role_sql("customer", _CUSTOMER, target="c_mktsegment", group="c_nationkey"))
 def role_assignment(spark, d):
     return P.profile(table(spark, d, "customer"), target="c_mktsegment", group="c_nationkey").select("column_name", "role")
 
 
-@R.add("""
-SELECT 'event_id' AS column_name, 'possible identifier' AS role UNION ALL SELECT 'ts', 'possible identifier' UNION ALL SELECT 'user_id', 'possible identifier'
-UNION ALL SELECT 'event_type', 'category' UNION ALL SELECT 'value', 'numeric measure' UNION ALL SELECT 'props', 'category'
-""")
+@R.add(_role_sql("events", _EVENTS))
 def identifier_screen(spark, d):
     return P.profile(table(spark, d, "events")).select("column_name", "role")
 
@@ -270,7 +283,7 @@ def html_text_strip(spark, d):
     return table(spark, d, "pages").select("page_id", C.strip_html(F.col("html")).alias("text"))
 
 
-@R.add("SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)(?:src|href)\\s*=\\s*[\"'']?(https?://[^\"''\\s>]+)', 1)) AS INTEGER) AS n_assets FROM pages")
+@R.add("SELECT page_id, CAST(len(regexp_extract_all(html, '{}', 1)) AS INTEGER) AS n_assets FROM pages".format(C.EXTERNAL.replace("'", "''")))
 def external_assets(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(C.external_assets(F.col("html"))).alias("n_assets"))
 
@@ -278,8 +291,7 @@ def external_assets(spark, d):
 @R.add("SELECT event_id, sha256(event_id || chr(31) || event_type || chr(31) || CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE chr(1) END) AS digest FROM events")
 def row_digest(spark, d):
     t = table(spark, d, "events").select("event_id", "event_type", F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("even"))
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in t.columns]
-    return t.select("event_id", F.sha2(F.concat_ws("\u001f", *parts), 256).alias("digest"))
+    return t.select("event_id", C.row_digest(t.columns).alias("digest"))
 
 
 @R.add("SELECT COUNT(*) FILTER (WHERE regexp_matches(d, '^(sha256:)?[0-9a-fA-F]{64}$')) AS n_digests, COUNT(*) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN sha256(props) ELSE props END AS d FROM events)")
@@ -298,9 +310,9 @@ def group_structure(spark, d):
     return P.group_structure(table(spark, d, "customer"), "c_nationkey")
 
 
-@R.add("SELECT quality AS a, COUNT(*) AS n FROM labels GROUP BY 1")
+@R.add("SELECT CAST(quality AS INTEGER) AS a, COUNT(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1")
 def class_support(spark, d):
-    return table(spark, d, "labels").groupBy(F.col("quality").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    return P.class_support(table(spark, d, "labels"), "quality").select(F.col("class").cast("int").alias("a"), "n")
 
 
 @R.add("""

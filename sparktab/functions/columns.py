@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,15 +39,20 @@ def as_timestamp(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(*forms).cast("timestamp_ntz")
 
 
-def canonical_text(c: Column, kind: T.DataType) -> Column:
-    """Text that equal values of different types share: True for booleans, plain decimals for floating numbers."""
-    if isinstance(kind, T.BooleanType):
-        return F.initcap(c.cast("string"))
-    if is_floating(kind):
-        text = c.cast("decimal(38,12)").cast("string")
-        trimmed = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
-        return F.when(finite(c).isNull(), c.cast("string")).otherwise(trimmed)
-    return c.cast("string")
+def same_value(a: Column, kind_a: T.DataType, b: Column, kind_b: T.DataType) -> Column:
+    """Whether values of two columns are equal: numbers, and text against floating numbers, by value; other types as text."""
+    if kind_a == kind_b:
+        return a == b
+    kinds = (kind_a, kind_b)
+    if any(isinstance(k, (T.ArrayType, T.StructType, T.MapType)) for k in kinds):
+        return F.lit(False)
+    numbers = [isinstance(k, T.NumericType) for k in kinds]
+    if all(numbers) and not any(map(is_floating, kinds)):
+        return a == b
+    if any(map(is_floating, kinds)) and all(n or isinstance(k, T.StringType) for n, k in zip(numbers, kinds, strict=True)):
+        return F.coalesce(a.try_cast("double") == b.try_cast("double"), F.lit(False))
+    text = lambda c, k: F.initcap(c.cast("string")) if isinstance(k, T.BooleanType) else c.cast("string")
+    return text(a, kind_a) == text(b, kind_b)
 
 
 def normal_label(c: Column) -> Column:
@@ -58,13 +61,6 @@ def normal_label(c: Column) -> Column:
     return F.when(c.isNull(), "(missing)").when(text == "", "(blank)").when(F.length(text) > 48, F.concat(F.substring(text, 1, 47), F.lit("…"))).otherwise(text)
 
 
-def guarded_corr(x: Column, y: Column) -> Column:
-    """Pearson's correlation over rows where both are finite; null where one is constant."""
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(a, b), F.when(F.stddev_pop(a) * F.stddev_pop(b) > 0, F.stddev_pop(a) * F.stddev_pop(b)))
-
-
 def is_sha256(c: Column) -> Column:
     return c.rlike("^(sha256:)?[0-9a-fA-F]{64}$")
 
@@ -78,21 +74,21 @@ def strip_html(c: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
 
 
+#: Where markup and style sheets name an address; its one group is the address.
+EXTERNAL = r"""(?i)(?:\b(?:src|href|data|poster|action)\s*=\s*["']?|\burl\(\s*["']?|@import\s+["'])((?:https?:)?//[^"'\s>)]+)"""
+
+
 def external_assets(c: Column) -> Column:
-    """Addresses of another host that src, href or CSS url() name."""
-    return F.regexp_extract_all(c, F.lit(r"""(?i)(?:src|href)\s*=\s*["']?(https?://[^"'\s>]+)"""), F.lit(1))
+    """Addresses of another host, with or without a scheme, in src, href, data, poster and action, in CSS url() and @import."""
+    return F.regexp_extract_all(c, F.lit(EXTERNAL), F.lit(1))
 
 
 def row_digest(columns: list[str]) -> Column:
     """sha256 of the values as text, null and text told apart."""
-    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in columns]
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0001")) for c in columns]
     return F.sha2(F.concat_ws("\u001f", *parts), 256)
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def tokenise(c: Column, least: int = 3) -> Column:
     """Distinct runs of a-z and 0-9 of the lower-cased text, least characters or more, sorted."""
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) >= least)))

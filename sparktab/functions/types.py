@@ -78,7 +78,11 @@ class ColumnFacts:
         return self.missing / self.rows if self.rows else 0.0
 
 
-ROLES = ("target", "time column", "group column", "possible pipeline metadata", "possible identifier", "date-like", "constant", "numeric measure", "category")
+# Role names that published profiles use.
+ROLES = (
+    "target", "time", "group", "possible pipeline metadata", "possible identifier", "date/time-like", "constant",
+    "numeric measure", "category/text",
+)
 
 
 def role(facts: ColumnFacts, target: str | None = None, time: str | None = None, group: str | None = None) -> str:

@@ -2,37 +2,48 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import canonical_text, finite, guarded_corr
-from ..functions.types import logical_type
+from ..functions.columns import finite, same_value
+from . import ranks
 from .profile import q
 
 
 def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """left_column, right_column, n, r: all pairs in one pass; r is null where a column is constant."""
-    pairs = list(combinations(columns, 2))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = finite(q(a)), finite(q(b))
-        aggs += [guarded_corr(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
-    row = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(rows).alias("p")).select("p.*")
+    """left_column, right_column, n, r: all pairs, PAIRS of them a pass; r is null where a column is constant."""
+    return _correlations(df, list(combinations(columns, 2)), "left_column", "right_column")
+
+
+#: Pairs whose correlations share one pass; wider code may not be compiled.
+PAIRS = 24
+
+
+def _correlations(df: DataFrame, pairs: list[tuple[str, str]], left: str, right: str) -> DataFrame:
+    """left, right, n, r of the pairs. The finite doubles are made once a row; rows where one is null count for no pair."""
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    numbers = df.select(*[finite(q(c)).alias(f"x{i}") for i, c in enumerate(names)])
+    at = {c: F.col(f"x{i}") for i, c in enumerate(names)}
+    parts = []
+    for start in range(0, len(pairs), PAIRS):
+        some = pairs[start : start + PAIRS]
+        sums = ((F.regr_sxy, "p"), (F.regr_sxx, "s"), (F.regr_syy, "t"), (F.regr_count, "n"))
+        aggs = [f(at[a], at[b]).alias(f"{name}{i}") for i, (a, b) in enumerate(some) for f, name in sums]
+        r = lambda i: F.try_divide(F.col(f"p{i}"), F.sqrt(f"s{i}") * F.sqrt(f"t{i}"))
+        rows = [F.struct(F.lit(a).alias(left), F.lit(b).alias(right), F.col(f"n{i}").alias("n"), r(i).alias("r")) for i, (a, b) in enumerate(some)]
+        parts.append(numbers.agg(*aggs).select(F.explode(F.array(*rows)).alias("p")).select("p.*"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], f"{left} string, {right} string, n long, r double")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def near_perfect(df: DataFrame, features: list[str], target: str, least: float = 0.995) -> DataFrame:
     """feature, n, r of numeric features whose correlation with the target is least or more over three rows or more."""
-    y = finite(q(target))
-    aggs = []
-    for i, f in enumerate(features):
-        x = finite(q(f))
-        aggs += [guarded_corr(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
-    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r")) for i, f in enumerate(features)])
-    return df.agg(*aggs).select(F.explode(rows).alias("p")).select("p.*").where((F.col("n") >= 3) & (F.abs("r") >= least))
+    found = _correlations(df, [(f, target) for f in features], "feature", "other")
+    return found.where((F.col("n") >= 3) & (F.abs("r") >= least)).select("feature", "n", "r")
 
 
 def eta_squared(df: DataFrame, category: str, measure: str) -> DataFrame:
@@ -65,20 +76,21 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
 def conditional_medians(df: DataFrame, target: str, measure: str) -> DataFrame:
     """target_value, n, median of the measure's finite values for each class."""
     pairs = df.select(q(target).alias("target_value"), finite(q(measure)).alias("x")).where("target_value IS NOT NULL AND x IS NOT NULL")
-    return pairs.groupBy("target_value").agg(F.count(F.lit(1)).alias("n"), F.median("x").alias("median"))
+    return ranks.grouped_median(pairs, "target_value", "x")
 
 
 def conditional_target_median(df: DataFrame, category: str, target: str, top: int = 5) -> DataFrame:
     """category, n, median of a numeric target for the most frequent categories; ties by category."""
     pairs = df.select(q(category).alias("category"), finite(q(target)).alias("y")).where("category IS NOT NULL AND y IS NOT NULL")
-    return pairs.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.median("y").alias("median")).orderBy(F.desc("n"), "category").limit(top)
+    best = pairs.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category").limit(top).select("category")
+    return ranks.grouped_median(pairs.join(F.broadcast(best), "category"), "category", "y")
 
 
 def conditional_composition(df: DataFrame, category: str, target: str, levels: int = 4, shares: int = 5) -> DataFrame:
     """level, target_value, n, share: target shares within the most frequent levels; ties by value."""
-    cells = crosstab(df, category, target).withColumn("total", F.sum("n").over(Window.partitionBy("a")))
-    cells = cells.withColumn("level_rank", F.dense_rank().over(Window.orderBy(F.desc("total"), "a")))
-    cells = cells.where(F.col("level_rank") <= levels).withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b")))
+    cells = crosstab(df, category, target)
+    best = cells.groupBy("a").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "a").limit(levels)
+    cells = cells.join(F.broadcast(best), "a").withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b")))
     return cells.where(F.col("k") <= shares).select(F.col("a").alias("level"), F.col("b").alias("target_value"), "n", (F.col("n") / F.col("total")).alias("share"))
 
 
@@ -89,9 +101,7 @@ def target_copies(df: DataFrame, target: str, columns: list[str] | None = None)
     aggs = []
     for i, c in enumerate(columns):
         both = q(c).isNotNull() & q(target).isNotNull()
-        same = q(c) == q(target) if kinds[c] == kinds[target] else canonical_text(q(c), kinds[c]) == canonical_text(q(target), kinds[target])
-        if logical_type(kinds[c]) == "nested" and kinds[c] != kinds[target]:
-            same = F.lit(False)
+        same = same_value(q(c), kinds[c], q(target), kinds[target])
         aggs += [F.count_if(both).alias(f"n{i}"), F.count_if(both & ~same).alias(f"u{i}")]
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n_pairs"), F.col(f"u{i}").alias("n_unequal"), ((F.col(f"n{i}") > 0) & (F.col(f"u{i}") == 0)).alias("is_copy")) for i, c in enumerate(columns)])
     return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")

@@ -31,7 +31,13 @@ def signatures(df: DataFrame, features: list[str], target: str | None = None, gr
 
 def signature_summary(df: DataFrame, features: list[str], target: str | None = None, group: str | None = None) -> DataFrame:
     """n_signatures, n_repeated_signatures, n_repeated_rows, n_conflicting, n_across_groups, n_conflicting_across_groups."""
-    s = signatures(df, features, target, group)
+    keys = [q(f).alias(f"f{i}") for i, f in enumerate(features)]
+    nothing = F.lit(None).cast("string")
+    extra = [q(c).alias(n) if c else nothing.alias(n) for c, n in ((target, "t"), (group, "g"))]
+    # two values or more: the least is below the greatest; no count of distinct ones is needed
+    per = df.groupBy(*keys, *extra).agg(F.count(F.lit(1)).alias("n")).groupBy(*[f"f{i}" for i in range(len(features))])
+    several = lambda c, out: F.when(F.min(c) < F.max(c), 2).otherwise(1).alias(out)
+    s = per.agg(F.sum("n").alias("n"), several("t", "targets"), several("g", "groups"))
     return s.agg(
         F.count(F.lit(1)).alias("n_signatures"),
         F.count_if(F.col("n") > 1).alias("n_repeated_signatures"),

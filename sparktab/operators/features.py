@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 from .profile import q
+from .ranks import quantiles
 
 
 def _order(entity: str, time: str, key: str):
@@ -105,8 +106,8 @@ def standard_scale(train: DataFrame, df: DataFrame, columns: list[str]) -> DataF
 
 def winsorise(train: DataFrame, df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, out: str = "winsorised") -> DataFrame:
     """df with the value held between the training rows' quantiles."""
-    lo, hi = train.agg(F.percentile(finite(q(column)), F.array(F.lit(low), F.lit(high)))).first()[0]
-    return df.withColumn(out, F.greatest(F.lit(lo), F.least(F.lit(hi), finite(q(column)))))
+    lo, hi = (F.lit(x).cast("double") for x in quantiles(train, {"x": finite(q(column))}, [low, high])["x"])
+    return df.withColumn(out, F.greatest(lo, F.least(hi, finite(q(column)))))
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:

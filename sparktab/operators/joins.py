@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .profile import q
+from .ranks import as_double, ranged
+
+#: Ranges of time that an as-of join works in.
+RANGES = 64
 
 
 def join_integrity(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -33,14 +37,27 @@ def isolation_violations(context: DataFrame, query: DataFrame, keys: list[str])
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str, out: str, strict: bool = False) -> DataFrame:
     """left with the latest value of right at or before (strict: before) its time, for the same key.
 
-    One union and one window over (key, time) instead of a range join: no pair of rows is made.
+    One union and one window over (key, time) instead of a range join: no pair of rows is made. Windows stay within RANGES
+    ranges of time; each range's last value of a key is carried to the later ones, so a hot key fills no single task.
     """
     l = left.select("*", q(left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     r = right.select(q(by).alias(by), q(right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), q(value).alias("_v"), F.lit(True).alias("_right"))
     both = l.withColumn("_right", F.lit(False)).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy("_t", "_side", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = both.withColumn(out, F.last(F.when(F.col("_right"), F.struct(F.col("_v").alias("v"))), ignorenulls=True).over(w)["v"])
-    return filled.where(~F.col("_right")).drop("_t", "_side", "_v", "_right")
+    order = as_double(F.col("_t"), both.schema["_t"].dataType)
+    both = ranged(both.withColumn("_o", F.coalesce(order, F.lit(float("-inf")))), "_o", "_range", RANGES)
+    w = Window.partitionBy(by, "_range").orderBy("_t", "_side", F.col("_v").asc_nulls_first())
+    w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = F.when(F.col("_right"), F.struct(F.col("_v").alias("v")))
+    # as many rows a key as ranges; null values sort first in structs as well
+    ends = both.groupBy(q(by).alias("_by"), F.col("_range").alias("_r")).agg(F.max(F.when(F.col("_right"), F.struct("_t", "_side", "_v"))).alias("_e"))
+    before = Window.partitionBy("_by").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.last(F.when(F.col("_e").isNotNull(), F.struct(F.col("_e._v").alias("v"))), ignorenulls=True).over(before)
+    ends = ends.select("_by", "_r", carried.alias("_c"))
+    filled = both.withColumn("_h", F.last(held, ignorenulls=True).over(w)).where(~F.col("_right"))
+    filled = filled.join(ends, q(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")), "left")
+    # equal to null matches nothing
+    value = F.when(q(by).isNotNull(), F.coalesce("_h", "_c")["v"])
+    return filled.withColumn(out, value).select(*left.columns, out)
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, width: float) -> DataFrame:

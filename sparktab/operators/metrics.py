@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .profile import q
+from .ranks import quantiles, running_sums
 from .splits import hash_fold
 
 
@@ -30,31 +31,19 @@ def accuracy(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     """Scores in order with positives and negatives of each, ties together."""
-    return df.where(q(score).isNotNull() & q(label).isNotNull()).groupBy(q(score).alias("s")).agg(F.sum((q(label) == 1).cast("long")).alias("p"), F.sum((q(label) != 1).cast("long")).alias("m"))
-
-
-def _running(per: DataFrame, column: str, out: str, buckets: int = 1024) -> DataFrame:
-    """Adds the sum of column over all higher scores, in two levels so that no task orders all scores."""
-    lo, hi = per.agg(F.min("s"), F.max("s")).first()
-    if lo is None or lo == hi:
-        return per.withColumn(out, F.lit(0).cast("long"))
-    cut = per.withColumn("_b", F.least(F.floor((F.col("s") - lo) / (hi - lo) * buckets), F.lit(buckets - 1)).cast("int"))
-    inner = Window.partitionBy("_b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    above = cut.groupBy("_b").agg(F.sum(column).alias("_t")).withColumn("_above", F.coalesce(F.sum("_t").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = cut.withColumn("_in", F.coalesce(F.sum(column).over(inner), F.lit(0))).join(F.broadcast(above.select("_b", "_above")), "_b")
-    return placed.withColumn(out, F.col("_in") + F.col("_above")).drop("_b", "_in", "_above")
+    return df.where(q(score).isNotNull() & q(label).isNotNull()).groupBy(q(score).cast("double").alias("s")).agg(F.sum((q(label) == 1).cast("long")).alias("p"), F.sum((q(label) != 1).cast("long")).alias("m"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """n_positive, n_negative, auc: chance that a positive outranks a negative, ties counting half."""
-    per = _running(_by_score(df, label, score), "p", "above")
+    per = running_sums(_by_score(df, label, score), "s", {"p": "above"}, descending=True)
     got = per.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_positive"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_negative"), F.sum(F.col("m").cast("double") * (F.col("above") + F.col("p") / 2.0)).alias("w"))
     return got.select("n_positive", "n_negative", F.try_divide("w", F.col("n_positive").cast("double") * F.col("n_negative")).alias("auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """n_positive, average_precision: precision at each score weighted by its gain of recall."""
-    per = _running(_running(_by_score(df, label, score), "p", "hits"), "m", "misses")
+    per = running_sums(_by_score(df, label, score), "s", {"p": "hits", "m": "misses"}, descending=True)
     hits, misses = F.col("hits") + F.col("p"), F.col("misses") + F.col("m")
     got = per.agg(F.sum("p").alias("n_positive"), F.sum(F.col("p") * hits / (hits + misses)).alias("w"))
     return got.select("n_positive", F.try_divide("w", F.col("n_positive")).alias("average_precision"))
@@ -86,10 +75,11 @@ def regression_metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:
     log_ok = (y > -1) & (p > -1)
     rows = df.where(y.isNotNull() & p.isNotNull())
     got = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.median(F.abs(e)).alias("median_ae"), F.sum(e * e).alias("sse"), (F.var_pop(y) * F.count(y)).alias("sst"),
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("sse"), (F.var_pop(y) * F.count(y)).alias("sst"),
         F.sqrt(F.avg(F.when(log_ok, F.pow(F.log1p(p) - F.log1p(y), 2)))).alias("rmsle"), F.avg(F.when(y != 0, F.abs(e / F.when(y != 0, y)))).alias("mape"),
     )
-    return got.select("n", "mae", "rmse", "median_ae", (1 - F.try_divide("sse", "sst")).alias("r2"), "rmsle", "mape")
+    middle = quantiles(rows, {"e": F.abs(e)}, [0.5])["e"][0]
+    return got.select("n", "mae", "rmse", F.lit(middle).cast("double").alias("median_ae"), (1 - F.try_divide("sse", "sst")).alias("r2"), "rmsle", "mape")
 
 
 def forecast_metrics(df: DataFrame, entity: str, time: str, key: str, value: str, season: int = 1) -> DataFrame:
@@ -223,4 +213,5 @@ def permutation_test(df: DataFrame, key: str, block: str, label: str, value: str
 
 def latency_summary(df: DataFrame, value: str) -> DataFrame:
     """n, median, p95 of a measure, exact."""
-    return df.agg(F.count(q(value)).alias("n"), F.percentile(q(value), F.lit(0.5)).alias("median"), F.percentile(q(value), F.lit(0.95)).alias("p95"))
+    middle, high = quantiles(df, {"x": q(value).cast("double")}, [0.5, 0.95])["x"]
+    return df.agg(F.count(q(value)).alias("n")).select("n", F.lit(middle).cast("double").alias("median"), F.lit(high).cast("double").alias("p95"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_timestamp, finite, infinite
 from ..functions.types import CATEGORY, NUMERIC, ColumnFacts, logical_type, role
+from . import ranks
 
 #: Columns whose aggregates share one pass; wider code may not be compiled.
 CHUNK = 40
@@ -72,9 +73,9 @@ def constant_columns(df: DataFrame) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """column_name, n_finite, n_infinite, min, q1, median, q3, max, mean, std, outliers_iqr.
 
-    Two passes: the first makes all moments and quartiles (exact, linear interpolation; or approximate if asked), the
-    second counts values beyond 1.5 interquartile ranges with the first's fences as literals. Columns without a finite
-    value have nulls. Returns one row per column.
+    Fused passes over all columns make moments, exact quartiles (linear interpolation; see ranks.py; or approximate ones if
+    asked) and the counts of values beyond 1.5 interquartile ranges, fences as literals. Columns without a finite value
+    have nulls. Returns one row per column.
     """
     rows: list[tuple] = []
     for at in range(0, len(columns), CHUNK):
@@ -82,9 +83,14 @@ def numeric_summary(df: DataFrame, columns: list[str], approximate: bool = False
         aggs = []
         for i, c in enumerate(some):
             x = finite(q(c))
-            quart = F.percentile_approx(x, [0.25, 0.5, 0.75], 100_000) if approximate else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            aggs += [F.struct(F.count(x).alias("n"), F.count_if(infinite(q(c))).alias("inf"), F.min(x).alias("lo"), quart.alias("q"), F.max(x).alias("hi"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).alias(f"s{i}")]
-        first = df.agg(*aggs).first()
+            quart = F.percentile_approx(x, [0.25, 0.5, 0.75], 100_000) if approximate else F.lit(None).cast("array<double>")
+            parts = [F.count(x).alias("n"), F.count_if(infinite(q(c))).alias("inf"), F.min(x).alias("lo"), quart.alias("q")]
+            aggs.append(F.struct(*parts, F.max(x).alias("hi"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).alias(f"s{i}"))
+        first = df.agg(*aggs).first().asDict(recursive=True)
+        if not approximate:
+            exact = ranks.quantiles(df, {c: finite(q(c)) for c in some}, [0.25, 0.5, 0.75])
+            for i, c in enumerate(some):
+                first[f"s{i}"]["q"] = exact[c]
         fences = []
         for i, c in enumerate(some):
             s = first[f"s{i}"]
@@ -124,6 +130,11 @@ def profile(df: DataFrame, target: str | None = None, time: str | None = None, g
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def class_support(df: DataFrame, target: str) -> DataFrame:
+    """class (as text), n: rows of each observed class."""
+    return df.where(q(target).isNotNull()).groupBy(q(target).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def class_balance(df: DataFrame, target: str, most: int = 20) -> DataFrame:
     """n_classes, largest, smallest, ratio of a target of at most that many classes."""
     counts = df.where(q(target).isNotNull()).groupBy(q(target)).agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .profile import q
+from .ranks import quantiles, running_sums
+
+#: Hash parts of a batch that are ranked apart.
+PARTS = 64
 
 
 def select_queue(df: DataFrame, batch: str, entity: str, score: str, key: str, capacity: int, per_entity: int) -> DataFrame:
@@ -19,10 +23,19 @@ def select_queue(df: DataFrame, batch: str, entity: str, score: str, key: str, c
 
 
 def capacity_metrics(df: DataFrame, batch: str, label: str, score: str, key: str, k: int) -> DataFrame:
-    """batch, n, positives, hits, precision, recall, lift of each batch's k best rows."""
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(q(batch)).orderBy(F.desc(q(score)), q(key))))
+    """batch, n, positives, hits, precision, recall, lift of each batch's k best rows.
+
+    The k best of PARTS hash parts of a batch hold the k best of the batch, so that no task ranks a whole batch.
+    """
     y = (q(label) == 1).cast("long")
-    per = ranked.groupBy(q(batch).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("positives"), F.sum(F.when(F.col("_r") <= k, y).otherwise(0)).alias("hits"))
+    rows = df.select(q(batch).alias("batch"), y.alias("y"), q(score).alias("s"), q(key).alias("k"))
+    order = [F.desc("s"), "k"]
+    part = F.pmod(F.xxhash64("k"), F.lit(PARTS))
+    best = rows.withColumn("_r", F.row_number().over(Window.partitionBy("batch", part).orderBy(*order))).where(F.col("_r") <= k)
+    best = best.withColumn("_r", F.row_number().over(Window.partitionBy("batch").orderBy(*order))).where(F.col("_r") <= k)
+    hits = best.groupBy(F.col("batch").alias("b")).agg(F.sum("y").alias("hits"))
+    per = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"))
+    per = per.join(hits, F.col("batch").eqNullSafe(F.col("b"))).drop("b")
     precision = F.col("hits") / F.least(F.lit(k), F.col("n")).cast("double")
     return per.select("batch", "n", "positives", "hits", precision.alias("precision"), F.try_divide(F.col("hits").cast("double"), "positives").alias("recall"), F.try_divide(precision, F.col("positives") / F.col("n")).alias("lift"))
 
@@ -36,11 +49,12 @@ def rank_overlap(a: DataFrame, b: DataFrame, key: str, score: str, k: int) -> Da
 def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """n, spearman: Pearson's correlation of mean ranks, ranks taken over the distinct values' counts."""
     def ranks(c: str, name: str) -> DataFrame:
-        per = df.groupBy(q(c).alias(f"_{name}")).agg(F.count(F.lit(1)).alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.orderBy(f"_{name}").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return per.select(f"_{name}", (below + (F.col("n") + 1) / 2.0).alias(name))
+        per = df.where(q(c).isNotNull()).groupBy(q(c).cast("double").alias(f"_{name}")).agg(F.count(F.lit(1)).alias("n"))
+        per = running_sums(per, f"_{name}", {"n": "below"})
+        return per.select(f"_{name}", (F.col("below") + (F.col("n") + 1) / 2.0).alias(name))
 
-    both = df.join(ranks(x, "rx"), q(x) == F.col("_rx")).join(ranks(y, "ry"), q(y) == F.col("_ry"))
+    both = df.join(ranks(x, "rx"), q(x).cast("double") == F.col("_rx"))
+    both = both.join(ranks(y, "ry"), q(y).cast("double") == F.col("_ry"))
     return both.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("spearman"))
 
 
@@ -54,10 +68,10 @@ def concentration(df: DataFrame, entity: str) -> DataFrame:
 def robust_zscore(df: DataFrame, column: str, out: str = "robust_z") -> DataFrame:
     """df with (x - median) / (1.4826 * MAD); null where the MAD is 0. Two passes collect two numbers."""
     x = q(column).cast("double")
-    middle = df.agg(F.median(x)).first()[0]
+    middle = quantiles(df, {"x": x}, [0.5])["x"][0]
     if middle is None:
         return df.withColumn(out, F.lit(None).cast("double"))
-    mad = df.agg(F.median(F.abs(x - F.lit(middle)))).first()[0]
+    mad = quantiles(df, {"x": F.abs(x - F.lit(middle))}, [0.5])["x"][0]
     return df.withColumn(out, (x - F.lit(middle)) / F.lit(1.4826 * mad) if mad else F.lit(None).cast("double"))
 
 

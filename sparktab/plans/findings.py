@@ -31,7 +31,7 @@ def duplicate_counts(df: DataFrame, facts: list[ColumnFacts], roles: dict[str, s
     excluded = [f.name for f in facts if roles[f.name] in ("possible identifier", "possible pipeline metadata")]
     kept = [c for c in df.columns if c not in excluded]
     exact = duplicates.duplicate_rows(df).first()["n_repeated"]
-    repeated = exact if not excluded else duplicates.duplicate_rows(df, kept).first()["n_repeated"] if kept else 0
+    repeated = duplicates.duplicate_rows(df, kept).first()["n_repeated"] if excluded and kept else exact
     return {"exact": exact, "repeated": repeated, "excluded": excluded}
 
 

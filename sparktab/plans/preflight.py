@@ -7,9 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import FOLD_NAME, GROUP_NAME, NUMERIC, PREFLIGHT_ID_NAME, infer_task, is_identifier, is_pipeline_metadata, leakage_signal
+from ..functions.types import FOLD_NAME, GROUP_NAME, NUMERIC, PREFLIGHT_ID_NAME, counts_as_number, infer_task, is_identifier, is_pipeline_metadata, leakage_signal
 from ..operators import association, duplicates, profile, splits
-from ..operators.profile import q
 from ..sources.readers import guard
 
 BLOCKER, WARNING = "blocker", "warning"
@@ -60,10 +59,9 @@ def preflight(df: DataFrame, request: Request) -> dict:
     classes: dict[str, int] = {}
     if task == "classification":
         notes.note(t.distinct < 2, BLOCKER, "invalid_class_target", "A classification target needs two classes.", [r.target])
-        counts = df.where(q(r.target).isNotNull()).groupBy(q(r.target).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n"))
-        # as many classes as are worth reporting; the smallest is exact whatever their number
-        classes = {x["c"]: x["n"] for x in counts.orderBy(F.desc("n"), "c").limit(100).collect()}
-        least = counts.agg(F.min("n")).first()[0]
+        # one row a class, all of them
+        classes = {x["class"]: x["n"] for x in profile.class_support(df, r.target).orderBy(F.desc("n"), "class").collect()}
+        least = min(classes.values(), default=None)
         notes.note(least is not None and least < 2, BLOCKER, "singleton_class", "A class has a single row.", [r.target])
         notes.note(least is not None and 2 <= least < SMALL_CLASS, WARNING, "small_class", f"The smallest class has {least} rows.", [r.target])
     else:
@@ -83,9 +81,8 @@ def preflight(df: DataFrame, request: Request) -> dict:
     notes.note(bool(leaks := [c for c in features if leakage_signal(c, r.target)]), WARNING, "leakage_name_signal", "Names that point to the outcome.", leaks)
     copies = [x["column_name"] for x in association.target_copies(df, r.target, features).collect() if x["is_copy"]] if features else []
     notes.note(bool(copies), BLOCKER, "direct_target_copy", "Features equal to the target wherever both are known.", copies)
-    numbers = [c for c in features if facts[c].logical == NUMERIC] if t.logical == NUMERIC else []
+    numbers = [c for c in features if counts_as_number(facts[c].logical)] if counts_as_number(t.logical) else []
     near = [x["feature"] for x in association.near_perfect(df, numbers, r.target, NEAR_PERFECT).collect()] if numbers else []
-    near = [c for c in near if c not in copies]
     notes.note(bool(near), WARNING, "near_perfect_target_association", "Features that all but equal the target.", near)
 
     groups = None
@@ -107,18 +104,20 @@ def preflight(df: DataFrame, request: Request) -> dict:
     if r.time is not None:
         c = profile.time_coverage(df, r.time).first()
         bad = c["invalid"] + c["missing"]
-        times = {"column": r.time, "first": c["first"], "last": c["last"], "invalid_rows": bad}
+        ordered = df.withColumn("_source_order", F.monotonically_increasing_id())
+        monotonic = profile.is_monotonic(ordered, r.time, "_source_order").first()["monotonic"]
+        times = {"column": r.time, "first": c["first"], "last": c["last"], "invalid_rows": bad, "monotonic_in_source_order": bool(monotonic)}
         notes.note(bad > 0, BLOCKER, "invalid_time_values", f"{bad} rows have no valid time.", [r.time])
 
     folds = []
     if task == "classification":
         candidates = [c for c in df.columns if c == r.group or GROUP_NAME.search(c)]
-        for fold in [c for c in df.columns if c not in (r.target, r.group, r.time) and FOLD_NAME.search(c)]:
+        for fold in [c for c in df.columns if c != r.target and FOLD_NAME.search(c)]:
             folds.append(audit := _fold(df, fold, r.target, [c for c in candidates if c != fold]))
             missing = [p["value"] for p in audit["partitions"] if p["missing_classes"]]
             low = [p["value"] for p in audit["partitions"] if p["least_support"] is not None and p["least_support"] < 2]
-            notes.note(bool(missing), BLOCKER, "fold_missing_classes", f"Partitions without some classes: {', '.join(missing)}.", [fold])
-            notes.note(bool(low), WARNING, "fold_low_class_support", f"Partitions with a class of one row: {', '.join(low)}.", [fold])
+            notes.note(bool(missing), BLOCKER, "fold_missing_classes", f"Partitions without some classes: {_listed(missing)}.", [fold])
+            notes.note(bool(low) and not missing, WARNING, "fold_low_class_support", f"Partitions with a class of one row: {_listed(low)}.", [fold])
             crossing = [c for c, x in audit["group_overlap"].items() if x["groups_crossing_partitions"]]
             notes.note(bool(crossing), BLOCKER, "group_ids_cross_folds", "Groups lie in several partitions.", [fold, *crossing])
 
@@ -137,8 +136,12 @@ def preflight(df: DataFrame, request: Request) -> dict:
     }
 
 
+def _listed(names: list[str], most: int = 20) -> str:
+    return ", ".join(names[:most]) + (f" and {len(names) - most} others" if len(names) > most else "")
+
+
 def _fold(df: DataFrame, fold: str, target: str, candidates: list[str]) -> dict:
-    parts = [{"value": x["partition"], "rows": x["n_rows"], "classes": x["n_classes"], "least_support": x["least_support"], "missing_classes": [c for c in x["missing_classes"].split(",") if c]} for x in splits.fold_audit(df, fold, target).orderBy("partition").limit(1000).collect()]
+    parts = [{"value": x["partition"], "rows": x["n_rows"], "classes": x["n_classes"], "least_support": x["least_support"], "missing_classes": [c for c in x["missing_classes"].split(",") if c]} for x in splits.fold_audit(df, fold, target).orderBy("partition").collect()]
     overlap = {}
     for c in candidates:
         x = splits.overlap(df, c, fold).first()

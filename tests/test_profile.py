@@ -114,3 +114,84 @@ def test_lags_start_at_one(spark):
     with pytest.raises(ValueError):
         features.lag_features(spark.range(1), "id", "id", "id", "id", [0])
     assert leakage_signal("final_score", "quality") and not leakage_signal("acidity", "quality")
+
+
+def codes(report):
+    return {f["code"] for f in report["modeling_preflight"]["findings"]}
+
+
+def test_every_class_and_partition_is_audited(spark):
+    rows = [(i, f"c{i % 150:03d}", f"p{i // 300:04d}") for i in range(1200 * 300)]
+    df = spark.createDataFrame(rows, "x long, kind string, fold string").where("NOT (fold = 'p1199' AND kind = 'c149')")
+    got = preflight.preflight(df, preflight.Request("kind", "row", "now", "classification"))
+    assert len(got["target"]["class_counts"]) == 150
+    parts = got["split_context"]["folds"][0]["partitions"]
+    assert len(parts) == 1200 and [p["value"] for p in parts if p["missing_classes"]] == ["p1199"]
+    assert "fold_missing_classes" in codes(got) and "fold_low_class_support" not in codes(got)
+
+
+def test_copies_go_by_value(spark):
+    rows = [(i * 1e30, 1e-13 if i % 2 else 2e-13, float(i), i % 2 == 1, str(float(i)), float(i)) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "huge double, tiny double, same double, flag boolean, words string, y double")
+    got = {r["column_name"]: r["is_copy"] for r in association.target_copies(df, "y").collect()}
+    assert got == {"huge": False, "tiny": False, "same": True, "flag": False, "words": True}
+    tiny = df.select("tiny", F.reverse("words").alias("other"), (F.col("tiny") * 3).alias("z"))
+    assert [r["is_copy"] for r in association.target_copies(tiny, "z", ["tiny"]).collect()] == [False]
+    report_ = preflight.preflight(df.select("same", "huge", "y"), preflight.Request("y", "row", "now", "regression"))
+    near = [f for f in report_["modeling_preflight"]["findings"] if f["code"] == "near_perfect_target_association"]
+    assert {"direct_target_copy", "near_perfect_target_association"} <= codes(report_) and near[0]["columns"] == ["same", "huge"]
+    flags = spark.createDataFrame([(i % 2 == 0, i % 2, i) for i in range(8)], "flag boolean, y int, x int")
+    assert "near_perfect_target_association" in codes(preflight.preflight(flags, preflight.Request("y", "row", "now")))
+
+
+def test_named_folds_and_source_order(spark):
+    rows = [(f"2025-01-{i + 1:02d}", f"f{i % 2}", i % 4 // 2, i * i % 7) for i in range(12)]
+    df = spark.createDataFrame(rows, "day string, group_fold string, y int, x int")
+    got = preflight.preflight(df, preflight.Request("y", "row", "now", "classification", group="group_fold", time="day"))
+    assert [f["column"] for f in got["split_context"]["folds"]] == ["group_fold"]
+    assert got["split_context"]["time"]["monotonic_in_source_order"] is True
+    back = df.orderBy(F.desc("day"))
+    got = preflight.preflight(back, preflight.Request("y", "row", "now", "classification", time="day"))
+    assert got["split_context"]["time"]["monotonic_in_source_order"] is False
+
+
+def test_exact_repeats_count_where_every_column_is_left_out(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "record_id string, outer_fold int")
+    facts = profile.facts(df)
+    from sparktab.functions.types import role
+
+    assert findings.duplicate_counts(df, facts, {f.name: role(f) for f in facts})["repeated"] == 1
+
+
+def test_quantiles_in_brackets(spark):
+    import numpy as np
+
+    from sparktab.operators import ranks
+
+    rng = np.random.default_rng(5)
+    for values in (rng.lognormal(size=30_000), np.repeat([1.0, 2.0, 3.0], 9_000), rng.integers(0, 5, 25_000).astype(float), np.array([4.0]), np.array([])):
+        df = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(values)], "x double, g int")
+        got = ranks.quantiles(df, {"x": F.col("x")}, [0.0, 0.01, 0.25, 0.5, 0.75, 1.0])["x"]
+        want = np.quantile(values, [0.0, 0.01, 0.25, 0.5, 0.75, 1.0]).tolist() if len(values) else [None] * 6
+        assert got == pytest.approx(want)
+        for r in ranks.grouped_median(df, "g", "x").collect():
+            own = values[np.arange(len(values)) % 3 == r["g"]]
+            assert r["n"] == len(own) and r["median"] == pytest.approx(float(np.median(own)))
+
+
+def test_asof_with_a_hot_entity(spark):
+    from sparktab.operators import joins
+
+    left = spark.createDataFrame([(("hot" if i % 10 else None if i % 20 else f"e{i % 30}"), i) for i in range(3000)], "e string, t int")
+    right = spark.createDataFrame([("hot", i * 7, i if i % 5 else None) for i in range(300)] + [("e0", 40, 1), (None, 5, 9)], "e string, u int, v int")
+    for strict in (False, True):
+        got = joins.asof_join(left, right, "e", "t", "u", "v", "found", strict).collect()
+        known = sorted((u, v) for e, u, v in [(r["e"], r["u"], r["v"] if r["v"] is not None else -1) for r in right.collect()] if e == "hot")
+        assert len(got) == 3000
+        for r in got:
+            if r["e"] == "hot":
+                past = [v for u, v in known if u < r["t"] or (u == r["t"] and not strict)]
+                want = past[-1] if past and past[-1] >= 0 else None
+            else:
+                want = 1 if r["e"] == "e0" and (r["t"] > 40 or (r["t"] == 40 and not strict)) else None
+            assert r["found"] == want
