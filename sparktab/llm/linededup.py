@@ -96,8 +96,12 @@ def passages(docs: DataFrame) -> DataFrame:
     return again.select("doc_id", "text_key", "s", "e", "first_id", "first_key", (F.col("s") + F.col("shift")).alias("first_s"))
 
 
-def remove_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, text, n_lines, n_removed, kept (the text that is left) per row of docs(doc_id, text)."""
+def cut_passages(docs: DataFrame, how: str = "inner") -> DataFrame:
+    """doc_id, text_key, text, n_lines, n_removed, kept (the text that is left) per row of docs(doc_id, text).
+
+    By an inner join only of documents with passages to remove. A filter on n_removed would be pushed into the expressions
+    that make it and repeat them for every passage.
+    """
     docs = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_key"))
     again = materialise(passages(docs))
     # both joins with the documents hash the same columns and read the same ones, so that one exchange of the texts serves both
@@ -114,7 +118,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     same = same & (F.col("a.first_s") == F.col("t.first_s")) & (F.col("a.length") == F.col("t.length"))
     lists = a.join(t, same).groupBy(F.col("a.doc_id").alias("id"), F.col("a.text_key").alias("key"))
     lists = lists.agg(F.sort_array(F.collect_list(F.struct("a.s", "a.e", "t.first_text"))).alias("again"))
-    out = d.join(lists.alias("r"), own, "left").select("d.doc_id", "d.text_key", "d.text", "r.again").withColumn("lines", F.split("text", "\n"))
+    out = d.join(lists.alias("r"), own, how).select("d.doc_id", "d.text_key", "d.text", "r.again").withColumn("lines", F.split("text", "\n"))
     sure = F.filter("again", lambda x: _joined("lines", x["s"], x["e"]) == x["first_text"])
     out = out.withColumn("gone", F.transform(F.coalesce(sure, F.array().cast("array<struct<s:int,e:int,first_text:string>>")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
     # a passage ends before the next one ends, and shares its last line with it at most
@@ -128,6 +132,11 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_key", "text", n_lines.alias("n_lines"), n_removed.alias("n_removed"), kept.alias("kept"))
 
 
+def remove_passages(docs: DataFrame) -> DataFrame:
+    """cut_passages for every row of docs."""
+    return cut_passages(docs, "left")
+
+
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed (lines), n_chunks (removed), kept_sha256 (of the lines left) for every document."""
     out = remove_chunks(documents(spark, sf_dir, "doc_id", "text"))
@@ -142,7 +151,7 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linededup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their texts (and n_chars, if there is such a column) as line deduplication leaves them."""
-    cut = remove_passages(docs.select("doc_id", "text")).where("n_removed > 0")
+    cut = cut_passages(docs.select("doc_id", "text"))
     id_, key, kept = fresh(docs, "_cut_id", "_cut_key", "_cut_text")
     cut = cut.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("kept").alias(kept)).dropDuplicates([id_, key])
     both = docs.join(cut, docs["doc_id"].eqNullSafe(cut[id_]) & (text_hash(docs["text"]) == cut[key]), "left")
