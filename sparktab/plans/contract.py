@@ -6,6 +6,8 @@ of inference cases are compared as frames.
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import math
 import os
@@ -286,6 +288,45 @@ def output_errors(inputs: list[dict], outputs: list[dict], run: dict) -> list[st
     return errors
 
 
+def _records(table: list | dict) -> list[dict]:
+    """The rows of a JSON list of objects, or of the envelope {columns, rows} with rows as lists or objects."""
+    if not isinstance(table, dict):
+        return table
+    return [r if isinstance(r, dict) else dict(zip(table["columns"], r, strict=True)) for r in table["rows"]]
+
+
+def write_input(path: str, table: list | dict, kind: str) -> None:
+    """A case's input as JSON, or as CSV with a header (of the envelope's columns, where there is one)."""
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        if kind == "json":
+            json.dump(table, f)
+            return
+        rows = _records(table)
+        writer = csv.DictWriter(f, table["columns"] if isinstance(table, dict) else list(dict.fromkeys(k for r in rows for k in r)))
+        writer.writeheader()
+        writer.writerows(rows)
+
+
+def read_output(text: str, kind: str) -> list[dict]:
+    """Rows of an inference output; ValueError for what is no table or names a column twice."""
+    if kind == "json":
+        once = lambda pairs: dict(pairs) if len(pairs) == len({k for k, _ in pairs}) else _twice()
+        found = _records(json.loads(text, object_pairs_hook=once))
+        if not isinstance(found, list) or not all(isinstance(r, dict) for r in found):
+            raise ValueError("the output is no list of objects")
+        return found
+    lines = list(csv.reader(io.StringIO(text), strict=True))
+    if not lines or len(lines[0]) != len(set(lines[0])):
+        _twice()
+    if any(len(x) != len(lines[0]) for x in lines[1:]):
+        raise ValueError("rows of the output differ in length")
+    return [dict(zip(lines[0], x, strict=True)) for x in lines[1:]]
+
+
+def _twice() -> dict:
+    raise ValueError("the output has no columns or names one twice")
+
+
 def run_cases(folder: str, run: dict, cases: list[dict], timeout: float = 60) -> list[str]:
     """Run each case as often as it says in a fresh process, and compare the outputs; errors of all cases."""
     errors = [f"no case of kind {k}" for k in sorted(CASE_KINDS - {c.get("kind") for c in cases})]
@@ -297,9 +338,9 @@ def run_cases(folder: str, run: dict, cases: list[dict], timeout: float = 60) ->
             errors.append(f"{label} must repeat")
         for _ in range(max(2, case.get("repeats") or 0)):
             with tempfile.TemporaryDirectory() as temp:
-                source, target = os.path.join(temp, "in.json"), os.path.join(temp, "out.json")
-                with open(source, "w", encoding="utf-8") as f:
-                    json.dump(case["input"], f)
+                kind = case.get("format", "json")
+                source, target = os.path.join(temp, f"in.{kind}"), os.path.join(temp, f"out.{kind}")
+                write_input(source, case["input"], kind)
                 try:
                     done = subprocess.run([sys.executable, "infer.py", "--backend", case["backend"], "--input", source, "--output", target], cwd=folder, env=env, capture_output=True, text=True, timeout=timeout)
                 except subprocess.TimeoutExpired:
@@ -313,9 +354,12 @@ def run_cases(folder: str, run: dict, cases: list[dict], timeout: float = 60) ->
                 if case.get("expected_exit_code", 0) == 0:
                     with open(target, encoding="utf-8") as f:
                         seen.add(text := f.read())
-                    rows = json.loads(text)
-                    rows = rows["rows"] if isinstance(rows, dict) else rows
-                    given = case["input"]["rows"] if isinstance(case["input"], dict) else case["input"]
+                    try:
+                        rows = read_output(text, kind)
+                    except ValueError as e:
+                        errors.append(f"{label}: {e}")
+                        break
+                    given = _records(case["input"])
                     errors += [f"{label}: {e}" for e in output_errors(given, rows, run)]
         if len(seen) > 1:
             errors.append(f"{label} gives different outputs")

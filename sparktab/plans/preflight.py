@@ -15,6 +15,14 @@ BLOCKER, WARNING = "blocker", "warning"
 MISSING_HIGH, SMALL_CLASS, NEAR_PERFECT, EXAMPLES = 0.5, 10, 0.995, 5
 
 
+#: What no table can tell.
+REVIEW = (
+    "that the target is what the prediction is for",
+    "that every feature is known at the prediction moment",
+    "that row grain and splits keep entities and times apart",
+)
+
+
 @dataclass(frozen=True)
 class Request:
     target: str
@@ -132,7 +140,7 @@ def preflight(df: DataFrame, request: Request) -> dict:
         "target": {"observed_rows": t.non_null, "missing_rows": t.missing, "distinct": t.distinct, "class_counts": classes},
         "split_context": {"groups": groups, "time": times, "folds": folds, "feature_signatures": {k: sig.get(k, 0) for k in ("n_signatures", "n_repeated_signatures", "n_repeated_rows")} | {"fallback_recommended": fallback}},
         "memory": memory,
-        "modeling_preflight": {"status": status(notes), "findings": list(notes), "included_features": features, "excluded_features": sorted(c for c in out if c), "exact_duplicates": exact, "substantive_duplicates": substantive},
+        "modeling_preflight": {"status": status(notes), "blocker_count": sum(f["severity"] == BLOCKER for f in notes), "warning_count": sum(f["severity"] == WARNING for f in notes), "human_review_required": list(REVIEW), "findings": list(notes), "included_features": features, "excluded_features": sorted(c for c in out if c), "exact_duplicates": exact, "substantive_duplicates": substantive},
     }
 
 

@@ -75,7 +75,7 @@ def render(df: DataFrame, title: str, target: str | None = None, time: str | Non
     for c in numbers[:numeric_charts]:
         shown = distribution.histogram(charted, c).orderBy("bin").collect()
         parts.append(f"<h3>{escape(c)}</h3>" + bars([(f"{r['bin_start']:.6g}", r["n"]) for r in shown]))
-    for f in [f for f in facts if f.logical == CATEGORY and roles[f.name] == "category" and 2 <= f.distinct <= 100][:category_charts]:
+    for f in [f for f in facts if f.logical == CATEGORY and roles[f.name] == "category/text" and 2 <= f.distinct <= 100][:category_charts]:
         parts.append(f"<h3>{escape(f.name)}</h3>" + bars([(r["label"], r["n"]) for r in distribution.top_labels(charted, f.name).collect()]))
     related = [c for c in numbers if next(f for f in facts if f.name == c).distinct > 1][:CORRELATED]
     if len(related) > 1:
