@@ -82,29 +82,32 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").withColumn("text_key", text_hash(F.col("text")))
     windows, members, lengths = benchmark_windows(benchmark)
     df = _prepared(docs)
-    spots = []
+    names = []
     for n in lengths:
         df, name = minima(df, n, "_")
-        spots.append(F.transform(name, lambda x, i: F.struct(i.alias("start"), F.lit(n).alias("words"), x.alias("minimum"))))  # noqa: B023
-    # the first of each row stands for the row itself, so one pass also counts words and rows
-    itself = F.array(F.struct(F.lit(-1).alias("start"), F.lit(0).alias("words"), F.lit(None).cast("long").alias("minimum")))
+        names.append(name)
+    # the null of each row stands for the row itself, so one pass also counts words and rows
+    own = F.concat(F.array(F.lit(None).cast("long")), *[F.array_distinct(c) for c in names])
     n_words = F.size("words").cast("long").alias("n_words")
-    found = df.select("doc_id", "text_key", n_words, F.explode_outer(F.concat(itself, *spots)).alias("s"))
-    found = found.select("doc_id", "text_key", "n_words", "s.*")
+    found = df.select("doc_id", "text_key", n_words, F.explode_outer(own).alias("minimum"))
     # a key of its own for each row without a minimum, so that these don't meet in one task
     found = found.withColumn("met", F.coalesce("minimum", F.xxhash64("doc_id", "text_key")))
     shared = windows.select(F.col("minimum").alias("met")).distinct().withColumn("known", F.lit(True))
     found = found.join(_small(shared), "met", "left").where("minimum IS NULL OR known")
-    spot = F.when(F.col("minimum").isNotNull(), F.struct("start", "words"))
     count = F.count_if(F.col("minimum").isNull()).alias("copies")
-    base = found.groupBy("doc_id", "text_key").agg(F.first("n_words").alias("n_words"), count, F.collect_set(spot).alias("hits"))
+    base = found.groupBy("doc_id", "text_key").agg(F.first("n_words").alias("n_words"), count, F.count("minimum").alias("hits"))
     base = materialise(base)
-    hit = base.where(F.size("hits") > 0).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "hits")
-    near = docs.join(hit, docs["doc_id"].eqNullSafe(hit["id"]) & (docs["text_key"] == hit["key"]))
-    near = near.select("doc_id", "text_key", "hits", words(F.col("text")).alias("w")).dropDuplicates(["doc_id", "text_key"])
-    window = lambda x: F.concat_ws(" ", F.slice("w", x["start"] + 1, x["words"]))
-    each = F.transform("hits", lambda x: F.struct(x["start"].alias("start"), x["words"].alias("words"), window(x).alias("window")))
-    near = near.select("doc_id", "text_key", F.explode(each).alias("s")).select("doc_id", "text_key", "s.*")
+    hit = base.where("hits > 0").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    near = docs.join(hit, docs["doc_id"].eqNullSafe(hit["id"]) & (docs["text_key"] == hit["key"])).select("doc_id", "text_key", "text")
+    near, spots = _prepared(near.dropDuplicates(["doc_id", "text_key"])), []
+    for n in lengths:
+        near, name = minima(near, n, "_")
+        window = lambda i: F.concat_ws(" ", F.slice("words", i + 1, F.lit(n)))  # noqa: B023, E731
+        each = lambda x, i: F.struct(i.alias("start"), F.lit(n).alias("words"), x.alias("met"), window(i).alias("window"))  # noqa: B023, E731
+        spots.append(F.transform(name, each))
+    empty = F.array().cast("array<struct<start:int,words:int,met:bigint,window:string>>")
+    near = near.select("doc_id", "text_key", F.explode(F.concat(empty, *spots)).alias("s")).select("doc_id", "text_key", "s.*")
+    near = near.join(_small(shared), "met").drop("met", "known")
     sure = near.join(_small(windows.select("window", "set_id").distinct()), "window")
     sure = materialise(sure.select("doc_id", "text_key", "start", "words", "set_id"))
     # windows that overlap or touch are one run
