@@ -2,15 +2,17 @@
 
 Words are as in decontaminate.py; shingles are SHINGLE consecutive words (a shorter template is one shingle of all its
 words). A template of n words is sought in windows of W words, W the least power of two of 2 * n or more, that start every
-W / 2 words, so each occurrence lies whole in a window. A window that holds no shingle of any template can't match and is
-passed over. Of others the least of the shingles' hashes under each of BANDS seeds, one row a band, is joined with the
-templates'. A window that holds LEAST of a template's shingles has similarity 1/12 at least with it, so it shares a band with
-a chance above 1 - 1e-6. Whether the window holds at least LEAST per cent of the template's shingles is then counted exactly.
+W / 2 words, so each occurrence lies whole in a window. A window and a template meet where one of BANDS bands of a single
+minimum hash each is equal. A window that holds LEAST per cent of a template's shingles has similarity 1/12 at least with
+it, so it shares a band with a chance above 1 - 1e-6. Whether it holds that many is then counted exactly.
+
+A band of a window can equal a template's only if the window holds the shingle with the template's minimum hash. So minimum
+hashes are computed for windows that hold such a shingle, and of these only until a band is equal; the pairs that meet are
+those that all bands of all windows would give.
 
 scan() takes its templates as an argument, id to text; without one it seeks USUAL, the twelve short notices of TEMPLATES and
-those of license_texts.py, whose docstring says what they cover. op9_licenses seeks TEMPLATES alone, as its SQL does;
-op9_usual_licenses seeks USUAL. Templates are a table of few rows, broadcast. A window with too few of any template's
-shingles for LEAST per cent of the shortest is passed over.
+those of license_texts.py, whose docstring says what they cover. op9_licenses seeks USUAL, op9_notices TEMPLATES alone.
+Templates are a table of few rows, broadcast.
 
 Defined results: null, empty and wordless texts have no licences; rows that share doc_id and text get one result each; an
 empty table gives an empty result; other columns are not looked at; texts are read whole.
@@ -69,12 +71,12 @@ def templates(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
 
 
 def _bands(shingles: str):
-    """BANDS structs of a band's number and the least hash under its seed."""
+    """BANDS structs of a band's number, the least hash under its seed, and the shingle that has it."""
 
     def least(b: int):
-        return F.array_min(F.transform(shingles, lambda x: F.xxhash64(F.lit(b), x)))
+        return F.array_min(F.transform(shingles, lambda x: F.struct(F.xxhash64(F.lit(b), x).alias("least"), x.alias("of"))))
 
-    return F.array(*[F.struct(F.lit(b).alias("band"), least(b).alias("least")) for b in range(BANDS)])
+    return F.array(*[F.struct(F.lit(b).alias("band"), least(b)["least"].alias("least"), least(b)["of"].alias("of")) for b in range(BANDS)])
 
 
 def _in(own: list[int]) -> str:
@@ -97,30 +99,35 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     texts are the templates to seek, id to text (USUAL by default).
     """
     spark = docs.sparkSession
-    known = templates(spark, USUAL if texts is None else texts)
-    kinds = known.groupBy("span", "n").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("s"), F.min(F.size("shingles")).alias("m"))
-    kinds = [(r["span"], r["n"], r["s"], -(-r["m"] * LEAST // 100)) for r in kinds.collect()]  # as few as the templates' lengths
+    known = materialise(templates(spark, USUAL if texts is None else texts).withColumn("bands", _bands("shingles")))
+    # as few rows as the templates' lengths; the shingles that have a template's minimum hash
+    kinds = known.groupBy("span", "n").agg(F.array_distinct(F.flatten(F.collect_list("bands.of"))).alias("s"))
+    kinds = [(r["span"], r["n"], r["s"]) for r in kinds.collect()]
     df = _prepared(docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_key")))
-    sizes = sorted({n for _, n, *_ in kinds})
+    sizes = sorted({n for _, n, _ in kinds})
     for n in sizes:
         df = _shingled(df, n, f"s{n}")
-        every = sorted({x for _, size, own, _ in kinds if size == n for x in own})
+        every = sorted({x for _, size, own in kinds if size == n for x in own})
         df = df.withColumn(f"hit{n}", F.expr(f"filter(transform(s{n}, (x, i) -> struct(i AS i, x AS x)), t -> t.x IN {_in(every)})"))
     windows = []
-    for span, n, own, least in kinds:
+    for span, n, own in kinds:
         df = df.withColumn(f"w{span}_{n}", _windows(span, n, own))
-        windows.append(F.expr(f"filter(w{span}_{n}, w -> size(filter(w.shingles, x -> x IN {_in(own)})) >= {least})"))
+        windows.append(F.col(f"w{span}_{n}"))
     itself = F.array(F.struct(F.lit(0).alias("span"), F.lit(0).alias("n"), F.lit(0).alias("start"), F.array().cast("array<bigint>").alias("shingles")))
     df = df.select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), F.explode_outer(F.concat(itself, *windows)).alias("x"))
-    df = materialise(df.select("doc_id", "text_key", "n_words", "x.*"))
-    base = df.where("span = 0").groupBy("doc_id", "text_key", "n_words").agg(F.count("*").alias("copies"))
-    near = df.where("span > 0").dropDuplicates(["doc_id", "text_key", "span", "n", "start"])
-    near = near.select("doc_id", "text_key", "span", "n", "start", "shingles", F.explode(_bands("shingles")).alias("b")).select("*", "b.*").drop("b")
-    wanted = known.select("license", "span", "n", F.explode(_bands("shingles")).alias("b")).select("license", "span", "n", "b.*")
-    # held is counted before any shuffle, so that long windows don't travel
-    pairs = near.join(F.broadcast(wanted), ["span", "n", "band", "least"]).join(F.broadcast(known.select("license", F.col("shingles").alias("of"))), "license")
+    df = df.select("doc_id", "text_key", "n_words", "x.*")
+    # windows meet templates, and what they hold is counted, before anything is shuffled or written
+    wanted = F.broadcast(known.select("license", F.col("span").alias("k_span"), F.col("n").alias("k_n"), F.col("shingles").alias("of"), "bands"))
+    pairs = df.join(wanted, (F.col("span") == F.col("k_span")) & (F.col("n") == F.col("k_n")), "left")
+    least = lambda b: F.array_min(F.transform("shingles", lambda x: F.xxhash64(b["band"], x)))
+    meets = F.exists(F.filter("bands", lambda b: F.array_contains("shingles", b["of"])), lambda b: least(b) == b["least"])
     held = F.size(F.array_intersect("of", "shingles"))
-    pairs = pairs.withColumn("held", F.floor(held * 100 / F.size("of")).cast("int")).where(held * 100 >= F.size("of") * LEAST)
+    pairs = pairs.where((F.col("span") == 0) | (F.arrays_overlap("shingles", F.col("bands.of")) & meets))
+    pairs = pairs.withColumn("held", F.when(F.col("span") > 0, held)).where((F.col("span") == 0) | (F.col("held") * 100 >= F.size("of") * LEAST))
+    held = F.floor(F.col("held") * 100 / F.size("of")).cast("int").alias("held")
+    found = materialise(pairs.select("doc_id", "text_key", "n_words", "span", "license", "start", held))
+    base = found.where("span = 0").groupBy("doc_id", "text_key", "n_words").agg(F.count("*").alias("copies"))
+    pairs = found.where("span > 0")
     best = F.max(F.struct("held", (-F.col("start")).alias("back"))).alias("best")
     best = pairs.groupBy("doc_id", "text_key", "license").agg(best).groupBy("doc_id", "text_key")
     best = best.agg(F.sort_array(F.collect_list(F.struct("license", F.col("best.held").alias("contained"), (-F.col("best.back")).alias("start")))).alias("matches"))
@@ -137,17 +144,17 @@ def _listed(found: DataFrame) -> DataFrame:
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_licenses, licenses (ids with the share held and the window's start) for every document."""
-    return _listed(scan(documents(spark, sf_dir, "doc_id", "text"), TEMPLATES))
+    return _listed(scan(documents(spark, sf_dir, "doc_id", "text")))
 
 
-def op9_usual_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9_licenses with all USUAL templates."""
-    return _listed(scan(documents(spark, sf_dir, "doc_id", "text")))
+def op9_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_licenses with the short notices of TEMPLATES alone."""
+    return _listed(scan(documents(spark, sf_dir, "doc_id", "text"), TEMPLATES))
 
 
 _ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
 _LIST = "regexp_extract_all(translate(COALESCE({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-ORACLE = f"""
+ORACLE_NOTICES = f"""
 WITH t0 AS (SELECT license, {_LIST.format("text")} AS w FROM (VALUES {_ROWS}) AS v(license, text)),
 t AS (SELECT license, w, LEAST(len(w), {SHINGLE}) AS n, CAST(pow(2, CEIL(LOG2(2 * len(w)))) AS BIGINT) AS span FROM t0),
 ts AS (SELECT DISTINCT license, n, span, array_to_string(w[p : p + n - 1], ' ') AS s FROM (SELECT *, UNNEST(range(1, len(w) - n + 2)) AS p FROM t)),
@@ -163,4 +170,4 @@ b AS (SELECT doc_id, license, MAX(contained) AS contained, arg_min(start, (-cont
 r AS (SELECT doc_id, COUNT(*) AS n_licenses, string_agg(license || ':' || contained || ':' || start, ',' ORDER BY license) AS licenses FROM b GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_licenses, 0) AS n_licenses, COALESCE(licenses, '') AS licenses FROM d LEFT JOIN r USING (doc_id)
 """
-ORACLE_USUAL = ORACLE.replace(_ROWS, ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in USUAL.items()))
+ORACLE = ORACLE_NOTICES.replace(_ROWS, ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in USUAL.items()))

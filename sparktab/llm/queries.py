@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from . import chat, decontaminate, licenses, linededup, mixing, neardup, substrings, tokens, topk, toxicity
 
-QUERIES = {"op9_licenses": licenses.op9_licenses, "op5_chat": chat.op5_chat, "op10_linededup": linededup.op10_linededup, "op3_substrings": substrings.op3_substrings, "op7_neardup": neardup.op7_neardup, "op1_toxicity": toxicity.op1_toxicity, "op4_decontamination": decontaminate.op4_decontamination, "op2_token_counts": tokens.op2_token_counts, "op6_topk": topk.op6_topk, "op8_mixing": mixing.op8_mixing, "op10_passages": linededup.op10_passages, "op9_usual_licenses": licenses.op9_usual_licenses}
-ORACLES = {"op9_licenses": licenses.ORACLE, "op5_chat": chat.ORACLE, "op10_linededup": linededup.ORACLE, "op7_neardup": neardup.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op6_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE, "op10_passages": linededup.ORACLE_PASSAGES, "op9_usual_licenses": licenses.ORACLE_USUAL}
+QUERIES = {"op9_licenses": licenses.op9_licenses, "op5_chat": chat.op5_chat, "op10_linededup": linededup.op10_linededup, "op3_substrings": substrings.op3_substrings, "op7_neardup": neardup.op7_neardup, "op1_toxicity": toxicity.op1_toxicity, "op4_decontamination": decontaminate.op4_decontamination, "op2_token_counts": tokens.op2_token_counts, "op6_topk": topk.op6_topk, "op8_mixing": mixing.op8_mixing, "op10_passages": linededup.op10_passages, "op9_notices": licenses.op9_notices}
+ORACLES = {"op9_licenses": licenses.ORACLE, "op5_chat": chat.ORACLE, "op10_linededup": linededup.ORACLE, "op7_neardup": neardup.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op6_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE, "op10_passages": linededup.ORACLE_PASSAGES, "op9_notices": licenses.ORACLE_NOTICES}
