@@ -1,20 +1,27 @@
 """Toxicity by a subsequence string-kernel SVM on Nystroem landmarks.
 
-A text is its words, each written as letters a-z: accents and inner punctuation go, digits and signs that stand for letters
-become those, runs of single spaced letters are joined. Two strings share a gapped trigram if its letters occur in both in
-order within SPAN places; a trigram weighs DECAY per place that it spans, so inserted or skipped letters weaken a match
-without ending it. A word's
-kernel with a landmark is the largest normalised kernel of its windows of the landmark's length or one more; values under
-LEAST count as 0; so does what clean training texts reach by chance, and what is above is stretched to 1. A sentence has the largest kernel of its words with each landmark, a text that of its sentences; times
-the inverse root of the landmarks' kernel matrix these are the Nystroem features of a linear SVM with squared hinge loss,
-whose margin a sigmoid turns into a score. Landmarks are pieces of words that cover the toxic training texts greedily.
+A text is its sentences, and a sentence its words, each written as letters: accents and inner punctuation go, digits and
+signs that stand for letters become those, letters beyond a-z are folded onto them, runs of single spaced letters are
+joined. Two strings share a gapped trigram if its letters occur in both in order within SPAN places; a trigram weighs DECAY
+per place that it spans, so inserted or skipped letters weaken a match without ending it. A word's kernel with a landmark is
+the largest normalised kernel of its windows of the landmark's length or one more, and a sentence's that of its words;
+values under LEAST, which unrelated words reach, are 0. Kernels to the power of POWER, itself a kernel that sets near matches
+apart from chance ones, times the inverse root of the landmarks' matrix of such kernels are the Nystroem features of a
+linear SVM with squared hinge loss. Landmarks are pieces of words that cover the toxic training texts greedily.
+
+The SVM learns from the sentences of labelled texts. Which sentence makes a text toxic isn't labelled: at first every
+sentence has its text's label, then, ROUNDS times over, a toxic text stands for its sentence of largest margin, whatever that is;
+no toxic text is left out. A text's margin is its sentences' largest, and a sigmoid, fitted to the margins of labelled texts
+that neither landmarks nor weights were learned from, turns it into the score: the likelihood of label 1.
 
 Learned only from labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most about TRAIN_ROWS of them, chosen by a
-hash of doc_id, each of TRAIN_BYTES at most. Labels, lang, source and doc_id are no inputs of a score.
+hash of doc_id and text, each of TRAIN_BYTES at most and all of about TRAIN_TOTAL at most. Labels, lang, source and doc_id
+are no inputs of a score.
 
-Defined results: null, empty and wordless texts have the features of no match; without labels of both classes the score is 0
-for all; a doc_id with several labels is toxic if one says so; rows that share a doc_id stay separate; other columns are not
-looked at. Long words are read in overlapping pieces, long texts whole.
+Defined results: null, empty and wordless texts score as a text of one sentence without a match; without labels of both
+classes, or without a landmark, every score is the share of toxic training rows (0 without any); a doc_id with several
+labels is toxic if one says so; rows that share a doc_id stay separate; other columns are not looked at. Long words are read
+in overlapping pieces, long texts whole.
 """
 
 from __future__ import annotations
@@ -33,10 +40,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import documents, fresh, table, text_hash
+from .common import documents, fresh, materialise, table, text_hash
 
-TRAIN_ROWS, TRAIN_BYTES, LANDMARKS = 4000, 200_000, 64
-SPAN, DECAY, LEAST, SURE, CHANCE, FOLDS = 6, 0.6, 0.5, 0.8, 0.999, 5
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_TOTAL, LANDMARKS = 4000, 200_000, 64_000_000, 64
+SPAN, DECAY, LEAST, POWER, FOLDS, ROUNDS = 6, 0.6, 0.5, 4, 5, 1
+#: One labelled text in so many is kept for the sigmoid.
+CALIBRATION = 4
 #: Letters of a piece of a long word, words that a Python worker keeps, characters read at a time.
 PIECE, CACHE, SLICE_CHARS = 24, 300_000, 500_000
 #: Signs written for letters.
@@ -49,10 +58,11 @@ _START = "`"  # the character before a; stands before each word
 
 
 def letters(word: str) -> str:
-    """The word as letters a-z."""
+    """The word as letters a-z; other letters are folded onto them by their number."""
     word = _EDGE.sub("", word).casefold()
     if not word.isascii():
         word = unicodedata.normalize("NFKD", word)
+        word = "".join(c if c.isascii() else chr(97 + ord(c) % 26) for c in word if c.isascii() or c.isalpha())
     return _OTHER.sub("", word if word.isalpha() else word.translate(LETTER_SIGNS))
 
 
@@ -148,29 +158,40 @@ class Kernel:
         own = np.array([len(m) for m in self.landmarks])
         return (n <= own + 1) & (n >= own - 2)
 
-    def of_texts(self, texts: list[str]) -> np.ndarray:
-        """(texts, landmarks): the largest kernel of each text's words."""
-        rows: list[np.ndarray] = []
-        held: list[set[str]] = []
+    def of_texts(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
+        """For each text (sentences, landmarks): kernels of its sentences with a match, and how many sentences it has."""
+        out: list[tuple[np.ndarray, int]] = []
+        held: list[str] = []
         size = 0
         for i, text in enumerate(texts):
-            held.append(tokens(text))
+            held.append(text)
             size += len(text)
             if size >= SLICE_CHARS or i == len(texts) - 1:
-                rows += self._of_words(held)
+                out += self._of_slice(held)
                 held, size = [], 0
-        return np.array(rows, np.float64).reshape(len(rows), len(self.landmarks))
+        return out
 
-    def _of_words(self, held: list[set[str]]) -> list[np.ndarray]:
-        every = set().union(*held)
+    def _of_slice(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
+        words = [tokens(t) for t in texts]
+        every = set().union(*words)
         if new := [w for w in every if w not in self.known]:
             if len(self.known) + len(new) > CACHE:
                 self.known.clear()
                 new = list(every)
             self.learn(new)
-        none = np.zeros(len(self.landmarks), np.float32)
-        hits = [[v for v in map(self.known.__getitem__, words) if v is not None] for words in held]
-        return [np.max(h, 0) if h else none for h in hits]
+        hits = {w for w in every if self.known[w] is not None}
+        out = []
+        for text, own in zip(texts, words, strict=True):
+            if own.isdisjoint(hits):
+                out.append((np.zeros((0, len(self.landmarks)), np.float32), 1))
+                continue
+            parts = [x for x in _SENTENCE.split(text) if x.strip()]
+            found = [hits.intersection(tokens(x)) for x in parts]
+            rows = [np.max([self.known[w] for w in f], 0) for f in found if f]
+            if not rows:  # of a word that a sentence's end cuts
+                rows = [np.max([self.known[w] for w in own & hits], 0)]
+            out.append((np.array(rows, np.float32), max(1, len(parts))))
+        return out
 
 
 def grams(word: str) -> set[str]:
@@ -263,48 +284,61 @@ class Model:
     def __init__(self, texts: list[str], toxic: np.ndarray):
         self.kernel = None
         toxic = np.asarray(toxic, bool)
-        marks = choose_landmarks(texts, toxic) if toxic.any() and not toxic.all() else []
+        self.flat = float(toxic.mean()) if len(toxic) else 0.0
+        aside = np.array([zlib.crc32(t.encode()) % CALIBRATION == 0 for t in texts], bool)
+        if len({*toxic[aside].tolist()}) < 2 or len({*toxic[~aside].tolist()}) < 2:
+            aside[:] = False  # too few of a class to keep some aside
+        some = np.flatnonzero(~aside)
+        marks = choose_landmarks([texts[i] for i in some], toxic[some]) if toxic.any() and not toxic.all() else []
         if not marks:
-            self.flat = float(toxic.mean()) if len(toxic) and toxic.any() else 0.0
             return
-        self.kernel = Kernel(marks)
-        values, vectors = np.linalg.eigh(self.kernel.gram)
+        kernel = Kernel(marks)
+        values, vectors = np.linalg.eigh(kernel.gram**POWER)
         self.root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-        # rows to learn from: clean texts whole, of toxic texts the sentences with a match
-        clean = self.kernel.of_texts([t for t, y in zip(texts, toxic, strict=True) if not y])
-        # what clean texts reach by chance counts as no match
-        self.floor = np.clip(np.quantile(clean, CHANCE, axis=0), LEAST, 0.97)
-        rows, aims = [clean], [np.zeros(len(clean), bool)]
-        for text in (t for t, y in zip(texts, toxic, strict=True) if y):
-            inner = self.kernel.of_texts([x for x in _SENTENCE.split(text) if x.strip()])
-            inner = inner[inner.max(1) >= SURE] if len(inner) else inner
-            rows.append(inner.reshape(-1, len(marks)))
-            aims.append(np.ones(len(inner), bool))
-        toxic = np.concatenate(aims)
-        x = self.features(np.concatenate(rows))
-        x = np.c_[x, np.ones(len(x))]
-        sign = np.where(toxic, 1.0, -1.0)
-        self.weights = _svm(x, sign)
-        self.slope, self.shift = _sigmoid(x @ self.weights, toxic)
-        self.kernel.known = {}
+        bags = [(self.features(rows), n) for rows, n in kernel.of_texts(texts)]
+        none = self.features(np.zeros((1, len(marks))))
+
+        def sentences(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rows and weights: sentences with a match, and one row for all without."""
+            rows = np.concatenate([none, *[bags[i][0] for i in which]])
+            empty = sum(bags[i][1] - len(bags[i][0]) for i in which)
+            return rows, np.concatenate([[empty], np.ones(len(rows) - 1)])
+
+        clean, clean_weights = sentences(some[~toxic[some]])
+        bad, bad_weights = sentences(some[toxic[some]])
+        for _ in range(1 + ROUNDS):
+            sign = np.concatenate([-np.ones(len(clean)), np.ones(len(bad))])
+            self.weights = _svm(np.concatenate([clean, bad]), sign, np.concatenate([clean_weights, bad_weights]))
+            best = [np.concatenate([none, bags[i][0]]) for i in some[toxic[some]]]
+            bad = np.array([rows[np.argmax(rows @ self.weights)] for rows in best])
+            bad_weights = np.ones(len(bad))
+        fitted = np.flatnonzero(aside) if aside.any() else some
+        self.slope, self.shift = _sigmoid(np.array([self.margin(bags[i][0]) for i in fitted]), toxic[fitted])
+        kernel.known = {}
+        self.kernel = kernel
 
     def features(self, kernels: np.ndarray) -> np.ndarray:
-        return np.clip((kernels - self.floor) / ((1 - self.floor) / 3), 0, 1) @ self.root
+        return np.c_[kernels**POWER @ self.root, np.ones(len(kernels))]
+
+    def margin(self, rows: np.ndarray) -> float:
+        """A text's margin: its sentences' largest, that of a sentence without a match at least."""
+        return float(max(self.weights[-1], (rows @ self.weights).max(initial=-np.inf)))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.kernel is None:
             return np.full(len(texts), self.flat)
-        x = self.features(self.kernel.of_texts(texts))
-        return 1 / (1 + np.exp(-np.clip((x @ self.weights[:-1] + self.weights[-1]) * self.slope + self.shift, -30, 30)))
+        margins = np.array([self.margin(self.features(rows)) for rows, _ in self.kernel.of_texts(texts)])
+        return 1 / (1 + np.exp(-np.clip(margins * self.slope + self.shift, -30, 30)))
 
 
-def _svm(x: np.ndarray, sign: np.ndarray, penalty: float = 1e-4, rounds: int = 60) -> np.ndarray:
-    """Weights of a linear SVM with squared hinge loss, by Newton steps over the rows inside the margin."""
+def _svm(x: np.ndarray, sign: np.ndarray, weights: np.ndarray, penalty: float = 1e-4, rounds: int = 60) -> np.ndarray:
+    """Weights of a linear SVM with squared hinge loss, both classes of one weight, by Newton steps inside the margin."""
+    weights = weights / np.where(sign > 0, weights[sign > 0].sum(), weights[sign < 0].sum()) / 2
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         inside = sign * (x @ w) < 1
-        a = x[inside]
-        new = np.linalg.solve(a.T @ a / len(x) + penalty * np.eye(len(w)), a.T @ sign[inside] / len(x))
+        a, share = x[inside], weights[inside]
+        new = np.linalg.solve(a.T @ (a * share[:, None]) + penalty * np.eye(len(w)), a.T @ (sign[inside] * share))
         if np.abs(new - w).max() < 1e-9:
             break
         w = new if not _ else (w + new) / 2
@@ -333,7 +367,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n = labels.count()
     if n > TRAIN_ROWS:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * TRAIN_ROWS / n)))
-    some = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).join(labels, "doc_id")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    some = docs.select("doc_id", "text", size.alias("size")).where(F.col("size") <= TRAIN_BYTES).join(labels, "doc_id")
+    # bounded once more, as rows may share a doc_id and texts may be long
+    some = materialise(some)
+    rows, total = some.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    share = min(1.0, TRAIN_ROWS / max(1, rows), TRAIN_TOTAL / max(1, total))
+    if rows > 1.2 * TRAIN_ROWS or total > TRAIN_TOTAL:
+        some = some.where(F.pmod(F.xxhash64(F.lit(1), "doc_id", "text", F.rand(7)), F.lit(1 << 30)) < F.lit(int((1 << 30) * share)))
     some = some.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "doc_id").toPandas().sort_values(["doc_id", "text"])
     return Model(some["text"].tolist(), some["toxic"].to_numpy() > 0)
 
