@@ -36,7 +36,7 @@ from .suffixes import common_prefixes, packed, suffix_array
 
 LENGTH, GRAM = 50, 24
 #: Estimated input bytes of a shard, and bytes of text whose anchors are sought at a time.
-SHARD_BYTES, SLICE = 5_000_000, 300_000
+SHARD_BYTES, SLICE = 4_000_000, 300_000
 #: Content shards for each shard; their suffix arrays take about a hundred bytes a byte of text.
 BUCKETS = 8
 HOT_SHARDS = 1024
