@@ -43,7 +43,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import documents, fresh, materialise, table, text_hash
 
 TRAIN_ROWS, TRAIN_BYTES, TRAIN_TOTAL, LANDMARKS = 4000, 200_000, 64_000_000, 64
-SPAN, DECAY, LEAST, POWER, FOLDS, ROUNDS = 6, 0.6, 0.5, 4, 5, 1
+SPAN, DECAY, LEAST, POWER, FOLDS, ROUNDS = 6, 0.6, 0.5, 3, 5, 1
 #: One labelled text in so many is kept for the sigmoid.
 CALIBRATION = 4
 #: Letters of a piece of a long word, words that a Python worker keeps, characters read at a time.
@@ -321,8 +321,9 @@ class Model:
         return np.c_[kernels**POWER @ self.root, np.ones(len(kernels))]
 
     def margin(self, rows: np.ndarray) -> float:
-        """A text's margin: its sentences' largest, that of a sentence without a match at least."""
-        return float(max(self.weights[-1], (rows @ self.weights).max(initial=-np.inf)))
+        """A text's margin: its sentences' largest, that of a sentence without a match at least; what exceeds 1 counts little."""
+        most = float(max(self.weights[-1], (rows @ self.weights).max(initial=-np.inf)))
+        return most if most <= 1 else 1 + (most - 1) / 10
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.kernel is None:
