@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 import re
 from collections import Counter, defaultdict
 
@@ -110,7 +111,20 @@ def test_toxicity_query(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0
     one_class = toxicity.train(table, labels.where("toxic = 0"))
     assert toxicity.score(docs, one_class).agg(F.max("score")).first()[0] == 0.0
-    assert toxicity.toxicity_stage  # the stage is run by test_pipeline
+    all_toxic = toxicity.train(table, labels.where("toxic = 1"))
+    assert toxicity.score(docs, all_toxic).agg(F.min("score")).first()[0] == 1.0
+    scored = {r["doc_id"]: r for r in toxicity.score(table, model).collect()}
+    assert len(scored) == len(texts)
+    want = model.scores(texts)
+    for i, (_, own) in enumerate(zip(texts, want, strict=True)):
+        r = scored[i]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert r["score"] == pytest.approx(own) and r["predicted"] == int(own >= 0.5)
+    aside = [i for i in range(len(texts)) if scored[i]["held_out"]]
+    assert sum(scored[i]["predicted"] == int(bad[i]) for i in aside) >= 0.95 * len(aside)
+    long = spark.createDataFrame([(1, "lo " * 200_000 + "moron"), (2, ""), (3, None)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("held_out", "score", "predicted")})
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(long, model).collect()}
+    assert got == {1: 1, 2: 0, 3: 0}
 
 
 # 2 token counts
@@ -232,6 +246,48 @@ def test_chat(spark):
     assert chat.threads(df).count() == len(rows) and chat.threads(df.where("false")).count() == 0
 
 
+def quoted_conversations(n=250, seed=12):
+    """Conversations whose messages quote others: whole, in part, wrapped anew, nested, or nobody at all."""
+    rng = random.Random(seed)
+    rows = []
+    for conv in range(n):
+        said = []
+        for turn in range(rng.randint(1, 14)):
+            own = [prose(rng, rng.randint(1, 30)) for _ in range(rng.randint(0, 3))] + rng.choice([[], ["ok"], ["Thanks!"]])
+            text = "\n\n".join(own)
+            if said and rng.random() < 0.8:
+                quoted = rng.choice(said).split("\n")
+                if rng.random() < 0.3:
+                    quoted = [" ".join(quoted)]
+                if rng.random() < 0.4:  # wrapped anew
+                    quoted = [" ".join(w) for line in quoted for w in [line.split()[k : k + 5] for k in range(0, max(1, len(line.split())), 5)]]
+                if rng.random() < 0.3 and len(quoted) > 1:
+                    quoted = quoted[: len(quoted) // 2]
+                text = "\n".join(("> " if not x.startswith(">") else ">") + x for x in quoted) + "\n" + text
+            if rng.random() < 0.1:
+                text = "> " + prose(rng, 5) + "\n" + text
+            said.append(text)
+            rows.append((conv, turn, rng.choice(["user", "bot"]), text))
+    extra = [(None, 3, "user", "> ok"), (7, None, "bot", "ok"), (8, 0, None, None), (8, 1, "user", "> " + "ok " * 30000), (9, 0, "user", ""), (9, 0, "user", "twice")]
+    return rows + extra
+
+
+def test_quoted_conversations_match_sql(spark, tmp_path):
+    import duckdb
+
+    df = spark.createDataFrame(quoted_conversations(), "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    result = con.execute(chat.ORACLE)
+    names = [c[0] for c in result.description]
+    want = sorted(repr(dict(zip(names, r, strict=True))) for r in result.fetchall())
+    clash = df.withColumns({c: F.lit("x") for c in ("up", "steps", "position", "kind", "level", "hash", "n", "part", "inner", "l")})
+    found = chat.threads(clash).select(*names).collect()
+    assert sorted(repr(r.asDict()) for r in found) == want
+    assert sum(r["parent_turn"] is not None for r in found) > 800 and max(r["depth"] for r in found) >= 5
+
+
 # 6 top-k
 
 
