@@ -35,9 +35,9 @@ def column_profile_numeric(spark, d):
 
 
 @R.add("""
-SELECT 'lang' AS column_name, COUNT(*) - COUNT(lang) AS n_missing, COUNT(DISTINCT lang) AS n_distinct, 'category' AS role FROM documents
-UNION ALL SELECT 'source', COUNT(*) - COUNT(source), COUNT(DISTINCT source), 'category' FROM documents
-UNION ALL SELECT 'text', COUNT(*) - COUNT(text), COUNT(DISTINCT text), CASE WHEN COUNT(DISTINCT text) >= 0.98 * COUNT(text) THEN 'possible identifier' ELSE 'category' END FROM documents
+SELECT 'lang' AS column_name, COUNT(*) - COUNT(lang) AS n_missing, COUNT(DISTINCT lang) AS n_distinct, 'category/text' AS role FROM documents
+UNION ALL SELECT 'source', COUNT(*) - COUNT(source), COUNT(DISTINCT source), 'category/text' FROM documents
+UNION ALL SELECT 'text', COUNT(*) - COUNT(text), COUNT(DISTINCT text), CASE WHEN COUNT(DISTINCT text) >= 0.98 * COUNT(text) THEN 'possible identifier' ELSE 'category/text' END FROM documents
 UNION ALL SELECT 'doc_id', COUNT(*) - COUNT(doc_id), COUNT(DISTINCT doc_id), 'possible identifier' FROM documents
 UNION ALL SELECT 'n_chars', COUNT(*) - COUNT(n_chars), COUNT(DISTINCT n_chars), 'numeric measure' FROM documents
 """)
