@@ -2,7 +2,31 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, linededup, mixing, neardup, substrings, tokens, topk, toxicity
+from . import chat, decontaminate, licenses, linededup, mixing, neardup, substrings, tokenids, tokens, topk, toxicity
 
-QUERIES = {"op9_licenses": licenses.op9_licenses, "op5_chat": chat.op5_chat, "op10_linededup": linededup.op10_linededup, "op3_substrings": substrings.op3_substrings, "op7_neardup": neardup.op7_neardup, "op1_toxicity": toxicity.op1_toxicity, "op4_decontamination": decontaminate.op4_decontamination, "op2_token_counts": tokens.op2_token_counts, "op6_topk": topk.op6_topk, "op8_mixing": mixing.op8_mixing, "op10_passages": linededup.op10_passages, "op9_notices": licenses.op9_notices}
-ORACLES = {"op9_licenses": licenses.ORACLE, "op5_chat": chat.ORACLE, "op10_linededup": linededup.ORACLE, "op7_neardup": neardup.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op6_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE, "op10_passages": linededup.ORACLE_PASSAGES, "op9_notices": licenses.ORACLE_NOTICES}
+QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_token_counts": tokens.op2_token_counts,
+    "op3_substrings": substrings.op3_substrings,
+    "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_chat": chat.op5_chat,
+    "op6_topk": topk.op6_topk,
+    "op7_neardup": neardup.op7_neardup,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_licenses": licenses.op9_licenses,
+    "op9_notices": licenses.op9_notices,
+    "op10_linededup": linededup.op10_linededup,
+    "op10_passages": linededup.op10_passages,
+    "op12_token_ids": tokenids.op12_token_ids,
+}
+ORACLES = {
+    "op4_decontamination": decontaminate.ORACLE,
+    "op5_chat": chat.ORACLE,
+    "op6_topk": topk.ORACLE,
+    "op7_neardup": neardup.ORACLE,
+    "op8_mixing": mixing.ORACLE,
+    "op9_licenses": licenses.ORACLE,
+    "op9_notices": licenses.ORACLE_NOTICES,
+    "op10_linededup": linededup.ORACLE,
+    "op10_passages": linededup.ORACLE_PASSAGES,
+}
