@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, linededup, mixing, neardup, substrings, tokenids, tokens, topk, toxicity
+from . import chat, decontaminate, licenses, linededup, mixing, neardup, prefixtrie, substrings, tokenids, tokens, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_notices": licenses.op9_notices,
     "op10_linededup": linededup.op10_linededup,
     "op10_passages": linededup.op10_passages,
+    "op11_prefix_trie": prefixtrie.op11_prefix_trie,
     "op12_token_ids": tokenids.op12_token_ids,
 }
 ORACLES = {
@@ -29,4 +30,5 @@ ORACLES = {
     "op9_notices": licenses.ORACLE_NOTICES,
     "op10_linededup": linededup.ORACLE,
     "op10_passages": linededup.ORACLE_PASSAGES,
+    "op11_prefix_trie": prefixtrie.ORACLE,
 }
