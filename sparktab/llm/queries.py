@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, linededup, mixing, neardup, prefixtrie, substrings, tokenids, tokens, topk, toxicity
+from . import chat, decontaminate, licenses, linededup, mixing, neardup, phrases, prefixtrie, substrings, tokenids, tokens, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_passages": linededup.op10_passages,
     "op11_prefix_trie": prefixtrie.op11_prefix_trie,
     "op12_token_ids": tokenids.op12_token_ids,
+    "op13_phrases": phrases.op13_phrases,
 }
 ORACLES = {
     "op4_decontamination": decontaminate.ORACLE,
@@ -31,4 +32,5 @@ ORACLES = {
     "op10_linededup": linededup.ORACLE,
     "op10_passages": linededup.ORACLE_PASSAGES,
     "op11_prefix_trie": prefixtrie.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }
