@@ -10,9 +10,9 @@ Files under the folder: `frequencies` (id, freq), `shards` (shard, first, n_ids)
 All are Parquet written by Spark: a lost executor's part is written again before anything is committed, and any store works.
 
 Ids come from the tokenizers library. For byte-level vocabularies without a normaliser a text is cut before each space that
-precedes a character other than white space (the vocabulary's pattern always cuts there) and every distinct piece is given
-to the library once a worker keeps it; texts that hold an added token's string, and all texts of other vocabularies, are
-given to the library whole.
+precedes a character other than white space (the vocabulary's pattern always cuts there), pieces are cut by the pattern, and
+the library's model encodes each distinct pre-token; a worker keeps the ids of pieces and pre-tokens. Texts that hold an added
+token's string, and all texts where no pattern is given or the vocabulary is of another kind, go through the library whole.
 
 Defined results: null is an empty text and has the end id alone; special strings in a text are taken as the library takes
 them by default; rows without doc_id come first, rows that share one are ordered by a hash of their texts, and rows equal in
@@ -26,75 +26,87 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, input_bytes, materialise, release, shared_dir
+from .tokens import byte_symbols
 
 #: Ids of a block, coders of a block, steps from one checkpoint to the next.
 BLOCK, LANES, MARK = 1 << 15, 32, 256
 #: Blocks coded side by side, estimated bytes of text of a shard, pieces whose ids a worker keeps.
-TOGETHER, SHARD_BYTES, CACHE = 64, 64 << 20, 400_000
-#: Characters given to the library at a time.
-SLICE_CHARS = 1_000_000
+TOGETHER, SHARD_BYTES, CACHE = 64, 64 << 20, 600_000
+#: Characters of the longest piece whose ids are kept.
+LONG_PIECE = 64
 END_ID = 2
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
 _BARE_SPACE = re.compile(r" (?:\s|\Z)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
 
+class _Words(dict):
+    """Ids of pre-tokens as bytes, by the library's model."""
+
+    def __init__(self, library, code: str):
+        self.tokenize, self.code = library.model.tokenize, code
+        self.printable = {b: c for c, b in byte_symbols().items()}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+        tokens = self.tokenize(word.encode().decode("latin-1").translate(self.printable))
+        out = self[word] = array(self.code, [t.id for t in tokens]).tobytes()
+        return out
+
+
+class _Pieces(dict):
+    """Ids of a piece of a text that begins with lead."""
+
+    def __init__(self, words: _Words, pattern: str, lead: str):
+        self.words, self.find, self.lead = words, regex.compile(pattern).findall, lead
+
+    def __missing__(self, piece: str) -> bytes:
+        out = b"".join(map(self.words.__getitem__, self.find(self.lead + piece)))
+        if len(piece) <= LONG_PIECE:
+            if len(self) > CACHE:
+                self.clear()
+            self[piece] = out
+        return out
+
+
 class Ids:
     """Ids of texts as bytes of little-endian numbers, one of these in each Python worker."""
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, pattern: str | None, dtype: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
-        self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.cuts = bool(pattern) and plain and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = dtype
-        self.first: dict[str, bytes] = {}  # pieces at a text's start
-        self.spaced: dict[str, bytes] = {}  # pieces after a space
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known.update(zip(part, self.whole([lead + p for p in part]), strict=True))
-
-    def _slice(self, texts: list[str]) -> list[bytes]:
-        cut = [None if not self.cuts or any(s in t for s in self.special) else (_BEFORE_WORD.split(t) if _BARE_SPACE.search(t) else t.split(" ")) for t in texts]
-        if len(self.first) + len(self.spaced) > CACHE:
-            self.first.clear()
-            self.spaced.clear()
-        self.first.setdefault("", b"")
-        self._learn(self.first, {c[0] for c in cut if c}, "")
-        self._learn(self.spaced, set().union(*(c[1:] for c in cut if c)), " ")
-        get = self.spaced.__getitem__
-        return [self.whole([t])[0] if c is None else b"".join([self.first[c[0]], *map(get, c[1:])]) for t, c in zip(texts, cut, strict=True)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        held, size = [], 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size >= SLICE_CHARS:
-                yield from self._slice(held)
-                held, size = [], 0
-        yield from self._slice(held)
+        if self.cuts:
+            words = _Words(self.library, "H" if dtype == "<u2" else "I")
+            self.first, self.spaced = _Pieces(words, pattern, ""), _Pieces(words, pattern, " ")
+
+    def encode(self, text: str) -> bytes:
+        if not self.cuts or any(s in text for s in self.special):
+            ids = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            return np.array(ids, self.dtype).tobytes()
+        first, *rest = _BEFORE_WORD.split(text) if _BARE_SPACE.search(text) else text.split(" ")
+        return b"".join([self.first[first], *map(self.spaced.__getitem__, rest)])
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -185,7 +197,7 @@ def crc_of_both(a: int, b: int, n: int) -> int:
     return times(move, a) ^ b
 
 
-def _raw_blocks(docs: DataFrame, path: str, end: int, dtype: str) -> DataFrame:
+def _raw_blocks(docs: DataFrame, path: str, pattern: str | None, end: int, dtype: str) -> DataFrame:
     """shard, block, lead, ids, doc_ids, sizes: each shard's ids in blocks.
 
     sizes has each document's ids within the block; lead is how many ids of the first one lie in blocks before.
@@ -193,7 +205,7 @@ def _raw_blocks(docs: DataFrame, path: str, end: int, dtype: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, shard = Ids(path, dtype), TaskContext.get().partitionId()
+        ids, shard = Ids(path, pattern, dtype), TaskContext.get().partitionId()
         width, ending = np.dtype(dtype).itemsize, np.array([end], dtype).tobytes()
         held, owners, sizes, lead, block = bytearray(), [], [], 0, 0
 
@@ -208,8 +220,8 @@ def _raw_blocks(docs: DataFrame, path: str, end: int, dtype: str) -> DataFrame:
         doc_type = None
         for batch in batches:
             doc_type = batch.schema.field("doc_id").type
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            for owner, own in zip(batch.column("doc_id").to_pylist(), ids.encode(texts), strict=True):
+            for owner, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                own = ids.encode(text.as_py() or "")
                 left, before = len(own) // width + 1, 0
                 held += own + ending
                 while left:
@@ -251,14 +263,17 @@ def _counts(raw: DataFrame, size: int, dtype: str) -> np.ndarray:
     return out
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int = END_ID) -> None:
-    """Write the ids of docs(doc_id, text), each document's followed by end, in ascending doc_id order under folder."""
+def write_ids(docs: DataFrame, folder: str, tokenizer: str, pattern: str | None = None, end: int = END_ID) -> None:
+    """Write the ids of docs(doc_id, text), each document's followed by end, in ascending doc_id order under folder.
+
+    pattern is the one that byte-level vocabularies cut texts by; without it every text goes through the library whole.
+    """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         spec = json.load(f)
     size = max([end, *spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens") or [])]) + 1
     dtype = "<u2" if size <= 1 << 16 else "<u4"
-    raw = materialise(_raw_blocks(docs, tokenizer, end, dtype))
+    raw = materialise(_raw_blocks(docs, tokenizer, pattern, end, dtype))
     freq = scaled(_counts(raw, size, dtype))
     table = Table(freq)
     kind = raw.schema["doc_ids"].dataType.simpleString()
@@ -393,5 +408,5 @@ def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = f"{shared_dir(spark)}/sparktab-ids-{uuid.uuid4().hex}"
-    write_ids(documents(spark, sf_dir, "doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    write_ids(documents(spark, sf_dir, "doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return digests(spark, folder)
