@@ -22,6 +22,7 @@ empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import uuid
@@ -42,7 +43,9 @@ from .tokens import byte_symbols
 #: Ids of a block, coders of a block, steps from one checkpoint to the next.
 BLOCK, LANES, MARK = 1 << 15, 32, 256
 #: Blocks coded side by side, estimated bytes of text of a shard, pieces whose ids a worker keeps.
-TOGETHER, SHARD_BYTES, CACHE = 64, 64 << 20, 600_000
+TOGETHER, SHARD_BYTES, CACHE = 64, 64 << 20, 400_000
+#: Estimated bytes of ids that one task counts.
+COUNT_BYTES = 256 << 20
 #: Characters of the longest piece whose ids are kept.
 LONG_PIECE = 64
 END_ID = 2
@@ -109,6 +112,12 @@ class Ids:
         return b"".join([self.first[first], *map(self.spaced.__getitem__, rest)])
 
 
+@functools.lru_cache(maxsize=1)
+def _kept(path: str, pattern: str | None, dtype: str) -> Ids:
+    """One for all tasks of a Python worker."""
+    return Ids(path, pattern, dtype)
+
+
 def scaled(counts: np.ndarray) -> np.ndarray:
     """Frequencies that sum to a power of two, at least 1 for each id that occurs."""
     bits = max(16, int(len(counts)).bit_length() + 4)
@@ -205,7 +214,7 @@ def _raw_blocks(docs: DataFrame, path: str, pattern: str | None, end: int, dtype
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, shard = Ids(path, pattern, dtype), TaskContext.get().partitionId()
+        ids, shard = _kept(path, pattern, dtype), TaskContext.get().partitionId()
         width, ending = np.dtype(dtype).itemsize, np.array([end], dtype).tobytes()
         held, owners, sizes, lead, block = bytearray(), [], [], 0, 0
 
@@ -247,7 +256,11 @@ def _raw_blocks(docs: DataFrame, path: str, pattern: str | None, end: int, dtype
 
 
 def _counts(raw: DataFrame, size: int, dtype: str) -> np.ndarray:
-    """How often each id occurs; one row per id of the vocabulary reaches the driver."""
+    """How often each id occurs; one row per id of the vocabulary reaches the driver.
+
+    A task sends as many rows as it met ids, so tasks read COUNT_BYTES each, however small the files are.
+    """
+    tasks = max(raw.sparkSession.sparkContext.defaultParallelism, input_bytes(raw) // COUNT_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -258,7 +271,7 @@ def _counts(raw: DataFrame, size: int, dtype: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in raw.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in raw.select("ids").coalesce(tasks).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -382,7 +395,8 @@ def read_pieces(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
     pieces = read_pieces(spark, folder).groupBy("shard", "place")
-    whole = pieces.agg(F.first("doc_id").alias("doc_id"), F.sum("n_ids").alias("n_tokens"), F.min("crc").alias("crc"), F.array_sort(F.collect_list(F.struct("lead", "n_ids", "crc"))).alias("parts"))
+    parts = F.array_sort(F.collect_list(F.struct("lead", "n_ids", "crc"))).alias("parts")
+    whole = materialise(pieces.agg(F.first("doc_id").alias("doc_id"), F.sum("n_ids").alias("n_tokens"), F.min("crc").alias("crc"), parts))  # decoded once
     kind = whole.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
