@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, modelling, plans_, profiling
+from . import anomalies, evaluation, modelling, plans_, profiling
 
-QUERIES = profiling.QUERIES | modelling.QUERIES | evaluation.QUERIES | plans_.QUERIES
-ORACLES = profiling.ORACLES | modelling.ORACLES | evaluation.ORACLES | plans_.ORACLES
+QUERIES = profiling.QUERIES | modelling.QUERIES | evaluation.QUERIES | plans_.QUERIES | anomalies.QUERIES
+ORACLES = profiling.ORACLES | modelling.ORACLES | evaluation.ORACLES | plans_.ORACLES | anomalies.ORACLES
