@@ -7,9 +7,9 @@ the proposals and their negative border. If a phrase of the border turns out fre
 another full pass counts the phrases that this admits, and those alone, until a pass finds nothing frequent. What is frequent
 is then known exactly, whatever the sample held.
 
-Phrases are told apart by two 64-bit hashes of their words and language. The proposals reach the tasks as a bitmap of 2**BITS
-hash bits, so what is broadcast never grows with the corpus; a bit that several phrases share admits phrases to be counted
-that needn't be, and changes no result. Words of the frequent phrases are read from the sample again, and from the whole
+Phrases are told apart by two 64-bit hashes of their words and language. The proposals reach the tasks as a bitmap of hash
+bits, SPARE for each of them but no more than 2**BITS in all, so what is broadcast stays within 32 MB whatever the corpus; a bit
+that several phrases share admits phrases to be counted that needn't be, and changes no result. Words of the frequent phrases are read from the sample again, and from the whole
 table for the few that it lacks.
 
 Defined results: null is an empty text, which has no words; a null language is `und` and is one with documents marked so; equal
@@ -20,6 +20,7 @@ each.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -35,8 +36,10 @@ from .shingles import _LOWER, _OF_BYTE, _power, mix
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: One document of SAMPLE is sampled; phrases are proposed from half of their expected share of LEAST on.
 SAMPLE = 8
-#: Hash bits of the bitmap of proposals; bytes of text that are looked at together; buckets of the first ranking.
-BITS, SLICE_BYTES, BUCKETS = 28, 4 << 20, 64
+#: Binary logarithm of the largest bitmap's bits, bits for each proposal below that.
+BITS, SPARE = 28, 64
+#: Bytes of text that are looked at together; buckets of the first ranking.
+SLICE_BYTES, BUCKETS = 4 << 20, 64
 #: The bytes that end a piece, and those that end a word only.
 _PIECE = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
 _BLANK = np.isin(np.arange(256), [0x20, 0x09])
@@ -88,7 +91,7 @@ class Words:
 
 
 def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    spot = key >> np.uint64(64 - BITS)
+    spot = key >> np.uint64(58 - (len(bits).bit_length() - 1))
     return (bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) != 0
 
 
@@ -120,10 +123,11 @@ def _summed(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def _count(docs: DataFrame, bits: list, least: int, levels: tuple[int, int] = (1, LONGEST), totals: bool = False) -> DataFrame:
     """k1, k2, f of the phrases of these lengths that the last bitmap admits and the first of two doesn't, f >= least.
 
-    With totals, (s1, s2) of each language stand with the number of its words as well.
+    With totals, (s1, s2) of each language stand with the number of its words as well, and once more with f = 0.
     """
     spark = docs.sparkSession
     sent = [None if b is None else spark.sparkContext.broadcast(b) for b in bits]
+    kinds = docs.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.lit(0).cast("long").alias("f")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [None if b is None else b.value for b in sent]
@@ -137,14 +141,19 @@ def _count(docs: DataFrame, bits: list, least: int, levels: tuple[int, int] = (1
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k1", "k2", "f"])
 
     counted = docs.select("text", "s1", "s2").mapInArrow(run, "k1 long, k2 long, f long")
-    return counted.groupBy("k1", "k2").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    counted = counted.groupBy("k1", "k2").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    out = materialise(counted.unionByName(kinds) if totals else counted)
+    for b in filter(None, sent):
+        b.destroy()
+    return out
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """The keys' hash bits; at most 2**(BITS - 6) rows reach the driver, whatever the corpus."""
-    spot = F.shiftrightunsigned("k1", 64 - BITS)
-    rows = keys.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(k1, {64 - BITS}) % 64 as int)))").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+    size = min(BITS, max(12, (keys.count() * SPARE).bit_length()))
+    spot = F.shiftrightunsigned("k1", 64 - size)
+    rows = keys.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(k1, {64 - size}) % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (size - 6), np.uint64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -153,24 +162,26 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tup
     """(phrases(k1, k2, f), words(k1, k2, f)): all phrases of docs(text, s1, s2, sampled) with f >= least, and the number of words of each language under its seeds."""
     sample = materialise(docs.where("sampled").select("text", "s1", "s2"))
     lowered = max(2, least // (2 * SAMPLE))
-    proposed, levels, bits = None, [], None
+    levels: list[DataFrame] = []
+    bits = None
     for n in range(1, longest + 1):
-        level = materialise(_count(sample, [bits], lowered, (n, n)))
-        levels.append(level)
-        proposed = level if proposed is None else proposed.unionByName(level)
-        bits = _bitmap(level) if bits is None else bits | _bitmap(level)
-    found = materialise(_count(docs, [bits], least, (1, longest), totals=True).unionByName(docs.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.lit(0).cast("long").alias("f")).distinct()))
+        levels.append(_count(sample, [bits], lowered, (n, n)))
+        proposed = functools.reduce(DataFrame.unionByName, levels)
+        bits = _bitmap(proposed)
+    found = _count(docs, [bits], least, (1, longest), totals=True)
     seeds = found.where("f = 0").select("k1", "k2")
-    words = found.where("f > 0").join(seeds, ["k1", "k2"], "left_semi")
-    phrases = found.where("f > 0").join(seeds, ["k1", "k2"], "left_anti")
-    failed, closed = phrases.join(proposed, ["k1", "k2"], "left_anti"), bits
-    failed = materialise(failed.select("k1", "k2", "f"))
+    words = materialise(found.where("f > 0").join(seeds, ["k1", "k2"], "left_semi"))
+    rounds = [materialise(found.where("f > 0").join(seeds, ["k1", "k2"], "left_anti"))]
+    failed = materialise(rounds[0].join(proposed, ["k1", "k2"], "left_anti"))
     while failed.count():  # a length at a time at most, so no more than longest rounds
-        wider = closed | _bitmap(failed)
-        failed = materialise(_count(docs, [closed, wider], least, (2, longest)))
-        phrases, closed = phrases.unionByName(failed), wider
-    release(sample, *levels)
-    return materialise(phrases), materialise(words)
+        proposed = proposed.unionByName(failed)
+        wider = _bitmap(proposed)
+        failed = _count(docs, [bits, wider], least, (2, longest))
+        rounds.append(failed)
+        bits = wider
+    phrases = materialise(functools.reduce(DataFrame.unionByName, rounds))
+    release(sample, found, *levels, *rounds)
+    return phrases, words
 
 
 def _spelled(docs: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
@@ -192,7 +203,10 @@ def _spelled(docs: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
             keys = np.array(list(out), np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *[pa.array([v[j] for v in out.values()], pa.string()) for j in (0, 1)]], ["k1", "k2", "lang", "phrase"])
 
-    return docs.select("text", "s1", "s2", "lang").mapInArrow(run, "k1 long, k2 long, lang string, phrase string").join(keys.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+    spelled = docs.select("text", "s1", "s2", "lang").mapInArrow(run, "k1 long, k2 long, lang string, phrase string").join(keys.select("k1", "k2"), ["k1", "k2"], "left_semi")
+    out = materialise(spelled.groupBy("k1", "k2").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase")))
+    sent.destroy()
+    return out
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -201,11 +215,11 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     sampled = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(SAMPLE)) == 0
     rows = docs.select(F.col("text").cast("string").alias("text"), lang.alias("lang"), F.xxhash64(F.lit(1), lang).alias("s1"), F.xxhash64(F.lit(2), lang).alias("s2"), sampled.alias("sampled"))
     phrases, words = frequent(rows, longest, least)
-    # whatever has more words than phrases is closed under parts, so bits of the frequent ones lead to each of them
-    known = materialise(_spelled(rows.where("sampled"), phrases, longest))
+    # frequent phrases' parts are frequent, so the bits of all lead to each of them
+    known = _spelled(rows.where("sampled"), phrases, longest)
     rest = materialise(phrases.join(known, ["k1", "k2"], "left_anti"))
-    if rest.count():  # parts lead to them, so the bits of all are sought
-        known = known.unionByName(materialise(_spelled(rows, phrases, longest).join(rest.select("k1", "k2"), ["k1", "k2"], "left_semi")))
+    if rest.count():
+        known = known.unionByName(_spelled(rows, phrases, longest).join(rest.select("k1", "k2"), ["k1", "k2"], "left_semi"))
     langs = rows.select("lang", F.col("s1").alias("k1"), F.col("s2").alias("k2")).distinct()
     return phrases.join(known, ["k1", "k2"]).select("lang", "phrase", "f"), words.join(langs, ["k1", "k2"]).select("lang", F.col("f").alias("n"))
 
