@@ -324,6 +324,21 @@ def char_ngram_retrieval(spark, d):
     return rounded(T.ngram_retrieval(b, b, "item_id", "text", "item_id", "text"))
 
 
+@R.add("""
+WITH t AS (SELECT 'q' AS side, s_suppkey AS k, lower(s_name || ' ' || s_nationkey) AS t FROM supplier UNION ALL SELECT 'r', c_custkey, lower(c_name || ' ' || c_nationkey) FROM customer),
+g AS (SELECT side, k, CAST('0x' || substr(md5(substr(t, i, 3)), 1, 8) AS BIGINT) % 1048576 AS g, COUNT(*) AS c FROM (SELECT *, UNNEST(range(1, length(t) - 1)) AS i FROM t) GROUP BY ALL),
+n AS (SELECT side, k, sqrt(SUM(c * c)) AS norm FROM g GROUP BY ALL),
+d AS (SELECT a.k AS query, b.k AS key, SUM(a.c * b.c) AS common FROM g a JOIN g b USING (g) WHERE a.side = 'q' AND b.side = 'r' GROUP BY ALL),
+s AS (SELECT query, key, common, ROUND(common / (x.norm * y.norm), 9) AS similarity FROM d JOIN n x ON x.side = 'q' AND x.k = query JOIN n y ON y.side = 'r' AND y.k = key)
+SELECT query, key, CAST(common AS BIGINT) AS common, ROUND(similarity, 6) AS similarity FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY query ORDER BY similarity DESC, key) <= 5
+""")
+def context_vectorsearch(spark, d):
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    asked = s.select("s_suppkey", F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    rows = c.select("c_custkey", F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    return rounded(T.vector_context(asked, rows, "vectorsearch::5", "c_custkey", "s_suppkey", ["name", "nation"]))
+
+
 @R.add("SELECT COUNT(*) AS n_series, MIN(n) AS min_n, median(n) AS median_n, MAX(n) AS max_n, COUNT(*) FILTER (WHERE gaps > 0) AS with_gaps FROM (SELECT user_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE g > 1) AS gaps FROM (SELECT user_id, d, d - LAG(d) OVER (PARTITION BY user_id ORDER BY d) AS g FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events)) GROUP BY 1)")
 def panel_summary(spark, d):
     return N.panel_summary(table(spark, d, "events"), "user_id", "ts")
