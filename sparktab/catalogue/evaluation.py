@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import queue as Q
+from ..operators import resample as B
 from .base import Registry, rounded, table
 
 R = Registry()
@@ -240,3 +241,49 @@ def permutation_test(spark, d):
 @R.add("SELECT COUNT(*) AS n, ROUND(quantile_cont(value, 0.5), 6) AS median, ROUND(quantile_cont(value, 0.95), 6) AS p95 FROM events")
 def latency_summary(spark, d):
     return rounded(M.latency_summary(table(spark, d, "events"), "value"))
+
+
+_CAPACITY, _REPLICATES = 12, 40
+
+
+def _two_scores(spark, d):
+    t = table(spark, d, "events").withColumn("day", F.to_date("ts").cast("string"))
+    return t.withColumns({"y": (F.col("event_type") == "error").cast("int"), "other": F.col("value") + (F.col("event_id") * 37) % 11})
+
+
+def _bootstrapped(spark, d):
+    week = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01")) / 3)
+    return B.QueueBootstrap(_two_scores(spark, d), "day", week, "user_id", "event_id", "y", ("value", "other"), _CAPACITY, 2, _REPLICATES)
+
+
+_WEIGHT = """(CASE WHEN u >= 0.36787944 THEN 1 ELSE 0 END) + (CASE WHEN u >= 0.73575888 THEN 1 ELSE 0 END) + (CASE WHEN u >= 0.91969860 THEN 1 ELSE 0 END) + (CASE WHEN u >= 0.98101184 THEN 1 ELSE 0 END)
+  + (CASE WHEN u >= 0.99634015 THEN 1 ELSE 0 END) + (CASE WHEN u >= 0.99940582 THEN 1 ELSE 0 END) + (CASE WHEN u >= 0.99991676 THEN 1 ELSE 0 END)"""
+# every row of every batch in every replicate, without prefixes
+_REPLAYED = f"""
+WITH e AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(floor((CAST(ts AS DATE) - DATE '2024-01-01') / 3) AS BIGINT) AS period, user_id, event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y,
+    UNNEST([0, 1]) AS score, UNNEST([value, value + (event_id * 37) % 11]) AS s FROM events),
+c AS (SELECT * FROM e QUALIFY ROW_NUMBER() OVER (PARTITION BY score, day, user_id ORDER BY s DESC, event_id) <= 2),
+x AS (SELECT *, (CAST('0x' || substr(md5('7|entity|' || user_id || '|' || replicate), 1, 8) AS BIGINT) % 1000000) / 1000000.0 AS u FROM c, (SELECT UNNEST(range(-1, {_REPLICATES})) AS replicate)),
+w AS (SELECT *, CASE WHEN replicate < 0 THEN 1 ELSE {_WEIGHT} END AS w FROM x),
+t AS (SELECT *, greatest(0, least(w, {_CAPACITY} - COALESCE(SUM(w) OVER (PARTITION BY score, replicate, day ORDER BY s DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS taken FROM w),
+b AS (SELECT score, replicate, period, SUM(taken) AS taken, SUM(taken * y) AS hits FROM t GROUP BY ALL),
+p AS (SELECT *, CASE WHEN replicate < 0 THEN 1 ELSE {_WEIGHT} END AS w FROM (SELECT *, (CAST('0x' || substr(md5('7|period|' || period || '|' || replicate), 1, 8) AS BIGINT) % 1000000) / 1000000.0 AS u FROM b)),
+d AS (SELECT replicate, SUM(w * hits) FILTER (WHERE score = 0) / nullif(SUM(w * taken) FILTER (WHERE score = 0), 0) AS a, SUM(w * hits) FILTER (WHERE score = 1) / nullif(SUM(w * taken) FILTER (WHERE score = 1), 0) AS b FROM p GROUP BY replicate)
+"""
+
+
+@R.add(_REPLAYED + "SELECT CAST(replicate AS INTEGER) AS replicate, ROUND(a, 6) AS a, ROUND(b, 6) AS b, ROUND(b - a, 6) AS difference FROM d WHERE replicate >= 0")
+def queue_bootstrap(spark, d):
+    return rounded(_bootstrapped(spark, d).draws())
+
+
+@R.add(_REPLAYED + """,
+l AS (SELECT x.period, SUM(CASE WHEN y.score = 1 THEN y.hits END) / nullif(SUM(CASE WHEN y.score = 1 THEN y.taken END), 0) - SUM(CASE WHEN y.score = 0 THEN y.hits END) / nullif(SUM(CASE WHEN y.score = 0 THEN y.taken END), 0) AS v
+  FROM (SELECT DISTINCT period FROM b) x JOIN b y ON y.period <> x.period AND y.replicate < 0 GROUP BY x.period),
+j AS (SELECT COUNT(v) AS n, SUM(v) / COUNT(v) AS m FROM l),
+k AS (SELECT ANY_VALUE(n) AS n, SUM(pow(m - v, 3)) / (6 * pow(SUM(pow(m - v, 2)), 1.5)) AS acceleration FROM l, j)
+SELECT ANY_VALUE(n) AS n_periods, ROUND(ANY_VALUE(o.a), 6) AS a, ROUND(ANY_VALUE(o.b), 6) AS b, ROUND(ANY_VALUE(o.b - o.a), 6) AS difference, ROUND(quantile_cont(d.b - d.a, 0.025), 6) AS low, ROUND(quantile_cont(d.b - d.a, 0.975), 6) AS high,
+  ROUND(AVG(CAST(d.b - d.a < o.b - o.a AS DOUBLE)), 6) AS below, ROUND(ANY_VALUE(acceleration), 6) AS acceleration FROM d, d o, k WHERE d.replicate >= 0 AND o.replicate < 0 AND d.b - d.a IS NOT NULL
+""")
+def queue_bootstrap_interval(spark, d):
+    return rounded(_bootstrapped(spark, d).interval().drop("bca_low", "bca_high"))
