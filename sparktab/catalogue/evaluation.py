@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import queue as Q
 from ..operators import resample as B
+from ..operators import stacking as K
 from .base import Registry, rounded, table
 
 R = Registry()
@@ -287,3 +288,51 @@ SELECT ANY_VALUE(n) AS n_periods, ROUND(ANY_VALUE(o.a), 6) AS a, ROUND(ANY_VALUE
 """)
 def queue_bootstrap_interval(spark, d):
     return rounded(_bootstrapped(spark, d).interval().drop("bca_low", "bca_high"))
+
+
+# formulaic predictions: the second model is what is tested
+_BASE = """b AS (SELECT event_id, CAST(event_id % 5 AS INTEGER) AS fold, y, 0.05 + ((event_id * 37) % 101) / 101.0 * 0.5 + y * 0.25 AS p1, 0.05 + ((event_id * 53) % 97) / 97.0 * 0.6 + y * 0.15 AS p2
+  FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y FROM events))"""
+
+
+def _base(spark, d):
+    t = table(spark, d, "events").select("event_id", (F.col("event_id") % 5).cast("int").alias("fold"), (F.col("event_type") == "error").cast("int").alias("y"))
+    p1 = F.lit(0.05) + ((F.col("event_id") * 37) % 101) / F.lit(101.0) * 0.5 + F.col("y") * 0.25
+    return t.withColumns({"p1": p1, "p2": F.lit(0.05) + ((F.col("event_id") * 53) % 97) / F.lit(97.0) * 0.6 + F.col("y") * 0.15})
+
+
+# two models in closed form: both if both weights are positive, else the better one alone
+_STACK = f"""
+WITH {_BASE}, o AS (SELECT UNNEST([-1, 0, 1, 2, 3, 4]) AS fold),
+g AS (SELECT o.fold, SUM(p1 * p1) AS a, SUM(p1 * p2) AS b, SUM(p2 * p2) AS c, SUM(p1 * y) AS u, SUM(p2 * y) AS v FROM o, b WHERE b.fold <> o.fold GROUP BY o.fold),
+s AS (SELECT *, (c * u - b * v) / (a * c - b * b) AS w1, (a * v - b * u) / (a * c - b * b) AS w2 FROM g),
+w AS (SELECT fold, a, b, c, u, v, CASE WHEN w1 > 0 AND w2 > 0 THEN w1 WHEN u * u / a >= v * v / c THEN greatest(0, u / a) ELSE 0 END AS w1, CASE WHEN w1 > 0 AND w2 > 0 THEN w2 WHEN u * u / a >= v * v / c THEN 0 ELSE greatest(0, v / c) END AS w2 FROM s)
+"""
+
+
+@R.add(_STACK + """, k AS (SELECT CAST(fold AS INTEGER) AS fold, 'p1' AS model, w1 AS weight, a * w1 + b * w2 - u AS slack FROM w UNION ALL SELECT fold, 'p2', w2, b * w1 + c * w2 - v FROM w)
+SELECT fold, model, ROUND(weight, 6) AS weight, ROUND(slack, 6) + 0.0 AS slack, weight >= 0 AND slack >= -1e-6 AND abs(weight * slack) < 1e-6 AS holds FROM k""")
+def stacking_conditions(spark, d):
+    b = _base(spark, d)
+    out = rounded(K.NonNegative(b, "y", ["p1", "p2"], "fold").conditions(b))
+    return out.withColumn("slack", F.col("slack") + F.lit(0.0))
+
+
+def _logistic_sql() -> str:
+    rows = "(SELECT o.fold, ln(p1 / (1 - p1)) AS x1, ln(p2 / (1 - p2)) AS x2, y FROM o, b WHERE b.fold <> o.fold)"
+    sql = ["n0 AS (SELECT fold, 0.0 AS w1, 0.0 AS w2 FROM o)"]
+    for i in range(12):
+        sql += [
+            f"d{i} AS (SELECT fold, w1, w2, SUM((y - p) * x1) - w1 AS u, SUM((y - p) * x2) - w2 AS v, SUM(p * (1 - p) * x1 * x1) + 1 AS a, SUM(p * (1 - p) * x1 * x2) AS b, SUM(p * (1 - p) * x2 * x2) + 1 AS c FROM (SELECT r.*, w1, w2, 1 / (1 + exp(-(w1 * x1 + w2 * x2))) AS p FROM {rows} r JOIN n{i} USING (fold)) GROUP BY fold, w1, w2)",
+            f"n{i + 1} AS MATERIALIZED (SELECT fold, w1 + (c * u - b * v) / (a * c - b * b) AS w1, w2 + (a * v - b * u) / (a * c - b * b) AS w2 FROM d{i})",
+        ]
+    return _STACK + ", " + ", ".join(sql) + """
+SELECT event_id, ROUND(w.w1 * p1 + w.w2 * p2, 6) AS linear, ROUND(1 / (1 + exp(-(n.w1 * ln(p1 / (1 - p1)) + n.w2 * ln(p2 / (1 - p2))))), 6) AS logistic FROM b JOIN w USING (fold) JOIN n12 n USING (fold)"""
+
+
+@R.add(_logistic_sql())
+def stacked_predictions(spark, d):
+    b = _base(spark, d)
+    linear = K.NonNegative(b, "y", ["p1", "p2"], "fold").score(b, "linear")
+    both = K.RidgeLogistic(b, "y", ["p1", "p2"], "fold", 5, intercept=False).score(linear, "logistic")
+    return rounded(both.select("event_id", "linear", "logistic"))
