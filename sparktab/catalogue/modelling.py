@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import duplicates as U
 from ..operators import features as X
+from ..operators import intervals as I
 from ..operators import joins as J
 from ..operators import panel as N
 from ..operators import retrieval as T
@@ -342,3 +343,36 @@ def context_vectorsearch(spark, d):
 @R.add("SELECT COUNT(*) AS n_series, MIN(n) AS min_n, median(n) AS median_n, MAX(n) AS max_n, COUNT(*) FILTER (WHERE gaps > 0) AS with_gaps FROM (SELECT user_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE g > 1) AS gaps FROM (SELECT user_id, d, d - LAG(d) OVER (PARTITION BY user_id ORDER BY d) AS g FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events)) GROUP BY 1)")
 def panel_summary(spark, d):
     return N.panel_summary(table(spark, d, "events"), "user_id", "ts")
+
+
+# a few of the intervals span years
+_SPANS = "SELECT o_orderkey, o_orderdate AS s, o_orderdate + INTERVAL 1 HOUR * (1 + o_orderkey % 60 + CASE WHEN o_orderkey % 5000 = 1 THEN 20000 ELSE 0 END) AS e FROM orders"
+
+
+def _spans(spark, d):
+    hours = F.lit(1) + F.col("o_orderkey") % 60 + F.when(F.col("o_orderkey") % 5000 == 1, 20000).otherwise(0)
+    t = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("s"), hours.alias("hours"))
+    return t.select("o_orderkey", "s", (F.col("s") + F.make_dt_interval(hours=F.col("hours").cast("int"))).alias("e"))
+
+
+@R.add(f"""
+WITH o AS ({_SPANS}), l AS (SELECT l_shipdate AS s, l_shipdate + INTERVAL 1 HOUR * (6 + l_partkey % 30) AS e FROM lineitem)
+SELECT o_orderkey, COUNT(*) AS n, CAST(SUM(epoch(least(o.e, l.e)) - epoch(greatest(o.s, l.s))) AS BIGINT) AS seconds FROM o JOIN l ON o.s < l.e AND l.s < o.e GROUP BY o_orderkey
+""")
+def interval_overlap(spark, d):
+    l = table(spark, d, "lineitem").select(F.col("l_shipdate").alias("s2"), (F.col("l_shipdate") + F.make_dt_interval(hours=(F.lit(6) + F.col("l_partkey") % 30).cast("int"))).alias("e2"))
+    pairs = I.overlap_join(_spans(spark, d), l, "s", "e", "s2", "e2", 6 * 3600e6)
+    seconds = F.unix_seconds(F.least("e", "e2").cast("timestamp")) - F.unix_seconds(F.greatest("s", "s2").cast("timestamp"))
+    return pairs.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum(seconds).alias("seconds"))
+
+
+@R.add(f"""
+WITH o AS (SELECT *, CAST(year(s) % 5 AS INTEGER) AS fold FROM ({_SPANS})), f AS (SELECT UNNEST(range(5)) AS outer_fold),
+v AS (SELECT fold, MAX(e) AS last FROM o GROUP BY fold),
+m AS (SELECT p.o_orderkey, p.outer_fold, MAX(x.e) AS seen FROM (SELECT * FROM o CROSS JOIN f WHERE fold <> outer_fold) p ASOF JOIN (SELECT fold, s, MAX(e) OVER (PARTITION BY fold ORDER BY s) AS e FROM o) x ON x.fold = p.outer_fold AND p.e > x.s GROUP BY ALL)
+SELECT o.o_orderkey, CAST(f.outer_fold AS INTEGER) AS outer_fold, CASE WHEN o.fold = f.outer_fold THEN 'validation' WHEN m.seen > o.s THEN 'purged' WHEN o.s >= v.last AND o.s < v.last + INTERVAL 30 DAY THEN 'embargoed' ELSE 'train' END AS role
+FROM o CROSS JOIN f LEFT JOIN m ON m.o_orderkey = o.o_orderkey AND m.outer_fold = f.outer_fold LEFT JOIN v ON v.fold = f.outer_fold
+""")
+def purge_embargo(spark, d):
+    t = _spans(spark, d).withColumn("fold", F.year("s") % 5)
+    return I.purged_folds(t, "fold", 5, "s", "e", 30 * 86400e6).select("o_orderkey", "outer_fold", "role")
