@@ -43,7 +43,7 @@ from .tokens import byte_symbols
 #: Ids of a block, coders of a block, steps from one checkpoint to the next.
 BLOCK, LANES, MARK = 1 << 15, 32, 256
 #: Blocks coded side by side, estimated bytes of text of a shard, pieces whose ids a worker keeps.
-TOGETHER, SHARD_BYTES, CACHE = 64, 64 << 20, 400_000
+TOGETHER, SHARD_BYTES, CACHE = 64, 64 << 20, 900_000
 #: Estimated bytes of ids that one task counts.
 COUNT_BYTES = 256 << 20
 #: Characters of the longest piece whose ids are kept.
@@ -51,6 +51,7 @@ LONG_PIECE = 64
 END_ID = 2
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
 _BARE_SPACE = re.compile(r" (?:\s|\Z)")
+_MARKS = {".", ",", ";", ":", "!", "?"}
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
 
@@ -70,13 +71,29 @@ class _Words(dict):
 
 
 class _Pieces(dict):
-    """Ids of a piece of a text that begins with lead."""
+    """Ids of a piece of a text that begins with lead, a space or nothing.
+
+    Letters are one pre-token with the lead, a mark after letters and a single line end between two parts are one each, as the
+    pattern has them; other pieces are cut by the pattern.
+    """
 
     def __init__(self, words: _Words, pattern: str, lead: str):
         self.words, self.find, self.lead = words, regex.compile(pattern).findall, lead
+        self.printed_lead = "".join(words.printable[b] for b in lead.encode())
+        self.starts = self
 
     def __missing__(self, piece: str) -> bytes:
-        out = b"".join(map(self.words.__getitem__, self.find(self.lead + piece)))
+        if piece.isalpha():
+            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.words.printable)
+            out = array(self.words.code, [t.id for t in self.words.tokenize(self.printed_lead + text)]).tobytes()
+        elif piece[-1:] in _MARKS and piece[:-1].isalpha():
+            out = self[piece[:-1]] + self.words[piece[-1]]
+        else:
+            line, end, rest = piece.partition("\n")
+            if line and rest and not line[-1].isspace() and not rest[0].isspace():
+                out = self[line] + self.words[end] + self.starts[rest]
+            else:
+                out = b"".join(map(self.words.__getitem__, self.find(self.lead + piece)))
         if len(piece) <= LONG_PIECE:
             if len(self) > CACHE:
                 self.clear()
@@ -103,6 +120,7 @@ class Ids:
         if self.cuts:
             words = _Words(self.library, "H" if dtype == "<u2" else "I")
             self.first, self.spaced = _Pieces(words, pattern, ""), _Pieces(words, pattern, " ")
+            self.spaced.starts = self.first
 
     def encode(self, text: str) -> bytes:
         if not self.cuts or any(s in text for s in self.special):
