@@ -44,14 +44,27 @@ def target_function_of_group(spark, d):
 
 
 @R.add("""
-WITH f AS (SELECT *, CAST('0x' || substr(md5('7|' || user_id), 1, 8) AS BIGINT) % 5 AS fold FROM events), e AS (SELECT list(DISTINCT event_type) AS every FROM events)
+WITH f AS (SELECT *, CAST('0x' || substr(md5('7|' || user_id), 1, 8) AS BIGINT) % 5 AS fold FROM events)
 SELECT CAST(fold AS VARCHAR) AS partition, CAST(COUNT(*) AS BIGINT) AS n_rows, COUNT(DISTINCT event_type) AS n_classes,
-  (SELECT MIN(n) FROM (SELECT fold AS f2, event_type, COUNT(*) AS n FROM f GROUP BY ALL) WHERE f2 = f.fold) AS least_support, '' AS missing_classes FROM f GROUP BY fold
+  (SELECT MIN(n) FROM (SELECT fold AS f2, event_type, COUNT(*) AS n FROM f GROUP BY ALL) WHERE f2 = f.fold) AS least_support, (SELECT COUNT(DISTINCT event_type) FROM f) - COUNT(DISTINCT event_type) AS n_missing FROM f GROUP BY fold
 """)
 def fold_audit(spark, d):
     return S.fold_audit(S.group_split(table(spark, d, "events"), "user_id"), "fold", "event_type")
 
 
+# values of clerks that months lack: most pairs are missing
+@R.add("""
+WITH t AS (SELECT strftime(o_orderdate, '%Y-%m') AS partition, nullif(CAST(o_custkey % 90 AS VARCHAR), '7') AS class FROM orders),
+p AS (SELECT DISTINCT partition FROM t), c AS (SELECT DISTINCT CASE WHEN class = '5' THEN '' ELSE class END AS class FROM t WHERE class IS NOT NULL),
+s AS (SELECT DISTINCT partition, CASE WHEN class = '5' THEN '' ELSE class END AS class FROM t)
+SELECT p.partition, c.class FROM p CROSS JOIN c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.partition = p.partition AND s.class = c.class)
+""")
+def missing_classes(spark, d):
+    label = F.nullif((F.col("o_custkey") % 90).cast("string"), F.lit("7"))
+    t = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.when(label == "5", "").otherwise(label).alias("label"))
+    return S.missing_classes(t, "month", "label")
+
+
 @R.add("SELECT COUNT(*) AS n_groups, COUNT(*) FILTER (WHERE f > 1) AS n_crossing FROM (SELECT user_id, COUNT(DISTINCT event_id % 2) AS f FROM events GROUP BY 1)")
 def group_fold_crossing(spark, d):
     return S.overlap(table(spark, d, "events").withColumn("fold", F.col("event_id") % 2), "user_id", "fold")
@@ -164,7 +177,7 @@ def nested_cv(spark, d):
 
 
 @R.add("""
-SELECT p_partkey, CAST(CAST('0x' || substr(md5('7|' || sha256(p_brand || chr(31) || p_type || chr(31) || p_size)), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold FROM part
+SELECT p_partkey, CAST(CAST('0x' || substr(md5('7|' || sha256(length(p_brand) || ':' || p_brand || length(p_type) || ':' || p_type || length(p_size::VARCHAR) || ':' || p_size)), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold FROM part
 """)
 def signature_split(spark, d):
     return S.signature_split(table(spark, d, "part"), ["p_brand", "p_type", "p_size"]).select("p_partkey", "fold")

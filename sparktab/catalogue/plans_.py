@@ -68,6 +68,30 @@ def preflight_groups(spark, d):
     return preflight.findings_frame(table(spark, d, "customer"), preflight.Request("c_mktsegment", "one row per customer", "at signing", group="c_nationkey"))
 
 
+# a fold column whose parts lack a class that has a part of its own, and whose users lie in several parts
+@R.add("""
+WITH e AS (SELECT event_type AS y, user_id, event_id, value, CASE WHEN event_type = 'error' THEN 'errors' ELSE 'part ' || event_id % 3 END AS fold FROM events),
+p AS (SELECT fold, COUNT(DISTINCT y) AS k, MIN(n) AS n FROM (SELECT fold, y, COUNT(*) AS n FROM e GROUP BY ALL) GROUP BY fold), u AS (SELECT user_id, COUNT(DISTINCT fold) AS f FROM e GROUP BY user_id),
+s AS (SELECT COUNT(*) AS n, COUNT(DISTINCT y) AS k, COUNT(DISTINCT user_id) AS g FROM e GROUP BY value), c AS (SELECT COUNT(*) AS n FROM e GROUP BY y)
+SELECT 'warning' AS severity, 'identifier_features_excluded' AS code, 'event_id' AS columns FROM (SELECT COUNT(event_id) AS n FROM e) WHERE n > 0
+UNION ALL SELECT 'warning', 'pipeline_metadata_excluded', 'fold' FROM (SELECT COUNT(fold) AS n FROM e) WHERE n > 0
+UNION ALL SELECT 'blocker', 'singleton_class', 'y' FROM (SELECT MIN(n) AS n FROM c) WHERE n < 2
+UNION ALL SELECT 'warning', 'small_class', 'y' FROM (SELECT MIN(n) AS n FROM c) WHERE n BETWEEN 2 AND 9
+UNION ALL SELECT 'warning', 'substantive_duplicate_observations', '' FROM (SELECT COUNT(*) AS n, (SELECT COUNT(*) FROM (SELECT DISTINCT value, y FROM e)) AS k FROM e) WHERE n > k
+UNION ALL SELECT 'blocker', 'conflicting_labels_for_identical_features', '' FROM (SELECT MAX(k) AS k FROM s) WHERE k > 1
+UNION ALL SELECT 'warning', 'singleton_only_groups', 'user_id' FROM (SELECT MAX(n) AS n FROM (SELECT COUNT(*) AS n FROM e GROUP BY user_id)) WHERE n = 1
+UNION ALL SELECT 'warning', 'feature_signatures_cross_groups', 'user_id' FROM (SELECT MAX(g) AS g FROM s) WHERE g > 1
+UNION ALL SELECT 'blocker', 'conflicting_labels_cross_groups', 'user_id' FROM (SELECT COUNT(*) AS n FROM s WHERE g > 1 AND k > 1) WHERE n > 0
+UNION ALL SELECT 'blocker', 'fold_missing_classes', 'fold' FROM (SELECT COUNT(*) AS n FROM p WHERE k < (SELECT COUNT(*) FROM c)) WHERE n > 0
+UNION ALL SELECT 'blocker', 'group_ids_cross_folds', 'fold,user_id' FROM (SELECT COUNT(*) AS n FROM u WHERE f > 1) WHERE n > 0
+""")
+def preflight_folds(spark, d):
+    e = table(spark, d, "events")
+    fold = F.when(F.col("event_type") == "error", "errors").otherwise(F.concat(F.lit("part "), F.col("event_id") % 3))
+    t = e.select(F.col("event_type").alias("y"), "user_id", "event_id", "value", fold.alias("fold"))
+    return preflight.findings_frame(t, preflight.Request("y", "one row per event", "at the event", group="user_id"))
+
+
 @R.add("""
 SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS "end", event_type, COUNT(*) AS n, CAST(0 AS BIGINT) AS missing,
   ROUND(AVG(value), 6) AS mean, MIN(value) AS low, MAX(value) AS high FROM events GROUP BY ALL

@@ -288,7 +288,7 @@ def external_assets(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(C.external_assets(F.col("html"))).alias("n_assets"))
 
 
-@R.add("SELECT event_id, sha256(event_id || chr(31) || event_type || chr(31) || CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE chr(1) END) AS digest FROM events")
+@R.add("SELECT event_id, sha256(length(event_id::VARCHAR) || ':' || event_id || length(event_type) || ':' || event_type || CASE WHEN user_id % 2 = 0 THEN length(user_id::VARCHAR) || ':' || user_id ELSE '-' END) AS digest FROM events")
 def row_digest(spark, d):
     t = table(spark, d, "events").select("event_id", "event_type", F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("even"))
     return t.select("event_id", C.row_digest(t.columns).alias("digest"))

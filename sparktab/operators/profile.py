@@ -107,15 +107,18 @@ def numeric_summary(df: DataFrame, columns: list[str], approximate: bool = False
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def facts(df: DataFrame, approximate: bool = False) -> list[ColumnFacts]:
-    """Facts of every column, for roles and findings; three jobs whatever the number of rows."""
+def facts(df: DataFrame, approximate: bool = False, summaries: bool = True) -> list[ColumnFacts]:
+    """Facts of every column, for roles and findings; a few jobs whatever the number of rows.
+
+    Without summaries numbers have no quartiles and text isn't parsed for times.
+    """
     kinds = logical_types(df)
     missing = {r["column_name"]: (r["n_rows"], r["n_missing"]) for r in missing_rates(df).collect()}
     distinct = {r["column_name"]: r["n_distinct"] for r in (approx_distinct_counts(df) if approximate else distinct_counts(df)).collect()}
-    texts = [f for f in df.schema.fields if kinds[f.name] == CATEGORY]
+    texts = [f for f in df.schema.fields if kinds[f.name] == CATEGORY and summaries]
     dated = df.agg(*[F.count(as_timestamp(q(f.name), f.dataType)).alias(f"t{i}") for i, f in enumerate(texts)]).first() if texts else []
     parsed = {f.name: dated[i] for i, f in enumerate(texts)}
-    numbers = [c for c in df.columns if kinds[c] == NUMERIC]
+    numbers = [c for c in df.columns if kinds[c] == NUMERIC and summaries]
     summary = {r["column_name"]: r.asDict() for r in numeric_summary(df, numbers, approximate).collect()} if numbers else {}
     return [ColumnFacts(c, kinds[c], missing[c][0], missing[c][1], distinct[c], parsed.get(c, 0), summary.get(c, {})) for c in df.columns]
 

@@ -78,13 +78,29 @@ def crossing_groups(df: DataFrame, group: str, fold: str, most: int = 5) -> Data
     return per.where("n_folds > 1").orderBy("group_value").limit(most)
 
 
-def fold_audit(df: DataFrame, fold: str, target: str) -> DataFrame:
-    """partition, n_rows, n_classes, least_support, missing_classes: for each fold, null as (missing)."""
+def _cells(df: DataFrame, fold: str, target: str) -> DataFrame:
     label = F.coalesce(q(fold).cast("string"), F.lit("(missing)"))
-    cells = df.groupBy(label.alias("partition"), q(target).cast("string").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    classes = cells.where("t IS NOT NULL").select("t").distinct().agg(F.collect_set("t").alias("every"))
-    per = cells.groupBy("partition").agg(F.sum("n").alias("n_rows"), F.count("t").alias("n_classes"), F.min(F.when(F.col("t").isNotNull(), F.col("n"))).alias("least_support"), F.collect_set("t").alias("seen"))
-    return per.crossJoin(classes).select("partition", "n_rows", "n_classes", "least_support", F.array_join(F.sort_array(F.array_except("every", "seen")), ",").alias("missing_classes"))
+    return df.groupBy(label.alias("partition"), q(target).cast("string").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fold_audit(df: DataFrame, fold: str, target: str) -> DataFrame:
+    """partition, n_rows, n_classes, least_support, n_missing: for each fold, null as (missing), how many of all classes it
+    lacks. Counts alone, so a target of many classes makes no long value; missing_classes lists them."""
+    cells = _cells(df, fold, target)
+    every = df.where(q(target).isNotNull()).select(q(target).cast("string").alias("t")).distinct().agg(F.count(F.lit(1)).alias("every"))
+    per = cells.groupBy("partition").agg(F.sum("n").alias("n_rows"), F.count("t").alias("n_classes"), F.min(F.when(F.col("t").isNotNull(), F.col("n"))).alias("least_support"))
+    return per.crossJoin(F.broadcast(every)).select("partition", "n_rows", "n_classes", "least_support", (F.col("every") - F.col("n_classes")).alias("n_missing"))
+
+
+def missing_classes(df: DataFrame, fold: str, target: str) -> DataFrame:
+    """partition, class: one row for each class that a fold lacks, whatever characters it holds.
+
+    Only folds that lack a class meet the classes, and the result is as large as what is missing.
+    """
+    lacking = fold_audit(df, fold, target).where("n_missing > 0").select("partition")
+    classes = df.where(q(target).isNotNull()).select(q(target).cast("string").alias("class")).distinct()
+    seen = _cells(df, fold, target).where("t IS NOT NULL").select("partition", F.col("t").alias("class"))
+    return lacking.join(classes).join(seen, ["partition", "class"], "left_anti")
 
 
 def split_fingerprint(df: DataFrame, key: str, fold: str) -> DataFrame:

@@ -13,6 +13,10 @@ from ..sources.readers import guard
 
 BLOCKER, WARNING = "blocker", "warning"
 MISSING_HIGH, SMALL_CLASS, NEAR_PERFECT, EXAMPLES = 0.5, 10, 0.995, 5
+#: Classes, partitions, and classes that a partition lacks, that the report lists; all are counted, and findings rest on counts.
+LISTED = 1000
+#: Partitions whose missing classes are named.
+LACKING = 20
 
 
 #: What no table can tell.
@@ -51,7 +55,7 @@ def preflight(df: DataFrame, request: Request) -> dict:
     r = request
     guard(df, [r.target, r.group, r.time, *r.exclude])
     notes = _Findings()
-    facts = {f.name: f for f in profile.facts(df)}
+    facts = {f.name: f for f in profile.facts(df, summaries=False)}
     rows, t = next(iter(facts.values())).rows, facts[r.target]
     task = r.task or infer_task(t.logical, t.non_null, t.distinct)
     named = {r.target, r.group, r.time}
@@ -65,11 +69,12 @@ def preflight(df: DataFrame, request: Request) -> dict:
 
     notes.note(t.missing > 0, BLOCKER, "missing_target", f"{t.missing} rows have no target.", [r.target])
     classes: dict[str, int] = {}
+    n_classes = 0
     if task == "classification":
         notes.note(t.distinct < 2, BLOCKER, "invalid_class_target", "A classification target needs two classes.", [r.target])
-        # one row a class, all of them
-        classes = {x["class"]: x["n"] for x in profile.class_support(df, r.target).orderBy(F.desc("n"), "class").collect()}
-        least = min(classes.values(), default=None)
+        support = profile.class_support(df, r.target)
+        n_classes, least = support.agg(F.count(F.lit(1)), F.min("n")).first()
+        classes = {x["class"]: x["n"] for x in support.orderBy(F.desc("n"), "class").limit(LISTED).collect()}
         notes.note(least is not None and least < 2, BLOCKER, "singleton_class", "A class has a single row.", [r.target])
         notes.note(least is not None and 2 <= least < SMALL_CLASS, WARNING, "small_class", f"The smallest class has {least} rows.", [r.target])
     else:
@@ -122,10 +127,9 @@ def preflight(df: DataFrame, request: Request) -> dict:
         candidates = [c for c in df.columns if c == r.group or GROUP_NAME.search(c)]
         for fold in [c for c in df.columns if c != r.target and FOLD_NAME.search(c)]:
             folds.append(audit := _fold(df, fold, r.target, [c for c in candidates if c != fold]))
-            missing = [p["value"] for p in audit["partitions"] if p["missing_classes"]]
-            low = [p["value"] for p in audit["partitions"] if p["least_support"] is not None and p["least_support"] < 2]
-            notes.note(bool(missing), BLOCKER, "fold_missing_classes", f"Partitions without some classes: {_listed(missing)}.", [fold])
-            notes.note(bool(low) and not missing, WARNING, "fold_low_class_support", f"Partitions with a class of one row: {_listed(low)}.", [fold])
+            missing, low = audit["partitions_missing_classes"], audit["partitions_low_support"]
+            notes.note(missing > 0, BLOCKER, "fold_missing_classes", f"{missing} partitions lack some classes: {_listed([p['value'] for p in audit['partitions'] if p['n_missing']], missing)}.", [fold])
+            notes.note(low > 0 and not missing, WARNING, "fold_low_class_support", f"{low} partitions have a class of one row: {_listed([p['value'] for p in audit['partitions'] if p['least_support'] is not None and p['least_support'] < 2], low)}.", [fold])
             crossing = [c for c, x in audit["group_overlap"].items() if x["groups_crossing_partitions"]]
             notes.note(bool(crossing), BLOCKER, "group_ids_cross_folds", "Groups lie in several partitions.", [fold, *crossing])
 
@@ -137,25 +141,35 @@ def preflight(df: DataFrame, request: Request) -> dict:
     return {
         "source": {"columns": df.columns}, "problem": {"task": task, "target": r.target, "row_grain": r.row_grain, "prediction_moment": r.prediction_moment},
         "dataset": {"rows": rows, "columns": len(df.columns), "missing_cells": sum(f.missing for f in facts.values())},
-        "target": {"observed_rows": t.non_null, "missing_rows": t.missing, "distinct": t.distinct, "class_counts": classes},
+        "target": {"observed_rows": t.non_null, "missing_rows": t.missing, "distinct": t.distinct, "class_counts": classes, "classes_omitted": max(0, n_classes - len(classes))},
         "split_context": {"groups": groups, "time": times, "folds": folds, "feature_signatures": {k: sig.get(k, 0) for k in ("n_signatures", "n_repeated_signatures", "n_repeated_rows")} | {"fallback_recommended": fallback}},
         "memory": memory,
         "modeling_preflight": {"status": status(notes), "blocker_count": sum(f["severity"] == BLOCKER for f in notes), "warning_count": sum(f["severity"] == WARNING for f in notes), "human_review_required": list(REVIEW), "findings": list(notes), "included_features": features, "excluded_features": sorted(c for c in out if c), "exact_duplicates": exact, "substantive_duplicates": substantive},
     }
 
 
-def _listed(names: list[str], most: int = 20) -> str:
-    return ", ".join(names[:most]) + (f" and {len(names) - most} others" if len(names) > most else "")
+def _listed(names: list[str], of: int, most: int = 20) -> str:
+    return ", ".join(names[:most]) + (f" and {of - min(most, len(names))} others" if of > min(most, len(names)) else "")
 
 
 def _fold(df: DataFrame, fold: str, target: str, candidates: list[str]) -> dict:
-    parts = [{"value": x["partition"], "rows": x["n_rows"], "classes": x["n_classes"], "least_support": x["least_support"], "missing_classes": [c for c in x["missing_classes"].split(",") if c]} for x in splits.fold_audit(df, fold, target).orderBy("partition").collect()]
+    audit = splits.fold_audit(df, fold, target)
+    low = F.col("least_support") < 2
+    n, missing, few = audit.agg(F.count(F.lit(1)), F.count_if(F.col("n_missing") > 0), F.count_if(low)).first()
+    # partitions with something to tell come first
+    listed = audit.orderBy(F.desc(F.col("n_missing") > 0), F.desc_nulls_last(low), "partition").limit(LISTED).collect()
+    lacks: dict[str, list[str]] = {x["partition"]: [] for x in listed}
+    if missing:
+        some = splits.missing_classes(df, fold, target).where(F.col("partition").isin([x["partition"] for x in listed if x["n_missing"]][:LACKING]))
+        for x in some.orderBy("partition", "class").limit(LISTED).collect():
+            lacks[x["partition"]].append(x["class"])
+    parts = [{"value": x["partition"], "rows": x["n_rows"], "classes": x["n_classes"], "least_support": x["least_support"], "n_missing": x["n_missing"], "missing_classes": lacks[x["partition"]]} for x in sorted(listed, key=lambda x: x["partition"])]
     overlap = {}
     for c in candidates:
         x = splits.overlap(df, c, fold).first()
         if x["n_groups"]:
             overlap[c] = {"groups_observed": x["n_groups"], "groups_crossing_partitions": x["n_crossing"], "examples": [e["group_value"] for e in splits.crossing_groups(df, c, fold, EXAMPLES).collect()]}
-    return {"column": fold, "partitions": parts, "group_overlap": overlap}
+    return {"column": fold, "partitions": parts, "partitions_omitted": n - len(parts), "partitions_missing_classes": missing, "partitions_low_support": few, "group_overlap": overlap}
 
 
 def findings_frame(df: DataFrame, request: Request) -> DataFrame:
