@@ -86,9 +86,11 @@ def numeric_summary(df: DataFrame, columns: list[str], approximate: bool = False
             quart = F.percentile_approx(x, [0.25, 0.5, 0.75], 100_000) if approximate else F.lit(None).cast("array<double>")
             parts = [F.count(x).alias("n"), F.count_if(infinite(q(c))).alias("inf"), F.min(x).alias("lo"), quart.alias("q")]
             aggs.append(F.struct(*parts, F.max(x).alias("hi"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).alias(f"s{i}"))
-        first = df.agg(*aggs).first().asDict(recursive=True)
-        if not approximate:
-            exact = ranks.quantiles(df, {c: finite(q(c)) for c in some}, [0.25, 0.5, 0.75])
+        if approximate:
+            first = df.agg(*aggs).first().asDict(recursive=True)
+        else:
+            exact, got = ranks.quantiles_with(df, {c: finite(q(c)) for c in some}, [0.25, 0.5, 0.75], aggs)
+            first = got.asDict(recursive=True)
             for i, c in enumerate(some):
                 first[f"s{i}"]["q"] = exact[c]
         fences = []

@@ -7,10 +7,11 @@ Running sums over ordered values go by ranges of about as many distinct values,
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,40 +25,60 @@ def _brackets(p: float) -> list[float]:
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], at: list[float]) -> dict[str, list[float | None]]:
-    """The exact quantiles (linear interpolation) of each expression, a double whose nulls don't count; three passes."""
+    """The exact quantiles (linear interpolation) of each expression, a double whose nulls don't count."""
+    return quantiles_with(df, columns, at, [])[0]
+
+
+def quantiles_with(df: DataFrame, columns: dict[str, Column], at: list[float], others: list[Column]) -> tuple[dict[str, list[float | None]], Row]:
+    """quantiles, and a row of other aggregates that are taken in the first of its passes.
+
+    The first pass sketches, the second counts values below and within each bracket, and the third, where a bracket isn't a
+    single value, orders the values within it; rows outside all brackets are dropped before anything is made of them.
+    """
     sketched = [p for q in at for p in _brackets(q)]
     names = list(columns)
     aggs = []
     for i, name in enumerate(names):
         x = columns[name]
         sketch = F.percentile_approx(x, sketched, ACCURACY)
-        aggs.append(F.struct(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), sketch.alias("p")).alias(f"c{i}"))
-    first = df.agg(*aggs).first()
+        aggs.append(F.struct(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), sketch.alias("p")).alias(f"_c{i}"))
+    first = df.agg(*aggs, *others).first()
     # (column, quantile) to its bracket
     held: dict[tuple[int, int], tuple[float, float]] = {}
     for i in range(len(names)):
-        s = first[f"c{i}"]
+        s = first[f"_c{i}"]
         for k, p in enumerate(at if s["n"] else []):
             low, high = s["p"][2 * k], s["p"][2 * k + 1]
             held[i, k] = (s["lo"] if s["n"] <= FEW or p <= _SLACK else low, s["hi"] if s["n"] <= FEW or p >= 1 - _SLACK else high)
     out: dict[str, list[float | None]] = {name: [None] * len(at) for name in names}
     if not held:
-        return out
-    below = df.agg(*[F.count_if(columns[names[i]] < F.lit(lo)).alias(f"b{i}_{k}") for (i, k), (lo, _) in held.items()]).first()
-    inside = [F.when(columns[names[i]].between(lo, hi), F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), columns[names[i]].alias("v"))) for (i, k), (lo, hi) in held.items()]
-    rows = df.select(F.explode(F.array_compact(F.array(*inside))).alias("x")).select("x.*").groupBy("i", "k", "v").agg(F.count("*").alias("n"))
+        return out, first
+    counts = [c for (i, k), (lo, hi) in held.items() for c in (F.count_if(columns[names[i]] < F.lit(lo)).alias(f"b{i}_{k}"), F.count_if(columns[names[i]].between(lo, hi)).alias(f"w{i}_{k}"))]
+    near = df.agg(*counts).first()
+    rank = {(i, k): at[k] * (first[f"_c{i}"]["n"] - 1) for i, k in held}
+    wide = {}
+    for (i, k), (lo, hi) in held.items():
+        if lo == hi and near[f"b{i}_{k}"] <= math.floor(rank[i, k]) and math.ceil(rank[i, k]) < near[f"b{i}_{k}"] + near[f"w{i}_{k}"]:
+            out[names[i]][k] = lo
+        else:
+            wide[i, k] = lo, hi
+    if not wide:
+        return out, first
+    within = {ik: columns[names[ik[0]]].between(*bracket) for ik, bracket in wide.items()}
+    cells = F.array(*[F.when(w, F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), columns[names[i]].alias("v"))) for (i, k), w in within.items()])
+    rows = df.where(functools.reduce(Column.__or__, within.values())).select(F.explode(F.array_compact(cells)).alias("x")).select("x.*").groupBy("i", "k", "v").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("i", "k").orderBy("v"))
-    wanted = [F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(below[f"b{i}_{k}"]).alias("below"), F.lit(at[k] * (first[f"c{i}"]["n"] - 1)).alias("r")) for i, k in held]
+    wanted = [F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(near[f"b{i}_{k}"]).alias("below"), F.lit(rank[i, k]).alias("r")) for i, k in wide]
     ranks = df.sparkSession.range(1).select(F.explode(F.array(*wanted)).alias("w")).select("w.*")
     placed = rows.withColumn("upto", upto).join(F.broadcast(ranks), ["i", "k"])
     placed = placed.withColumns({"first": F.col("below") + F.col("upto") - F.col("n"), "last": F.col("below") + F.col("upto") - 1})
-    near = placed.where((F.col("last") >= F.floor("r")) & (F.col("first") <= F.ceil("r")))
-    ends = near.groupBy("i", "k", "r").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min_by("last", "v").alias("last"))
+    found = placed.where((F.col("last") >= F.floor("r")) & (F.col("first") <= F.ceil("r")))
+    ends = found.groupBy("i", "k", "r").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min_by("last", "v").alias("last"))
     for x in ends.collect():  # one row for each column and quantile
         low, part = math.floor(x["r"]), x["r"] - math.floor(x["r"])
         high = x["lo"] if x["last"] >= low + (part > 0) else x["hi"]
         out[names[x["i"]]][x["k"]] = x["lo"] + (high - x["lo"]) * part
-    return out
+    return out, first
 
 
 def grouped_median(df: DataFrame, key: str, value: str, p: float = 0.5) -> DataFrame:
