@@ -1,6 +1,6 @@
 """Frequent phrases and their cohesion by Toivonen's sampling.
 
-A hash sample of whole documents is counted level by level (a phrase only if the phrases without its last and without its
+A random sample of the pieces of all documents is counted level by level (a phrase only if the phrases without its last and without its
 first word are frequent there) under a lowered threshold; what is frequent there is proposed. One full pass then counts
 exactly every phrase both of whose parts, without the last and without the first word, are proposed, and every single word:
 the proposals and their negative border. If a phrase of the border turns out frequent, it and its like join the proposals and
@@ -10,7 +10,8 @@ is then known exactly, whatever the sample held.
 Phrases are told apart by two 64-bit hashes of their words and language. The proposals reach the tasks as a bitmap of hash
 bits, SPARE for each of them but no more than 2**BITS in all, so what is broadcast stays within 32 MB whatever the corpus; a bit
 that several phrases share admits phrases to be counted that needn't be, and changes no result. Words of the frequent phrases are read from the sample again, and from the whole
-table for the few that it lacks.
+table for the few that it lacks. Pieces are sampled, not documents, so that groups of copies and lines repeated within one
+document are in the sample by their share.
 
 Defined results: null is an empty text, which has no words; a null language is `und` and is one with documents marked so; equal
 documents count each time; texts of any length count whole; words are split at the listed bytes alone, so words of other
@@ -22,10 +23,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ from .shingles import _LOWER, _OF_BYTE, _power, mix
 
 #: Words of a phrase at most, occurrences that a candidate has, phrases of a language that are returned.
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: One document of SAMPLE is sampled; phrases are proposed from half of their expected share of LEAST on.
+#: One piece of SAMPLE is sampled; phrases are proposed from half of their expected share of LEAST on.
 SAMPLE = 8
 #: Binary logarithm of the largest bitmap's bits, bits for each proposal below that.
 BITS, SPARE = 28, 64
@@ -43,6 +46,7 @@ SLICE_BYTES, BUCKETS = 4 << 20, 64
 #: The bytes that end a piece, and those that end a word only.
 _PIECE = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
 _BLANK = np.isin(np.arange(256), [0x20, 0x09])
+_CUT = re.compile("[.,;:!?\\n-\\r]+")
 _OTHER = np.random.default_rng(41).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _ODD = mix(np.arange(1, LONGEST + 1, dtype=np.uint64)) | np.uint64(1)
 #: Words longer than this get a cryptographic hash, as a polynomial modulo 2**64 is weak on long ones.
@@ -158,9 +162,23 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(phrases(k1, k2, f), words(k1, k2, f)): all phrases of docs(text, s1, s2, sampled) with f >= least, and the number of words of each language under its seeds."""
-    sample = materialise(docs.where("sampled").select("text", "s1", "s2"))
+def piece_sample(docs: DataFrame) -> DataFrame:
+    """docs with one piece of SAMPLE, drawn at random, in place of each text. No result depends on the draw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = np.random.default_rng(TaskContext.get().partitionId())
+        for batch in batches:
+            texts = []
+            for text in batch.column("text"):
+                pieces = _CUT.split(text.as_py() or "")
+                texts.append("\n".join(pieces[i] for i in np.flatnonzero(draw.random(len(pieces)) * SAMPLE < 1).tolist()))
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def frequent(docs: DataFrame, sample: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(phrases(k1, k2, f), words(k1, k2, f)): all phrases of docs(text, s1, s2) with f >= least, and the number of words of each language under its seeds."""
     lowered = max(2, least // (2 * SAMPLE))
     levels: list[DataFrame] = []
     bits = None
@@ -180,21 +198,23 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tup
         rounds.append(failed)
         bits = wider
     phrases = materialise(functools.reduce(DataFrame.unionByName, rounds))
-    release(sample, found, *levels, *rounds)
+    release(found, *levels, *rounds)
     return phrases, words
 
 
-def _spelled(docs: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
-    """k1, k2, lang, phrase of those keys' phrases that occur in docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(keys))
+def _spelled(docs: DataFrame, phrases: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
+    """k1, k2, lang, phrase of those of these keys of frequent phrases that occur in docs."""
+    # frequent phrases' parts are frequent, so the bits of all lead to each of them
+    context = docs.sparkSession.sparkContext
+    sent, asked = context.broadcast(_bitmap(phrases)), context.broadcast(_bitmap(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        bits, wanted = sent.value, asked.value
         for texts, seeds, langs in _slices(batches):
             words = Words(texts, seeds)
             out: dict[tuple[int, int], tuple[str, str]] = {}
             for n, at, key, _ in words.phrases([bits], longest):
-                keep = np.flatnonzero(_has(bits, key[0]))
+                keep = np.flatnonzero(_has(wanted, key[0]))
                 _, first = np.unique(key[0][keep], return_index=True)
                 for i in keep[first].tolist():
                     own = range(at[i], at[i] + n)
@@ -206,20 +226,21 @@ def _spelled(docs: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
     spelled = docs.select("text", "s1", "s2", "lang").mapInArrow(run, "k1 long, k2 long, lang string, phrase string").join(keys.select("k1", "k2"), ["k1", "k2"], "left_semi")
     out = materialise(spelled.groupBy("k1", "k2").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase")))
     sent.destroy()
+    asked.destroy()
     return out
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of every phrase of 1 to longest words with f >= least in its language, and (lang, n) words of each language with so many."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    sampled = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(SAMPLE)) == 0
-    rows = docs.select(F.col("text").cast("string").alias("text"), lang.alias("lang"), F.xxhash64(F.lit(1), lang).alias("s1"), F.xxhash64(F.lit(2), lang).alias("s2"), sampled.alias("sampled"))
-    phrases, words = frequent(rows, longest, least)
-    # frequent phrases' parts are frequent, so the bits of all lead to each of them
-    known = _spelled(rows.where("sampled"), phrases, longest)
+    rows = docs.select(F.col("text").cast("string").alias("text"), lang.alias("lang"), F.xxhash64(F.lit(1), lang).alias("s1"), F.xxhash64(F.lit(2), lang).alias("s2"))
+    sample = materialise(piece_sample(rows))
+    phrases, words = frequent(rows, sample, longest, least)
+    known = _spelled(sample, phrases, phrases, longest)
     rest = materialise(phrases.join(known, ["k1", "k2"], "left_anti"))
     if rest.count():
-        known = known.unionByName(_spelled(rows, phrases, longest).join(rest.select("k1", "k2"), ["k1", "k2"], "left_semi"))
+        known = known.unionByName(_spelled(rows, phrases, rest, longest))
+    release(sample)
     langs = rows.select("lang", F.col("s1").alias("k1"), F.col("s2").alias("k2")).distinct()
     return phrases.join(known, ["k1", "k2"]).select("lang", "phrase", "f"), words.join(langs, ["k1", "k2"]).select("lang", F.col("f").alias("n"))
 
