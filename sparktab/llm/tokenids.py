@@ -156,10 +156,12 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 class Table:
     """The shared frequencies as arrays: as large as the vocabulary, whatever the corpus."""
 
-    def __init__(self, freq: np.ndarray):
+    def __init__(self, freq: np.ndarray, mark: int | None = None):
+        self.mark = mark or MARK
         self.bits = np.uint64(max(int(freq.sum()), 1).bit_length() - 1)
         self.freq = freq.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
+        self.part = (1 - 2.0**-51) / np.maximum(self.freq, 1)
         self.most = self.freq << (np.uint64(63) - self.bits)
         self.crc = zlib.crc32(freq.astype("<i8").tobytes())
         self.filler = int(freq.argmax()) if len(freq) else 0
@@ -170,41 +172,50 @@ class Table:
     def encode(self, ids: np.ndarray) -> list[tuple[bytes, bytes, list[int]]]:
         """For each row of ids(blocks, steps, lanes): words, the states at its checkpoints, and the words before each."""
         n, steps, lanes = ids.shape
+        ids = np.ascontiguousarray(ids.transpose(1, 0, 2))
         state = np.full((n, lanes), _LOW, np.uint64)
-        words, sent = np.zeros((n, steps, lanes), np.uint32), np.zeros((n, steps, lanes), bool)
+        words, sent = np.zeros(ids.shape, np.uint32), np.zeros(ids.shape, bool)
         marks = []
         for at in range(steps - 1, -1, -1):
-            now = ids[:, at]
+            now = ids[at]
             freq = self.freq[now]
-            full = state >= self.most[now]
-            sent[:, at] = full
-            words[:, at] = state  # the low half
-            state = np.where(full, state >> _WORD, state)
-            above, rest = np.divmod(state, freq)
+            full = np.greater_equal(state, self.most[now], out=sent[at])
+            words[at] = state  # the low half
+            state >>= full.astype(np.uint64) << np.uint64(5)
+            # the quotient is below 2**43, so this one is exact or one too low
+            above = (state * self.part[now]).astype(np.uint64)
+            rest = state - above * freq
+            low = rest >= freq
+            above += low
+            rest -= freq * low
             state = (above << self.bits) + rest + self.start[now]
-            if at % MARK == 0:
-                marks.append(state)
+            if at % self.mark == 0:
+                marks.append(state.copy())
         marks = np.stack(marks[::-1], 1)
-        counts = sent.sum(2).cumsum(1)
-        places = np.concatenate([np.zeros((n, 1), np.int64), counts[:, MARK - 1 : steps - 1 : MARK]], 1)
-        return [(words[b][sent[b]].astype("<u4").tobytes(), marks[b].astype("<u8").tobytes(), places[b].tolist()) for b in range(n)]
+        counts = sent.sum(2).cumsum(0)
+        places = np.concatenate([np.zeros((1, n), np.int64), counts[self.mark - 1 : steps - 1 : self.mark]]).T
+        return [(words[:, b][sent[:, b]].astype("<u4").tobytes(), marks[b].astype("<u8").tobytes(), places[b].tolist()) for b in range(n)]
 
     def decode(self, slots: np.ndarray, words: np.ndarray, states: np.ndarray, places: np.ndarray, steps: int) -> np.ndarray:
         """ids(parts, steps, lanes) of parts that begin at these places of words with these states(parts, lanes)."""
-        out = np.empty((len(states), steps, states.shape[1]), np.int32)
-        state, place, mask = states.copy(), places[:, None].astype(np.int64), np.uint64((1 << int(self.bits)) - 1)
+        out = np.empty((steps, *states.shape), np.int32)
+        state, place, mask = states.copy(), places[:, None].astype(np.int64) - 1, np.uint64((1 << int(self.bits)) - 1)
         words = np.append(words, np.uint32(0)).astype(np.uint64)
+        last = len(words) - 1
         for at in range(steps):
             slot = state & mask
-            now = slots[slot]
-            out[:, at] = now
-            state = self.freq[now] * (state >> self.bits) + slot - self.start[now]
+            now = np.take(slots, slot.view(np.int64), out=out[at])
+            state >>= self.bits
+            state *= self.freq[now]
+            state += slot
+            state -= self.start[now]
             short = state < _LOW
             taken = np.cumsum(short, 1)
-            word = words[np.minimum(place + taken - 1, len(words) - 1)]
-            state = np.where(short, (state << _WORD) | word, state)
-            place = place + taken[:, -1:]
-        return out
+            taken += place
+            place = taken[:, -1:].copy()
+            held = state[short]
+            state[short] = (held << _WORD) | words[np.minimum(taken[short], last)]
+        return out.transpose(1, 0, 2)
 
 
 def crc_of_both(a: int, b: int, n: int) -> int:
@@ -265,7 +276,10 @@ def _raw_blocks(docs: DataFrame, path: str, pattern: str | None, end: int, dtype
         if sizes:
             yield row(sum(sizes), 0)
 
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // SHARD_BYTES)
+    size = input_bytes(docs)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if size < 1 << 60:  # else Spark knows no size
+        n = max(n, size // SHARD_BYTES)
     # the last key deals rows that are equal in both others
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_at"))
     order = [F.col("doc_id").asc_nulls_first(), "_h", "_at"]
@@ -375,7 +389,7 @@ def read_pieces(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
         states = np.concatenate([np.frombuffer(r["states"], "<u8").reshape(-1, LANES) for r in rows])
         places = np.concatenate([np.array(r["places"]) + b for r, b in zip(rows, begin, strict=True)])
         # parts of one block begin at its checkpoints; the last may have fewer steps, what it decodes beyond them is left out
-        ids = table.decode(slots, np.concatenate(words), states, places, min(MARK, steps)).reshape(len(rows), -1)
+        ids = table.decode(slots, np.concatenate(words), states, places, min(table.mark, steps)).reshape(len(rows), -1)
         out: dict[str, list] = {c: [] for c in ("shard", "place", "lead", "doc_id", "n_ids", "crc", "ids")}
         for r, own in zip(rows, ids, strict=True):
             data = own[: r["n_ids"]].astype("<u4").tobytes()
