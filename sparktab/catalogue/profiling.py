@@ -10,6 +10,8 @@ from ..operators import association as A
 from ..operators import distribution as D
 from ..operators import duplicates as U
 from ..operators import profile as P
+from ..operators import sketches as K
+from ..sources import order
 from .base import Registry, rounded, table
 
 R = Registry()
@@ -336,3 +338,46 @@ def numbers_in_text(spark, d):
     wide = F.concat("props", "props", "props")
     ints = F.transform(C.numbers_in(F.col("props")), lambda x: x.cast("long").cast("string"))
     return table(spark, d, "events").select("event_id", F.array_join(ints, ",").alias("numbers"), C.truncate_middle(wide, 12).alias("short"))
+
+
+@R.add("SELECT CAST(ROW_NUMBER() OVER () - 1 AS BIGINT) AS position, l_orderkey, l_partkey, l_quantity FROM (SELECT * FROM lineitem LIMIT 5000)")
+def source_head(spark, d):
+    t = order.positioned(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"))
+    return t.where("position < 5000").select("position", "l_orderkey", "l_partkey", "l_quantity")
+
+
+@R.add("""
+WITH e AS (SELECT ts, ROW_NUMBER() OVER () AS i FROM events), o AS (SELECT o_orderdate AS t, ROW_NUMBER() OVER () AS i FROM orders)
+SELECT 'events' AS name, COALESCE(bool_and(ts >= before), TRUE) AS monotonic FROM (SELECT ts, LAG(ts) OVER (ORDER BY i) AS before FROM e) WHERE before IS NOT NULL
+UNION ALL SELECT 'orders', COALESCE(bool_and(t >= before), TRUE) FROM (SELECT t, LAG(t) OVER (ORDER BY i) AS before FROM o) WHERE before IS NOT NULL
+""")
+def source_monotonic(spark, d):
+    out = None
+    for name, time in (("events", "ts"), ("orders", "o_orderdate")):
+        t = table(spark, d, name)
+        one = P.is_monotonic(t, time, *order.source_order(t)).select(F.lit(name).alias("name"), "monotonic")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_SKETCHED = ["l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+# errors of merged sketches stay within their bounds; counts are exact
+@R.add("""
+WITH r AS (SELECT l_returnflag, UNNEST(['l_partkey', 'l_suppkey', 'l_extendedprice']) AS column_name, UNNEST([l_partkey, l_suppkey, l_extendedprice]) AS v FROM lineitem)
+SELECT l_returnflag, column_name, COUNT(*) AS n, COUNT(v) AS n_values, TRUE AS distinct_holds, TRUE AS quantiles_hold FROM r GROUP BY ALL
+""")
+def sketch_store(spark, d):
+    t = table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
+    store = K.build(t, ["l_returnflag", "l_linestatus", "year"], [], _SKETCHED)
+    answers = K.answer(store, ["l_returnflag"])
+    holds = K.measured(t, answers, ["l_returnflag"], [], _SKETCHED)
+    return answers.select("l_returnflag", "column_name", "n", "n_values").join(holds, ["l_returnflag", "column_name"])
+
+
+@R.add("SELECT column_name, TRUE AS holds FROM (SELECT UNNEST(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice']) AS column_name) WHERE (SELECT COUNT(*) FROM orders) > 0")
+def approx_distinct_error(spark, d):
+    t = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    both = P.approx_distinct_counts(t).withColumnRenamed("n_distinct", "guess").join(P.distinct_counts(t), "column_name")
+    return both.select("column_name", (F.abs(F.col("guess") - F.col("n_distinct")) <= F.greatest(F.lit(1.0), 0.06 * F.col("n_distinct"))).alias("holds"))

@@ -160,13 +160,13 @@ def time_coverage(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(t).alias("first"), F.max(t).alias("last"), (F.count(q(column)) - F.count(t)).alias("invalid"), F.count_if(q(column).isNull()).alias("missing"))
 
 
-def is_monotonic(df: DataFrame, column: str, order: str) -> DataFrame:
+def is_monotonic(df: DataFrame, column: str, *order: str | Column) -> DataFrame:
     """monotonic: whether times never fall along order; a value that is no time makes it false.
 
     Rows are compared within ranges of order and the ranges' ends with one another, so no task holds all rows.
     """
     t = as_timestamp(q(column), df.schema[column].dataType)
-    dealt = df.select(q(order).alias("o"), t.alias("t")).repartitionByRange("o").sortWithinPartitions("o")
+    dealt = df.select(F.struct(*[q(o) if isinstance(o, str) else o for o in order]).alias("o"), t.alias("t")).repartitionByRange("o").sortWithinPartitions("o")
     parts = dealt.withColumn("p", F.spark_partition_id())
     inner = parts.withColumn("before", F.lag("t").over(Window.partitionBy("p").orderBy("o")))
     ends = inner.groupBy("p").agg(F.min("o").alias("o"), F.min_by("t", "o").alias("first"), F.max_by("t", "o").alias("last"), F.count_if(F.col("t").isNull()).alias("bad"), F.count_if(F.col("before") > F.col("t")).alias("falls"))
@@ -174,3 +174,4 @@ def is_monotonic(df: DataFrame, column: str, order: str) -> DataFrame:
     return seams.agg((F.coalesce(F.sum("bad"), F.lit(0)) + F.coalesce(F.sum("falls"), F.lit(0)) + F.count_if(F.col("before") > F.col("first")) == 0).alias("monotonic"))
 
 
+

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import FOLD_NAME, GROUP_NAME, NUMERIC, PREFLIGHT_ID_NAME, counts_as_number, infer_task, is_identifier, is_pipeline_metadata, leakage_signal
 from ..operators import association, duplicates, profile, splits
+from ..sources.order import source_order
 from ..sources.readers import guard
 
 BLOCKER, WARNING = "blocker", "warning"
@@ -117,8 +118,7 @@ def preflight(df: DataFrame, request: Request) -> dict:
     if r.time is not None:
         c = profile.time_coverage(df, r.time).first()
         bad = c["invalid"] + c["missing"]
-        ordered = df.withColumn("_source_order", F.monotonically_increasing_id())
-        monotonic = profile.is_monotonic(ordered, r.time, "_source_order").first()["monotonic"]
+        monotonic = profile.is_monotonic(df, r.time, *source_order(df)).first()["monotonic"]
         times = {"column": r.time, "first": c["first"], "last": c["last"], "invalid_rows": bad, "monotonic_in_source_order": bool(monotonic)}
         notes.note(bad > 0, BLOCKER, "invalid_time_values", f"{bad} rows have no valid time.", [r.time])
 

@@ -75,7 +75,9 @@ def scan(spark: SparkSession, path: str, sep: str | None = None, max_rows: int |
     else:
         df = spark.read.csv(path, header=True, sep=delimiter(path, sep, None if sep or kind == ".tsv" else _sample(spark, path)), multiLine=False)
     if max_rows is not None:
-        df = df.limit(max_rows)
+        from .order import head  # operators read sources
+
+        df = head(df, max_rows)
     return df if kind in (".parquet", ".pq") else typed(df)
 
 
