@@ -68,7 +68,7 @@ _STARTS, _STEPS = 6, 40
 
 
 def _mcd_sql() -> str:
-    """Starts, two steps of each on the trial rows, then steps of the best on all rows; once still, further steps change nothing."""
+    """Starts, a few steps of each on the trial rows, then steps of the best on all rows; once still, further steps change nothing."""
     sums = "SUM(w) AS n, SUM(w * x) / SUM(w) AS mx, SUM(w * y) / SUM(w) AS my, SUM(w * x * x) / SUM(w) AS xx, SUM(w * x * y) / SUM(w) AS xy, SUM(w * y * y) / SUM(w) AS yy"
     fit = "*, xx - mx * mx AS a, xy - mx * my AS b, yy - my * my AS c"
     dist = "(c * (x - mx) * (x - mx) - 2 * b * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * c - b * b)"
@@ -79,9 +79,9 @@ def _mcd_sql() -> str:
         f"f0 AS (SELECT {fit} FROM (SELECT s, {sums} FROM (SELECT *, 1.0 AS w FROM t QUALIFY ROW_NUMBER() OVER (PARTITION BY s ORDER BY md5('7|' || s || '|' || k), k) <= 3) GROUP BY s))",
     ]
     weigh = lambda by: f"greatest(0.0, least(1.0, (floor((COUNT(*) OVER ({by}) + 3) / 2) - (RANK() OVER ({by} ORDER BY d) - 1)) / COUNT(*) OVER (PARTITION BY {'s, ' if by else ''}d)))"
-    for i in range(2):
+    for i in range(A.TRIAL_STEPS):
         sql += [f"f{i + 1} AS (SELECT {fit} FROM (SELECT s, {sums} FROM (SELECT *, {weigh('PARTITION BY s')} AS w FROM (SELECT t.s, t.x, t.y, {dist} AS d FROM t JOIN f{i} f ON f.s = t.s WHERE a * c - b * b > 1e-12 * a * c)) GROUP BY s))"]
-    sql += ["g0 AS (SELECT * FROM f2 WHERE a * c - b * b > 1e-12 * a * c ORDER BY a * c - b * b, s LIMIT 1)"]
+    sql += [f"g0 AS (SELECT * FROM f{A.TRIAL_STEPS} WHERE a * c - b * b > 1e-12 * a * c ORDER BY a * c - b * b, s LIMIT 1)"]
     for i in range(_STEPS):
         sql += [f"g{i + 1} AS MATERIALIZED (SELECT {fit} FROM (SELECT {sums} FROM (SELECT *, {weigh('')} AS w FROM (SELECT r.x, r.y, {dist} AS d FROM r, g{i}))))"]
     return "WITH " + ",\n".join(sql) + f"\nSELECT o_orderkey, ROUND(sqrt({dist}), 5) AS robust_distance FROM r, g{_STEPS}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import models
 from ..operators import profile as P
 from ..plans import findings, preflight
+from ..streaming import labels as delayed
 from ..streaming import monitor
 from .base import Registry, rounded, table
 
@@ -133,3 +134,14 @@ def linear_baseline(spark, d):
 @R.add()
 def pca_outliers(spark, d):
     return models.pca_scores(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@R.add("""
+WITH l AS (SELECT event_id, ts + INTERVAL 1 HOUR * (event_id % 40) AS at, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y FROM events WHERE value IS NOT NULL AND event_type <> 'view')
+SELECT e.event_id, e.ts, l.at, l.y, CASE WHEN l.event_id IS NOT NULL THEN 'matured' ELSE 'lost' END AS status FROM events e LEFT JOIN l ON l.event_id = e.event_id AND l.at >= e.ts AND l.at <= e.ts + INTERVAL 24 HOUR
+""")
+def delayed_labels(spark, d):
+    e = table(spark, d, "events")
+    labels = e.where("value IS NOT NULL AND event_type <> 'view'")
+    labels = labels.select("event_id", (F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 40).cast("int"))).alias("at"), (F.col("event_type") == "error").cast("int").alias("y"))
+    return delayed.delayed_labels(e.select("event_id", "ts"), labels, "event_id", "ts", "at", "24 hours")

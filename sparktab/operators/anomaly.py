@@ -18,6 +18,8 @@ from .ranks import quantiles
 
 #: Rows that a forest's trees are drawn from, and that robust covariance tries its starts on. Documented bounds of samples.
 POOL, TRIALS = 16_384, 1_500
+#: Concentration steps of every start on the trial rows.
+TRIAL_STEPS = 5
 #: Rows that a cell of the neighbour search holds on average, and cells at most.
 CELL_ROWS, CELLS = 256, 4_096
 
@@ -194,7 +196,7 @@ class RobustCovariance:
     """Location and covariance of the half of the rows whose covariance has the smallest determinant that was found.
 
     FAST-MCD: starts of columns + 1 rows (smallest md5(seed|start|key)) are drawn from the TRIALS rows of smallest
-    md5(seed|key) and take two concentration steps there, each all starts at once; the best goes on over the whole table
+    md5(seed|key) and take TRIAL_STEPS concentration steps there, each all starts at once; the best goes on over the whole table
     until the determinant stands still. A step is one aggregate of second moments, an exact cut of the distances at rank
     h = (n + columns + 1) // 2, and again; rows tied at the cut share what is left of h evenly, so the determinant never
     rises. Starts of no volume are passed over. Sums are taken about the columns' means.
@@ -217,7 +219,7 @@ class RobustCovariance:
         per = Window.partitionBy("start")
         drawn = trial.withColumn("r", F.row_number().over(per.orderBy(digest(F.col("start").cast("string"), "k"), "k", "x"))).where(F.col("r") <= d + 1)
         fits = self._per_start(drawn.withColumn("weight", F.lit(1.0)), d)
-        for _ in range(2):
+        for _ in range(TRIAL_STEPS):
             if not fits:
                 return
             # the distance by the fit of the row's own start; at most starts literals
