@@ -27,7 +27,6 @@ FORBIDDEN_NAMES = frozenset({"README.md", "data_profile.json", "data_report.html
 CASE_KINDS = frozenset({"representative", "single_row", "empty_input", "missing_required_column"})
 THREAD_LIMITS = ("OMP_NUM_THREADS", "MKL_NUM_THREADS", "OPENBLAS_NUM_THREADS", "VECLIB_MAXIMUM_THREADS")
 SHA256 = re.compile(r"^(?:sha256:)?[0-9a-fA-F]{64}$")
-PINNED = re.compile(r"^[A-Za-z0-9][\w.-]*(\[[\w.,-]+\])?==[\w.+!-]+(\s*;.+)?$")
 TOLERANCE = 1e-12
 
 #: The tracks of a run; other names can be given to Contract.
@@ -251,9 +250,15 @@ def layout(folder: str) -> list[str]:
     return errors
 
 
+# One requirement by the grammar of Python packages' names and versions (PEP 508, PEP 440), pinned to a single version.
+_WORD = r"[A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?"
+_VERSION = r"(?:\d+!)?\d+(?:\.\d+)*(?:[-_.]?[a-z]+[-_.]?\d*)*(?:-\d+)?(?:\+[a-z0-9]+(?:[-_.][a-z0-9]+)*)?"
+PINNED = re.compile(rf"{_WORD}(?:\[{_WORD}(?:\s*,\s*{_WORD})*\])?=={_VERSION}(?:\s*;\s*\S.*)?", re.IGNORECASE)
+
+
 def requirements(text: str) -> list[str]:
     lines = [x.strip() for x in text.splitlines() if x.strip() and not x.strip().startswith("#")]
-    return ([] if lines else ["no requirements"]) + [f"not pinned: {x}" for x in lines if not PINNED.match(x)]
+    return ([] if lines else ["no requirements"]) + [f"not pinned: {x}" for x in lines if not PINNED.fullmatch(x)]
 
 
 def report_errors(html: str) -> list[str]:

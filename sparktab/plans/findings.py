@@ -36,7 +36,7 @@ def duplicate_counts(df: DataFrame, facts: list[ColumnFacts], roles: dict[str, s
 
 
 def make_findings(df: DataFrame, facts: list[ColumnFacts], target: str | None = None, time: str | None = None, group: str | None = None) -> list[Finding]:
-    """The profile's findings in their fixed order."""
+    """The profile's findings. Their titles, severities and order, which readers of a report look for."""
     roles = {f.name: role(f, target, time, group) for f in facts}
     by_name = {f.name: f for f in facts}
     rows = facts[0].rows if facts else 0
