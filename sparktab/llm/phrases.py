@@ -3,9 +3,10 @@
 A random sample of the pieces of all documents is counted level by level (a phrase only if the phrases without its last and without its
 first word are frequent there) under a lowered threshold; what is frequent there is proposed. One full pass then counts
 exactly every phrase both of whose parts, without the last and without the first word, are proposed, and every single word:
-the proposals and their negative border. If a phrase of the border turns out frequent, it and its like join the proposals and
-another full pass counts the phrases that this admits, and those alone, until a pass finds nothing frequent. What is frequent
-is then known exactly, whatever the sample held.
+the proposals and their negative border. If phrases of the border turn out frequent, they join the proposals and an expansion
+pass counts the phrases that this admits, and those alone. There a phrase that is being counted for the first time counts as
+proposed for longer ones, so all lengths close in that one pass: a frequent phrase's parts are frequent, and each is proposed,
+found before, or counted in the pass itself. What is frequent is then known exactly, whatever the sample held.
 
 Phrases are told apart by two 64-bit hashes of their words and language. The proposals reach the tasks as a bitmap of hash
 bits, SPARE for each of them but no more than 2**BITS in all, so what is broadcast stays within 32 MB whatever the corpus; a bit
@@ -76,7 +77,8 @@ class Words:
 
     def phrases(self, bits: list[np.ndarray | None], longest: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
         """For each length: where phrases begin that the last of the bitmaps admits, their keys, and whether the first of
-        two bitmaps admits them as well. Without a bitmap (None) nothing is admitted but words."""
+        two bitmaps admits them as well. Of two bitmaps, what the first doesn't admit leads on to longer phrases whether the
+        second holds it or not. Without a bitmap (None) nothing is admitted but words."""
         at = np.arange(len(self.starts))
         keys = self.hashes
         old = np.ones(len(at), bool) if len(bits) > 1 else np.zeros(len(at), bool)
@@ -85,6 +87,8 @@ class Words:
             if bits[-1] is None:
                 return
             member = _has(bits[-1], keys[0])
+            if n > 2 and len(bits) > 1:
+                member |= ~old
             before = _has(bits[0], keys[0]) & old if len(bits) > 1 else old
             # a phrase's first part starts with it, its second one word on
             pair = np.flatnonzero((at[1:] == at[:-1] + 1) & member[1:] & member[:-1])
@@ -191,12 +195,8 @@ def frequent(docs: DataFrame, sample: DataFrame, longest: int = LONGEST, least:
     words = materialise(found.where("f > 0").join(seeds, ["k1", "k2"], "left_semi"))
     rounds = [materialise(found.where("f > 0").join(seeds, ["k1", "k2"], "left_anti"))]
     failed = materialise(rounds[0].join(proposed, ["k1", "k2"], "left_anti"))
-    while failed.count():  # a length at a time at most, so no more than longest rounds
-        proposed = proposed.unionByName(failed)
-        wider = _bitmap(proposed)
-        failed = _count(docs, [bits, wider], least, (2, longest))
-        rounds.append(failed)
-        bits = wider
+    if failed.count():
+        rounds.append(_count(docs, [bits, _bitmap(proposed.unionByName(failed))], least, (2, longest)))
     phrases = materialise(functools.reduce(DataFrame.unionByName, rounds))
     release(found, *levels, *rounds)
     return phrases, words
