@@ -49,7 +49,7 @@ COUNT_BYTES = 256 << 20
 #: Characters of the longest piece whose ids are kept.
 LONG_PIECE = 64
 END_ID = 2
-_LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
+_LOW, _WORD, _HALF = np.uint64(1 << 31), np.uint64(32), np.uint64(0xFFFFFFFF)
 _BARE_SPACE = re.compile(r" (?:\s|\Z)")
 _MARKS = {".", ",", ";", ":", "!", "?"}
 _BEFORE_WORD = re.compile(r" (?=\S)")
@@ -162,7 +162,9 @@ class Table:
         self.freq = freq.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
         self.part = (1 - 2.0**-51) / np.maximum(self.freq, 1)
-        self.most = self.freq << (np.uint64(63) - self.bits)
+        self.room = np.uint64(63) - self.bits
+        # both in one number, as looking things up is what a step costs
+        self.both = self.freq << _WORD | self.start
         self.crc = zlib.crc32(freq.astype("<i8").tobytes())
         self.filler = int(freq.argmax()) if len(freq) else 0
 
@@ -178,17 +180,19 @@ class Table:
         marks = []
         for at in range(steps - 1, -1, -1):
             now = ids[at]
-            freq = self.freq[now]
-            full = np.greater_equal(state, self.most[now], out=sent[at])
+            both = np.take(self.both, now)
+            freq = both >> _WORD
+            full = np.greater_equal(state, freq << self.room, out=sent[at])
             words[at] = state  # the low half
             state >>= full.astype(np.uint64) << np.uint64(5)
             # the quotient is below 2**43, so this one is exact or one too low
-            above = (state * self.part[now]).astype(np.uint64)
+            above = (state * np.take(self.part, now)).astype(np.uint64)
             rest = state - above * freq
             low = rest >= freq
             above += low
             rest -= freq * low
-            state = (above << self.bits) + rest + self.start[now]
+            both &= _HALF
+            state = (above << self.bits) + rest + both
             if at % self.mark == 0:
                 marks.append(state.copy())
         marks = np.stack(marks[::-1], 1)
@@ -201,20 +205,20 @@ class Table:
         out = np.empty((steps, *states.shape), np.int32)
         state, place, mask = states.copy(), places[:, None].astype(np.int64) - 1, np.uint64((1 << int(self.bits)) - 1)
         words = np.append(words, np.uint32(0)).astype(np.uint64)
-        last = len(words) - 1
         for at in range(steps):
             slot = state & mask
             now = np.take(slots, slot.view(np.int64), out=out[at])
+            both = np.take(self.both, now)
             state >>= self.bits
-            state *= self.freq[now]
+            state *= both >> _WORD
             state += slot
-            state -= self.start[now]
+            state -= both & _HALF
             short = state < _LOW
             taken = np.cumsum(short, 1)
             taken += place
             place = taken[:, -1:].copy()
-            held = state[short]
-            state[short] = (held << _WORD) | words[np.minimum(taken[short], last)]
+            more = np.take(words, taken, mode="clip")
+            state = np.where(short, (state << _WORD) | more, state)
         return out.transpose(1, 0, 2)
 
 
