@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import queue as Q
 from ..operators import resample as B
+from ..operators import smoothing as H
 from ..operators import stacking as K
 from .base import Registry, rounded, table
 
@@ -336,3 +337,27 @@ def stacked_predictions(spark, d):
     linear = K.NonNegative(b, "y", ["p1", "p2"], "fold").score(b, "linear")
     both = K.RidgeLogistic(b, "y", ["p1", "p2"], "fold", 5, intercept=False).score(linear, "logistic")
     return rounded(both.select("event_id", "linear", "logistic"))
+
+
+@R.add("""
+WITH RECURSIVE r AS (SELECT user_id AS series, value AS y, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
+s AS (SELECT series, i, a AS alpha, y, CAST(NULL AS DOUBLE) AS f, CAST(y AS DOUBLE) AS level FROM r, (SELECT UNNEST([0.1, 0.3, 0.5, 0.9])::DOUBLE AS a) WHERE i = 1
+  UNION ALL SELECT r.series, r.i, s.alpha, r.y, s.level, s.alpha * r.y + (1 - s.alpha) * s.level FROM s JOIN r ON r.series = s.series AND r.i = s.i + 1),
+p AS (SELECT series, alpha, COUNT(*) AS n, AVG(pow(y - f, 2)) AS mse, arg_max(level, i) AS level FROM s GROUP BY ALL)
+SELECT series, n, alpha, ROUND(mse, 6) AS mse, ROUND(level, 6) AS level FROM p QUALIFY ROW_NUMBER() OVER (PARTITION BY series ORDER BY ROUND(mse, 9), alpha) = 1
+""")
+def exponential_smoothing(spark, d):
+    return rounded(H.best_constants(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", [0.1, 0.3, 0.5, 0.9]))
+
+
+@R.add("""
+WITH RECURSIVE r AS (SELECT user_id AS series, CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS y, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events),
+d AS (SELECT series, y, t - COALESCE(LAG(t) OVER w, 0) AS gap, ROW_NUMBER() OVER w AS i FROM r WHERE y <> 0 WINDOW w AS (PARTITION BY series ORDER BY t)),
+s AS (SELECT series, i, CAST(y AS DOUBLE) AS size, CAST(gap AS DOUBLE) AS gap FROM d WHERE i = 1
+  UNION ALL SELECT d.series, d.i, 0.2 * d.y + 0.8 * s.size, 0.2 * d.gap + 0.8 * s.gap FROM s JOIN d ON d.series = s.series AND d.i = s.i + 1),
+l AS (SELECT series, MAX(i) AS n_demands, arg_max(size, i) AS size, arg_max(gap, i) AS gap FROM s GROUP BY 1)
+SELECT n.series, n.n, COALESCE(n_demands, 0) AS n_demands, ROUND(size, 6) AS size, ROUND(gap, 6) AS gap, ROUND(COALESCE(size / gap, 0), 6) AS forecast FROM (SELECT series, COUNT(*) AS n FROM r GROUP BY 1) n LEFT JOIN l USING (series)
+""")
+def intermittent_demand(spark, d):
+    e = table(spark, d, "events").withColumn("demand", F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0))
+    return rounded(H.croston(e, "user_id", ["ts", "event_id"], "demand", 0.2))
