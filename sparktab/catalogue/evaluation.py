@@ -53,6 +53,16 @@ def pr_auc(spark, d):
     return rounded(M.average_precision(_scored(spark, d), "toxic", "score"))
 
 
+@R.add(f"""
+WITH g AS (SELECT score AS threshold, SUM(toxic) AS p, COUNT(*) AS k FROM {_SCORED} GROUP BY 1),
+c AS (SELECT threshold, SUM(k) OVER w AS n, SUM(p) OVER w AS hits FROM g WINDOW w AS (ORDER BY threshold DESC)), t AS (SELECT SUM(p) AS p, SUM(k) AS k FROM g)
+SELECT ROUND(threshold, 6) AS threshold, CAST(n AS BIGINT) AS n, CAST(hits AS BIGINT) AS hits, CAST(n - hits AS BIGINT) AS misses, ROUND(hits / t.p, 6) AS recall, ROUND((n - hits) / (t.k - t.p), 6) AS false_positive_rate,
+  ROUND(hits / n, 6) AS precision, ROUND((hits / n) / (t.p / t.k), 6) AS lift FROM c, t
+""")
+def score_curve(spark, d):
+    return rounded(M.score_curve(_scored(spark, d), "toxic", "score"))
+
+
 @R.add(f"""
 SELECT CAST(LEAST(floor(score * 10), 9) AS INTEGER) AS bin, COUNT(*) AS n, ROUND(AVG(score), 6) AS mean_score, ROUND(AVG(toxic), 6) AS observed, ROUND(abs(AVG(score) - AVG(toxic)), 6) AS gap FROM {_SCORED} GROUP BY 1
 """)

@@ -49,6 +49,23 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     return got.select("n_positive", F.try_divide("w", F.col("n_positive")).alias("average_precision"))
 
 
+def score_curve(df: DataFrame, label: str, score: str) -> DataFrame:
+    """threshold, n, hits, misses, recall, false_positive_rate, precision, lift: what lies at or above each distinct score.
+
+    The points of the ROC, precision-recall and lift curves, ties as one point; rates without a denominator are null.
+    """
+    per = running_sums(_by_score(df, label, score), "s", {"p": "above", "m": "beside"}, descending=True)
+    total = per.agg(F.sum("p").alias("_p"), F.sum("m").alias("_m"))  # one row
+    hits, misses = F.col("above") + F.col("p"), F.col("beside") + F.col("m")
+    rate = lambda a, b: F.try_divide(a.cast("double"), b)
+    out = per.crossJoin(F.broadcast(total)).select(F.col("s").alias("threshold"), (hits + misses).alias("n"), hits.alias("hits"), misses.alias("misses"), "_p", "_m")
+    precision = rate(F.col("hits"), F.col("n"))
+    return out.select(
+        "threshold", "n", "hits", "misses", rate(F.col("hits"), F.col("_p")).alias("recall"), rate(F.col("misses"), F.col("_m")).alias("false_positive_rate"), precision.alias("precision"),
+        F.try_divide(precision, rate(F.col("_p"), F.col("_p") + F.col("_m"))).alias("lift"),
+    )
+
+
 def probability_scores(df: DataFrame, label: str, score: str, edge: float = 1e-15) -> DataFrame:
     """n, log_loss, brier."""
     p = F.greatest(F.lit(edge), F.least(F.lit(1 - edge), q(score)))

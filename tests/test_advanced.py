@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparktab.functions.columns import row_digest
-from sparktab.operators import anomaly, intervals, resample, retrieval, splits, stacking
+from sparktab.operators import anomaly, intervals, resample, retrieval, sketches, smoothing, splits, stacking
 from sparktab.plans import preflight
 from sparktab.sources import order, readers
 
@@ -303,3 +303,41 @@ def test_head_follows_the_source(spark, tmp_path):
     text = spark.read.option("header", True).schema("id long").csv(str(tmp_path / "t.csv"))
     assert sorted(r["id"] for r in order.head(text, 130).collect()) == list(range(130))
     assert order.head(spark.range(10), 3).count() == 3
+
+
+# smoothing and sketches
+
+
+@pytest.mark.parametrize("piece", [3, 64])
+def test_smoothing_equals_the_recursion(spark, monkeypatch, piece):
+    monkeypatch.setattr(smoothing, "PIECE", piece)
+    rng = random.Random(11)
+    rows = [("long", t, rng.gauss(10, 3)) for t in range(500)] + [("short", 0, 4.0), ("gap", 0, 1.0), ("gap", 1, None), ("gap", 2, 3.0), (None, 0, 1.0)]
+    got = {(r["series"], r["at"], r["alpha"]): (r["forecast"], r["level"]) for r in smoothing.smoothed(frame(spark, rows, "g string, t int, y double").repartition(3), "g", ["t"], "y", [0.2, 0.95]).collect()}
+    for series in ("long", "short", "gap"):
+        for a in (0.2, 0.95):
+            level = None
+            for at, y in enumerate(y for g, _, y in rows if g == series and y is not None):
+                forecast, level = level, y if level is None else a * y + (1 - a) * level
+                assert got.pop((series, at, a)) == (forecast if forecast is None else pytest.approx(forecast), pytest.approx(level))
+    assert not got
+    with pytest.raises(ValueError):
+        smoothing.smoothed(frame(spark, rows, "g string, t int, y double"), "g", ["t"], "y", [1.0])
+
+
+def test_demand_of_a_series_without_any(spark):
+    rows = [("none", t, 0.0) for t in range(5)] + [("some", t, 6.0 if t in (2, 5) else 0.0) for t in range(8)]
+    got = {r["series"]: r for r in smoothing.croston(frame(spark, rows, "g string, t int, y double"), "g", ["t"], "y", 0.5).collect()}
+    assert (got["none"]["n_demands"], got["none"]["forecast"], got["none"]["size"]) == (0, 0.0, None)
+    assert (got["some"]["n"], got["some"]["n_demands"], got["some"]["size"], got["some"]["gap"], got["some"]["forecast"]) == (8, 2, 6.0, 3.0, 2.0)
+
+
+def test_sketches_of_parts_merge(spark):
+    df = spark.range(20_000).select((F.col("id") % 5).alias("part"), (F.col("id") % 3).alias("g"), F.when(F.col("id") % 9 > 0, (F.col("id") * 7919 % 15_013).cast("double")).alias("v"), (F.col("id") % 4).cast("string").alias("label"))
+    store = sketches.build(df, ["part", "g"], ["label"], ["v"])
+    assert store.count() == 30
+    for subset in (store, store.where("part < 2")):
+        rows = df if subset is store else df.where("part < 2")
+        answers = sketches.answer(subset)
+        assert all(r["distinct_holds"] and r["quantiles_hold"] in (True, None) for r in sketches.measured(rows, answers, [], ["label"], ["v"]).collect())
+        assert {r["column_name"]: (r["n"], r["is_approx"]) for r in answers.collect()} == {c: (rows.count(), True) for c in ("label", "v")}
