@@ -124,11 +124,16 @@ def logistic_baseline(spark, d):
     return models.predict(model, t, ["l_quantity", "l_extendedprice", "l_discount"]).select("l_orderkey", "l_linenumber", "prediction", "probability")
 
 
-@R.add()
+# least squares by the normal equations of two centred columns
+@R.add("""
+WITH m AS (SELECT AVG(l_quantity) AS mq, AVG(l_tax) AS mt, AVG(l_extendedprice) AS my, var_pop(l_quantity) AS a, covar_pop(l_quantity, l_tax) AS b, var_pop(l_tax) AS c,
+  covar_pop(l_quantity, l_extendedprice) AS u, covar_pop(l_tax, l_extendedprice) AS v FROM lineitem)
+SELECT l_orderkey, l_linenumber, ROUND(my + (c * u - b * v) / (a * c - b * b) * (l_quantity - mq) + (a * v - b * u) / (a * c - b * b) * (l_tax - mt), 3) AS prediction FROM lineitem, m
+""")
 def linear_baseline(spark, d):
     t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_extendedprice")
     model = models.fit(t, "l_extendedprice", ["l_quantity", "l_tax"], family="linear")
-    return models.predict(model, t, ["l_quantity", "l_tax"]).select("l_orderkey", "l_linenumber", "prediction")
+    return rounded(models.predict(model, t, ["l_quantity", "l_tax"]).select("l_orderkey", "l_linenumber", "prediction"), 3)
 
 
 @R.add()
