@@ -43,7 +43,7 @@ SAMPLE = 8
 #: Binary logarithm of the largest bitmap's bits, bits for each proposal below that.
 BITS, SPARE = 28, 64
 #: Bytes of text that are looked at together; buckets of the first ranking.
-SLICE_BYTES, BUCKETS = 4 << 20, 64
+SLICE_BYTES, BUCKETS = 2 << 20, 64
 #: The bytes that end a piece, and those that end a word only.
 _PIECE = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
 _BLANK = np.isin(np.arange(256), [0x20, 0x09])
@@ -141,12 +141,15 @@ def _count(docs: DataFrame, bits: list, least: int, levels: tuple[int, int] = (1
         own = [None if b is None else b.value for b in sent]
         for texts, seeds, _ in _slices(batches):
             words = Words(texts, seeds)
-            found = [_summed([k[~old] for k in keys]) for n, _, keys, old in words.phrases(own, levels[1]) if n >= levels[0]]
+            for n, _, keys, old in words.phrases(own, levels[1]):
+                if n >= levels[0]:
+                    yield sent_rows(*_summed([k[~old] for k in keys]))
             if totals:
                 kinds, which = np.unique(seeds, axis=0, return_inverse=True)
-                found.append((kinds[:, 0], kinds[:, 1], np.bincount(which.ravel()[words.text], minlength=len(kinds))))
-            columns = [np.concatenate(c).astype(np.uint64).view(np.int64) for c in zip(*found, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k1", "k2", "f"])
+                yield sent_rows(kinds[:, 0], kinds[:, 1], np.bincount(which.ravel()[words.text], minlength=len(kinds)))
+
+    def sent_rows(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64, copy=False).view(np.int64)) for c in columns], ["k1", "k2", "f"])
 
     counted = docs.select("text", "s1", "s2").mapInArrow(run, "k1 long, k2 long, f long")
     counted = counted.groupBy("k1", "k2").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
