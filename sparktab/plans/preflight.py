@@ -15,7 +15,7 @@ from ..sources.readers import guard
 BLOCKER, WARNING = "blocker", "warning"
 MISSING_HIGH, SMALL_CLASS, NEAR_PERFECT, EXAMPLES = 0.5, 10, 0.995, 5
 #: Classes, partitions, and classes that a partition lacks, that the report lists; all are counted, and findings rest on counts.
-LISTED = 1000
+LISTED = 10_000
 #: Partitions whose missing classes are named.
 LACKING = 20
 
