@@ -43,7 +43,7 @@ SAMPLE = 8
 #: Binary logarithm of the largest bitmap's bits, bits for each proposal below that.
 BITS, SPARE = 28, 64
 #: Bytes of text that are looked at together; buckets of the first ranking.
-SLICE_BYTES, BUCKETS = 2 << 20, 64
+SLICE_BYTES, BUCKETS = 1 << 20, 64
 #: The bytes that end a piece, and those that end a word only.
 _PIECE = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
 _BLANK = np.isin(np.arange(256), [0x20, 0x09])
@@ -144,6 +144,7 @@ def _count(docs: DataFrame, bits: list, least: int, levels: tuple[int, int] = (1
             for n, _, keys, old in words.phrases(own, levels[1]):
                 if n >= levels[0]:
                     yield sent_rows(*_summed([k[~old] for k in keys]))
+            pa.default_memory_pool().release_unused()
             if totals:
                 kinds, which = np.unique(seeds, axis=0, return_inverse=True)
                 yield sent_rows(kinds[:, 0], kinds[:, 1], np.bincount(which.ravel()[words.text], minlength=len(kinds)))
