@@ -103,6 +103,16 @@ def missing_classes(df: DataFrame, fold: str, target: str) -> DataFrame:
     return lacking.join(classes).join(seen, ["partition", "class"], "left_anti")
 
 
+def fold_audit_by_name(df: DataFrame, fold: str, target: str) -> DataFrame:
+    """fold_audit's columns and missing_classes: the classes that the fold lacks, sorted, as a JSON array of texts.
+
+    A row is as long as the names of what its fold lacks; missing_classes has them as rows.
+    """
+    audit = fold_audit(df, fold, target)
+    names = missing_classes(df, fold, target).groupBy("partition").agg(F.to_json(F.sort_array(F.collect_list("class"))).alias("missing_classes"))
+    return audit.join(names, "partition", "left").select(*audit.columns, F.coalesce("missing_classes", F.lit("[]")).alias("missing_classes"))
+
+
 def split_fingerprint(df: DataFrame, key: str, fold: str) -> DataFrame:
     """fold, n, fingerprint: sha256 of the fold's row count and of the sums of four 60-bit parts of its keys' sha256.
 

@@ -2,14 +2,17 @@
 
 import hashlib
 import itertools
+import json
 import math
 import random
 from statistics import NormalDist
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparktab.catalogue import modelling
 from sparktab.functions.columns import row_digest
 from sparktab.operators import anomaly, intervals, resample, retrieval, sketches, smoothing, splits, stacking
 from sparktab.plans import preflight
@@ -274,6 +277,19 @@ def test_blank_classes_and_commas_are_classes(spark):
     assert {p["value"]: p["missing_classes"] for p in report["split_context"]["folds"][0]["partitions"]} == {"a": [], "b": [""]}
 
 
+def test_fold_audit_names_the_missing_classes(spark, tmp_path):
+    rows = [("a", ""), ("a", "x"), ("b", 'q"\\'), ("b", "x"), ("c", "a,b"), ("c", "x"), (None, "x"), ("a", None)]
+    got = {r["partition"]: (r["n_missing"], r["missing_classes"]) for r in splits.fold_audit_by_name(frame(spark, rows, "fold string, y string"), "fold", "y").collect()}
+    assert {k: (n, json.loads(v)) for k, (n, v) in got.items()} == {"a": (2, ["a,b", 'q"\\']), "b": (2, ["", "a,b"]), "c": (2, ["", 'q"\\']), "(missing)": (3, ["", "a,b", 'q"\\'])}
+    events = frame(spark, [(u, kind) for u in range(12) for kind in ["view", "buy", "", "a,b"][: 1 + u % 4]], "user_id long, event_type string")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    query = modelling.QUERIES["fold_audit"](spark, str(tmp_path))
+    want = sorted(duck.sql(modelling.ORACLES["fold_audit"]).select(*query.columns).fetchall())
+    assert sorted(tuple(r) for r in query.collect()) == want and {r[-1] for r in want} - {"[]"}
+
+
 def test_many_classes_stay_out_of_the_driver(spark, monkeypatch):
     monkeypatch.setattr(preflight, "LISTED", 5)
     df = spark.range(3000).select((F.col("id") % 1500).cast("string").alias("y"), F.concat(F.lit("p"), F.col("id") % 40).alias("fold"), (F.col("id") % 7).alias("v"))
