@@ -263,6 +263,24 @@ def cluster_links(sets: DataFrame, tile_bytes: int = TILE_BYTES, anchors: int =
     return links.unionByName(_links(one.unionByName(two), kind))
 
 
+def stars(classes: DataFrame) -> DataFrame:
+    """(a, b): edges that join all of classes(s1, keys) that hang together by buckets.
+
+    A class goes to the smallest hub of its buckets, and a bucket then joins the hubs that its members went to: a group
+    whose members all meet one of them makes a row a member, not one for each of its buckets.
+    """
+    banded = classes.select("s1", F.explode("keys").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min("s1").alias("hub"), F.max("s1").alias("last")).where("hub < last").select("key", "hub")
+    shared = materialise(banded.join(hubs, "key"))
+    near = materialise(shared.groupBy("s1").agg(F.min("hub").alias("near")))
+    gone = materialise(shared.select("key", "s1").join(near, "s1").select("key", "near"))
+    firsts = gone.groupBy("key").agg(F.min("near").alias("a"), F.max("near").alias("last")).where("a < last").select("key", "a")
+    between = gone.join(firsts, "key").where("near != a").select("a", F.col("near").alias("b"))
+    out = materialise(near.where("near != s1").select(F.col("near").alias("a"), F.col("s1").alias("b")).union(between).distinct())
+    release(shared, near, gone)
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS_OP, tile_bytes: int = TILE_BYTES, anchors: int = ANCHORS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -271,14 +289,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS_OP, tile_bytes: int = TI
     by_set = ["s1", "s2", "n_shingles"]
     classes = materialise(full.groupBy(*by_set).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
     # clusters go by half of the digest: a chance meeting only puts two classes into one cluster
-    banded = classes.select("s1", F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("s1").alias("hub"), F.max("s1").alias("last")).where("hub < last").select("key", "hub")
-    stars = materialise(banded.join(hubs, "key").where("s1 != hub").select(F.col("hub").alias("a"), F.col("s1").alias("b")).distinct())
-    clusters = components(stars)
+    clusters = components(stars(classes))
     members = classes.join(clusters, classes["s1"] == clusters["id"]).select("s1", "s2", "rep", F.col("component").alias("cluster"))
     sets = materialise(whole_sets(docs, members, words).dropDuplicates(["s1", "s2"]))
     links = materialise(cluster_links(sets, tile_bytes, anchors))
-    release(stars, sets)
+    release(sets)
     # a doc_id of several texts is one document: it joins its classes
     split = full.select("doc_id", *by_set).distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = full.join(split, "doc_id", "left_semi").join(classes, by_set).where("doc_id != rep")

@@ -359,6 +359,24 @@ def test_near_duplicates(spark, docs, empty):
     assert rows_of(tiled, "doc_id", "n_shingles", "component_id", "kept") == got
 
 
+def test_a_group_makes_an_edge_a_member(spark):
+    rng = random.Random(8)
+    # near copies share most keys, two groups meet in one key, others have keys of their own
+    rows = [(rng.getrandbits(40), [f"{g}-{band}-{rng.choice([0, 0, 1, 2, i + 3])}" for band in range(42)]) for g in range(3) for i in range(60)]
+    rows = [(s1, [zlib.crc32(k.encode()) for k in keys]) for s1, keys in rows]
+    rows[0][1][0] = rows[60][1][0]
+    near = {s1: s1 for s1, _ in rows}
+    by_key = {}
+    for _ in range(6):
+        for s1, keys in rows:
+            for k in keys:
+                by_key[k] = near[s1] = min(by_key.get(k, near[s1]), near[s1])
+    edges = neardup.stars(spark.createDataFrame(rows, "s1 long, keys array<long>"))
+    assert edges.count() < 2 * len(rows)
+    got = {r["id"]: r["component"] for r in neardup.components(edges).collect()}
+    assert {s1: got.get(s1, s1) for s1 in near} == near and len(set(near.values())) == 2
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(2)
     for share in (0.7, 0.8, 0.9):
