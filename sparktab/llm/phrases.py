@@ -8,7 +8,8 @@ pass counts the phrases that this admits, and those alone. There a phrase that i
 proposed for longer ones, so all lengths close in that one pass: a frequent phrase's parts are frequent, and each is proposed,
 found before, or counted in the pass itself. What is frequent is then known exactly, whatever the sample held.
 
-Phrases are told apart by two 64-bit hashes of their words and language. The proposals reach the tasks as a bitmap of hash
+Phrases are told apart by 96 bits, one 64-bit hash of their words and language and the upper half of another (two of a
+billion phrases share them with a chance below 1e-11), as those bits are most of what is shuffled. The proposals reach the tasks as a bitmap of hash
 bits, SPARE for each of them but no more than 2**BITS in all, so what is broadcast stays within 32 MB whatever the corpus; a bit
 that several phrases share admits phrases to be counted that needn't be, and changes no result. Words of the frequent phrases are read from the sample again, and from the whole
 table for the few that it lacks. Pieces are sampled, not documents, so that groups of copies and lines repeated within one
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise, release
@@ -54,6 +55,16 @@ _ODD = mix(np.arange(1, LONGEST + 1, dtype=np.uint64)) | np.uint64(1)
 _LONG_WORD = 255
 
 
+def _half(second: np.ndarray) -> pa.Array:
+    """The upper halves of second hashes, as they are kept."""
+    return pa.array((second.astype(np.uint64, copy=False) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
+def _keys(s1: str, s2: str) -> list[Column]:
+    """k1 and k2 of a language's seeds."""
+    return [F.col(s1).alias("k1"), F.shiftright(s2, 32).cast("int").alias("k2")]
+
+
 class Words:
     """The words of some texts: where they are, the piece and the text that each lies in, their two hashes."""
 
@@ -129,13 +140,13 @@ def _summed(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _count(docs: DataFrame, bits: list, least: int, levels: tuple[int, int] = (1, LONGEST), totals: bool = False) -> DataFrame:
-    """k1, k2, f of the phrases of these lengths that the last bitmap admits and the first of two doesn't, f >= least.
+    """k1, k2 (of 32 bits), f of the phrases of these lengths that the last bitmap admits and the first of two doesn't, f >= least.
 
     With totals, (s1, s2) of each language stand with the number of its words as well, and once more with f = 0.
     """
     spark = docs.sparkSession
     sent = [None if b is None else spark.sparkContext.broadcast(b) for b in bits]
-    kinds = docs.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.lit(0).cast("long").alias("f")).distinct()
+    kinds = docs.select(*_keys("s1", "s2"), F.lit(0).cast("long").alias("f")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [None if b is None else b.value for b in sent]
@@ -149,10 +160,11 @@ def _count(docs: DataFrame, bits: list, least: int, levels: tuple[int, int] = (1
                 kinds, which = np.unique(seeds, axis=0, return_inverse=True)
                 yield sent_rows(kinds[:, 0], kinds[:, 1], np.bincount(which.ravel()[words.text], minlength=len(kinds)))
 
-    def sent_rows(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64, copy=False).view(np.int64)) for c in columns], ["k1", "k2", "f"])
+    def sent_rows(first: np.ndarray, second: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        first, f = (pa.array(c.astype(np.uint64, copy=False).view(np.int64)) for c in (first, f))
+        return pa.RecordBatch.from_arrays([first, _half(second), f], ["k1", "k2", "f"])
 
-    counted = docs.select("text", "s1", "s2").mapInArrow(run, "k1 long, k2 long, f long")
+    counted = docs.select("text", "s1", "s2").mapInArrow(run, "k1 long, k2 int, f long")
     counted = counted.groupBy("k1", "k2").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     out = materialise(counted.unionByName(kinds) if totals else counted)
     for b in filter(None, sent):
@@ -224,10 +236,10 @@ def _spelled(docs: DataFrame, phrases: DataFrame, keys: DataFrame, longest: int)
                     own = range(at[i], at[i] + n)
                     phrase = b" ".join(words.raw[words.starts[j] : words.ends[j]].tobytes() for j in own)
                     out[int(key[0][i]), int(key[1][i])] = (langs[words.text[at[i]]], phrase.decode())
-            keys = np.array(list(out), np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *[pa.array([v[j] for v in out.values()], pa.string()) for j in (0, 1)]], ["k1", "k2", "lang", "phrase"])
+            keys = np.array(list(out), np.uint64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].view(np.int64)), _half(keys[:, 1]), *[pa.array([v[j] for v in out.values()], pa.string()) for j in (0, 1)]], ["k1", "k2", "lang", "phrase"])
 
-    spelled = docs.select("text", "s1", "s2", "lang").mapInArrow(run, "k1 long, k2 long, lang string, phrase string").join(keys.select("k1", "k2"), ["k1", "k2"], "left_semi")
+    spelled = docs.select("text", "s1", "s2", "lang").mapInArrow(run, "k1 long, k2 int, lang string, phrase string").join(keys.select("k1", "k2"), ["k1", "k2"], "left_semi")
     out = materialise(spelled.groupBy("k1", "k2").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase")))
     sent.destroy()
     asked.destroy()
@@ -245,7 +257,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     if rest.count():
         known = known.unionByName(_spelled(rows, phrases, rest, longest))
     release(sample)
-    langs = rows.select("lang", F.col("s1").alias("k1"), F.col("s2").alias("k2")).distinct()
+    langs = rows.select("lang", *_keys("s1", "s2")).distinct()
     return phrases.join(known, ["k1", "k2"]).select("lang", "phrase", "f"), words.join(langs, ["k1", "k2"]).select("lang", F.col("f").alias("n"))
 
 

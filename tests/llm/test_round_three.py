@@ -248,3 +248,12 @@ def test_phrases_do_not_depend_on_the_sample(spark, monkeypatch, wrong):
 
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(spark.createDataFrame([], "text string, lang string")).count() == 0
+
+
+def test_shuffled_phrase_keys_have_96_bits(spark):
+    docs = spark.createDataFrame([("a b a b", -(2**63) + 5, -7), ("a b", 9, 2**63 - 1)], "text string, s1 long, s2 long")
+    counted = phrases._count(docs, [np.full(64, 2**64 - 1, np.uint64)], 1, totals=True)
+    assert counted.dtypes == [("k1", "bigint"), ("k2", "int"), ("f", "bigint")]
+    seeds = counted.where("f = 0").select("k1", "k2")
+    assert sorted(r["f"] for r in counted.where("f > 0").join(seeds, ["k1", "k2"]).collect()) == [2, 4]
+    assert counted.where("f > 0").agg(F.sum("f")).first()[0] == 6 + 4 + 3 + 2 + 1 + 3
