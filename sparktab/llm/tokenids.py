@@ -27,7 +27,6 @@ import json
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,15 +57,20 @@ _BEFORE_WORD = re.compile(r" (?=\S)")
 class _Words(dict):
     """Ids of pre-tokens as bytes, by the library's model."""
 
-    def __init__(self, library, code: str):
-        self.tokenize, self.code = library.model.tokenize, code
+    def __init__(self, library, dtype: str):
+        self.tokenize = library.model.tokenize
+        library.model._resize_cache(0)  # each word comes once, so its own cache would only be filled
+        width, size = np.dtype(dtype).itemsize, library.get_vocab_size() and max(library.get_vocab().values()) + 1
+        every = np.arange(size, dtype=dtype).tobytes()
+        self.each = [every[at : at + width] for at in range(0, len(every), width)]
         self.printable = {b: c for c, b in byte_symbols().items()}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE:
             self.clear()
         tokens = self.tokenize(word.encode().decode("latin-1").translate(self.printable))
-        out = self[word] = array(self.code, [t.id for t in tokens]).tobytes()
+        each = self.each
+        out = self[word] = b"".join([each[t.id] for t in tokens])
         return out
 
 
@@ -85,7 +89,8 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if piece.isalpha():
             text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.words.printable)
-            out = array(self.words.code, [t.id for t in self.words.tokenize(self.printed_lead + text)]).tobytes()
+            each = self.words.each
+            out = b"".join([each[t.id] for t in self.words.tokenize(self.printed_lead + text)])
         elif piece[-1:] in _MARKS and piece[:-1].isalpha():
             out = self[piece[:-1]] + self.words[piece[-1]]
         else:
@@ -118,7 +123,7 @@ class Ids:
         self.library.no_padding()
         self.dtype = dtype
         if self.cuts:
-            words = _Words(self.library, "H" if dtype == "<u2" else "I")
+            words = _Words(self.library, dtype)
             self.first, self.spaced = _Pieces(words, pattern, ""), _Pieces(words, pattern, " ")
             self.spaced.starts = self.first
 
