@@ -9,10 +9,10 @@ of its ids, and which documents lie in it. Readers fail on a block or table whos
 Files under the folder: `frequencies` (id, freq), `shards` (shard, first, n_ids), `blocks` in ascending order of documents.
 All are Parquet written by Spark: a lost executor's part is written again before anything is committed, and any store works.
 
-Ids come from the tokenizers library. For byte-level vocabularies without a normaliser a text is cut before each space that
-precedes a character other than white space (the vocabulary's pattern always cuts there), pieces are cut by the pattern, and
-the library's model encodes each distinct pre-token; a worker keeps the ids of pieces and pre-tokens. Texts that hold an added
-token's string, and all texts where no pattern is given or the vocabulary is of another kind, go through the library whole.
+Ids come from the tokenizers library. For byte-level vocabularies without a normaliser texts are cut, as arrays of bytes, where
+the vocabulary's pattern always cuts, the distinct pieces of a slice are cut by the pattern where they aren't one pre-token, and
+the library's model encodes distinct pre-tokens, many a call; a worker keeps the ids of pieces. Texts that hold an added token's
+string, and all texts where no pattern is given or the vocabulary is of another kind, go through the library whole.
 
 Defined results: null is an empty text and has the end id alone; special strings in a text are taken as the library takes
 them by default; rows without doc_id come first, rows that share one are ordered by a hash of their texts, and rows equal in
@@ -24,13 +24,13 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,69 +41,70 @@ from .tokens import byte_symbols
 
 #: Ids of a block, coders of a block, steps from one checkpoint to the next.
 BLOCK, LANES, MARK = 1 << 15, 32, 256
-#: Blocks coded side by side, estimated bytes of text of a shard, pieces whose ids a worker keeps.
-TOGETHER, SHARD_BYTES, CACHE = 64, 64 << 20, 900_000
-#: Estimated bytes of ids that one task counts.
+#: Blocks coded side by side, estimated bytes of text of a shard.
+TOGETHER, SHARD_BYTES = 64, 64 << 20
+#: Bytes of text that are cut at a time, pieces met lately whose ids a worker keeps (and as many met before), words of a call.
+SLICE_BYTES, CACHE, CALL = 8 << 20, 500_000, 256
+#: Estimated bytes of raw blocks whose counts one task adds up.
 COUNT_BYTES = 256 << 20
-#: Characters of the longest piece whose ids are kept.
+#: Bytes of the longest piece whose ids are kept.
 LONG_PIECE = 64
 END_ID = 2
 _LOW, _WORD, _HALF = np.uint64(1 << 31), np.uint64(32), np.uint64(0xFFFFFFFF)
-_BARE_SPACE = re.compile(r" (?:\s|\Z)")
-_MARKS = {".", ",", ";", ":", "!", "?"}
-_BEFORE_WORD = re.compile(r" (?=\S)")
-
-
-class _Words(dict):
-    """Ids of pre-tokens as bytes, by the library's model."""
-
-    def __init__(self, library, dtype: str):
-        self.tokenize = library.model.tokenize
-        library.model._resize_cache(0)  # each word comes once, so its own cache would only be filled
-        width, size = np.dtype(dtype).itemsize, library.get_vocab_size() and max(library.get_vocab().values()) + 1
-        every = np.arange(size, dtype=dtype).tobytes()
-        self.each = [every[at : at + width] for at in range(0, len(every), width)]
-        self.printable = {b: c for c, b in byte_symbols().items()}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-        tokens = self.tokenize(word.encode().decode("latin-1").translate(self.printable))
-        each = self.each
-        out = self[word] = b"".join([each[t.id] for t in tokens])
-        return out
+#: Classes of bytes: unknown, letter, digit, other sign, apostrophe, lead byte of what is no white space, space, other white space.
+_ANY, _LETTER, _DIGIT, _SIGN, _QUOTE, _BEYOND, _SPACE, _BLANK = range(8)
 
 
-class _Pieces(dict):
-    """Ids of a piece of a text that begins with lead, a space or nothing.
+def _class(byte: int) -> int:
+    if byte >= 0x80:
+        # 0xC3 to 0xC5 begin Latin letters; 0xC2 and 0xE1 to 0xE3 may begin white space
+        return _LETTER if 0xC3 <= byte <= 0xC5 else _BEYOND if byte > 0xC5 and not 0xE1 <= byte <= 0xE3 else _ANY
+    if 0x1C <= byte <= 0x1F:
+        return _ANY
+    c = chr(byte)
+    return _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _SPACE if c == " " else _BLANK if c.isspace() else _QUOTE if c == "'" else _SIGN
 
-    Letters are one pre-token with the lead, a mark after letters and a single line end between two parts are one each, as the
-    pattern has them; other pieces are cut by the pattern.
-    """
 
-    def __init__(self, words: _Words, pattern: str, lead: str):
-        self.words, self.find, self.lead = words, regex.compile(pattern).findall, lead
-        self.printed_lead = "".join(words.printable[b] for b in lead.encode())
-        self.starts = self
-
-    def __missing__(self, piece: str) -> bytes:
-        if piece.isalpha():
-            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.words.printable)
-            each = self.words.each
-            out = b"".join([each[t.id] for t in self.words.tokenize(self.printed_lead + text)])
-        elif piece[-1:] in _MARKS and piece[:-1].isalpha():
-            out = self[piece[:-1]] + self.words[piece[-1]]
-        else:
-            line, end, rest = piece.partition("\n")
-            if line and rest and not line[-1].isspace() and not rest[0].isspace():
-                out = self[line] + self.words[end] + self.starts[rest]
-            else:
-                out = b"".join(map(self.words.__getitem__, self.find(self.lead + piece)))
-        if len(piece) <= LONG_PIECE:
-            if len(self) > CACHE:
-                self.clear()
-            self[piece] = out
-        return out
+_CLASSES = bytes(map(_class, range(256)))
+#: Whether a pre-token always ends between bytes of two classes, the first one times 8.
+_ENDS = bytearray(256)
+for _a, _others in ((_LETTER, (_DIGIT, _SIGN, _QUOTE)), (_DIGIT, (_LETTER, _SIGN, _QUOTE)), (_SIGN, (_LETTER, _DIGIT)), (_QUOTE, (_DIGIT,))):
+    for _b in (*_others, _SPACE, _BLANK):
+        _ENDS[_a << 3 | _b] = 1
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The class of each byte of UTF-8; both bytes of a Latin letter count as letters."""
+    kind = np.frombuffer(bytearray(data.tobytes().translate(_CLASSES)), np.uint8)
+    lead = np.flatnonzero(data[:-1] - np.uint8(0xC3) < 3)
+    kind[lead + 1] = _LETTER
+    odd = lead[(data[lead] == 0xC3) & ((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7))]  # times and divided by
+    kind[odd] = kind[odd + 1] = _ANY
+    return kind
+
+
+def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether a piece begins at each byte of texts in UTF-8 that lie between bounds, and one more for the end.
+
+    Pieces have the same pre-tokens on their own as within their text: each cut is one that byte-level vocabularies' pattern
+    makes, and before a cut white space is at most one character, or is followed by a space and another character.
+    """
+    cut = np.zeros(len(data) + 1, bool)
+    cut[bounds] = True
+    if len(data) < 2:
+        return cut
+    kind = _kinds(data)
+    ends = np.frombuffer((kind[:-1] << 3 | kind[1:]).tobytes().translate(bytes(_ENDS)), bool)
+    shown = kind - np.uint8(1) < 5  # no white space for certain
+    clear = kind - np.uint8(1) < 4  # that, and a whole character
+    cut[1:-1] |= ends
+    cut[1:-2] |= (kind[1:-1] == _SPACE) & shown[2:]
+    cut[2:-1] |= (kind[1:-1] == _BLANK) & clear[:-2] & clear[2:]
+    # what looked beyond a text's edge is undone: a space at its end, a piece after its first character
+    begin, end = bounds[:-1][np.diff(bounds) > 1], bounds[1:][np.diff(bounds) > 1]
+    for at in (begin + 1, end - 1):
+        cut[at] = ends[at - 1]
+    return cut
 
 
 class Ids:
@@ -114,25 +115,137 @@ class Ids:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        before = spec.get("pre_tokenizer") or {}
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
         plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        self.cuts = bool(pattern) and plain and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
+        plain = plain and not spec.get("normalizer") and model["type"] == "BPE" and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        self.cuts = bool(pattern) and plain and all(c in model["vocab"] for c in byte_symbols())
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = dtype
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         if self.cuts:
-            words = _Words(self.library, dtype)
-            self.first, self.spaced = _Pieces(words, pattern, ""), _Pieces(words, pattern, " ")
-            self.spaced.starts = self.first
+            self.find = regex.compile(pattern).findall
+            # the same model, given pre-tokens by the line
+            lines = {"version": spec.get("version"), "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}, "model": model}
+            self.by_line = Tokenizer.from_str(json.dumps(lines))
+            self.by_line.model._resize_cache(0)  # each word comes once, so its own cache would only be filled
+            self.printable = np.zeros(256, "<u2")
+            for symbol, byte in byte_symbols().items():
+                self.printable[byte] = ord(symbol)
+            self.lengths = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+            for token, at in model["vocab"].items():
+                self.lengths[at] = len(token)
 
     def encode(self, text: str) -> bytes:
-        if not self.cuts or any(s in text for s in self.special):
-            ids = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            return np.array(ids, self.dtype).tobytes()
-        first, *rest = _BEFORE_WORD.split(text) if _BARE_SPACE.search(text) else text.split(" ")
-        return b"".join([self.first[first], *map(self.spaced.__getitem__, rest)])
+        return b"".join(bytes(ids) for ids, _ in self.encode_all(pa.array([text]), b""))
+
+    def encode_all(self, texts: pa.Array, ending: bytes) -> Iterator[tuple[memoryview, np.ndarray]]:
+        """Ids of slices of texts(string), ending after each text's, and how many bytes of them each text has."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        whole = np.full(len(texts), not self.cuts)
+        for s in self.special if self.cuts else ():
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        _, bounds, data = texts.buffers()
+        bounds = np.frombuffer(bounds, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, "right")) - 1)
+            yield self._slice(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], whole[at:to], ending)
+            at = to
+
+    def _slice(self, data: np.ndarray, bounds: np.ndarray, whole: np.ndarray, ending: bytes) -> tuple[memoryview, np.ndarray]:
+        """Ids of texts that lie between bounds of data, and how many bytes of them each text has."""
+        others = []
+        if whole.any():
+            spans = list(zip(bounds.tolist(), bounds[1:].tolist(), strict=False))
+            for at in np.flatnonzero(whole):
+                ids = self.library.encode_batch_fast([data[slice(*spans[at])].tobytes().decode()], add_special_tokens=False)[0].ids
+                others.append(np.array(ids, self.dtype).tobytes())
+            data = np.concatenate([np.zeros(0, np.uint8), *(data[a:b] for (a, b), w in zip(spans, whole, strict=True) if not w)])
+            bounds = np.concatenate([[0], np.cumsum(np.where(whole, 0, np.diff(bounds)))])
+        at = np.flatnonzero(cuts(data, bounds))
+        pieces = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()
+        values = self._values(*_parts(coded.dictionary))
+        # after the pieces of a text come the ids of a text that went through the library whole, and the ending
+        after = np.searchsorted(at, bounds[1:])
+        more = 1 + whole.astype(np.int64)
+        put = np.full(int(more.sum()), len(values), np.int32)
+        put[(np.cumsum(more) - 2)[whole]] = len(values) + 1 + np.arange(len(others))
+        codes = np.insert(coded.indices.to_numpy(), np.repeat(after, more), put)
+        ids = pa.array([*values, ending, *others], pa.large_binary()).take(pa.array(codes))
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[after + np.cumsum(more)]
+        return memoryview(ids.buffers()[2] or b"")[: ends[-1]], np.diff(ends, prepend=0)
+
+    def _values(self, keys: list[bytes], lettered: np.ndarray) -> list[bytes]:
+        """Ids of distinct pieces."""
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        out = list(map(known.get, keys))
+        missing = [i for i, v in enumerate(out) if v is None]
+        if older:
+            for at, ids in zip(missing, map(older.get, [keys[i] for i in missing]), strict=True):
+                if ids is not None:
+                    out[at] = known[keys[at]] = ids
+            missing = [i for i in missing if out[i] is None]
+        new = np.array(missing, np.int64)
+        words, cut = new[lettered[new]].tolist(), []
+        for at in new[~lettered[new]].tolist():
+            text = keys[at].decode()
+            if text.removeprefix(" ").isalpha():
+                words.append(at)
+            else:
+                cut.append((at, [w.encode() for w in self.find(text)]))
+        self._keep([keys[at] for at in words], out, words)
+        if cut:
+            parts = [w for w in set().union(*(p for _, p in cut)) if w not in known]
+            found: list[bytes | None] = [None] * len(parts)
+            self._keep(parts, found, range(len(parts)))
+            new = dict(zip(parts, found, strict=True))
+            for at, pre in cut:
+                out[at] = ids = b"".join([known[w] if w in known else new[w] for w in pre])
+                if len(keys[at]) <= LONG_PIECE:
+                    known[keys[at]] = ids
+        return out
+
+    def _keep(self, words: list[bytes], out: list[bytes | None], places: Sequence[int]) -> None:
+        """Encode pre-tokens by the library's model, many a call, and put their ids at places of out."""
+        known = self.known
+        for at in range(0, len(words), CALL):
+            some = words[at : at + CALL]
+            sizes = list(map(len, some))
+            lines = self.printable[np.frombuffer(b"\n".join(some), np.uint8)]
+            lines[np.cumsum(sizes[:-1], dtype=np.int64) + np.arange(len(some) - 1)] = 10  # those between words, not those within
+            ids = np.array(self.by_line.encode_batch_fast([lines.tobytes().decode("utf-16-le")], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum(sizes)
+            met = np.cumsum(self.lengths[ids])
+            to = np.searchsorted(met, ends) + 1
+            if not np.array_equal(met[to - 1], ends):
+                raise ValueError("tokens don't add up to their words")
+            data, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+            to = (to * width).tolist()
+            own = [data[a:b] for a, b in zip([0, *to], to, strict=False)]
+            for place, value in zip(places[at : at + CALL], own, strict=True):
+                out[place] = value
+            known.update(zip(some, own, strict=True) if max(sizes) <= LONG_PIECE else [(w, v) for w, v in zip(some, own, strict=True) if len(w) <= LONG_PIECE])
+
+
+def _parts(values: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """Non-empty values of an array of binary as bytes, and whether each is letters alone, but for a space before them."""
+    if not len(values):
+        return [], np.zeros(0, bool)
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int32)[values.offset : values.offset + len(values) + 1]
+    raw, data, first = np.frombuffer(data, np.uint8), data.to_pybytes(), ends[:-1]
+    letters = _kinds(raw) == _LETTER
+    letters[first[(raw[first] == 32) & (np.diff(ends) > 1)]] = True
+    ends = ends.tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], np.logical_and.reduceat(letters[: ends[-1]], first)
 
 
 @functools.lru_cache(maxsize=1)
@@ -244,75 +357,86 @@ def crc_of_both(a: int, b: int, n: int) -> int:
     return times(move, a) ^ b
 
 
-def _raw_blocks(docs: DataFrame, path: str, pattern: str | None, end: int, dtype: str) -> DataFrame:
-    """shard, block, lead, ids, doc_ids, sizes: each shard's ids in blocks.
+#: How often a shard has an id.
+_COUNT = np.dtype([("id", "<u4"), ("n", "<i8")])
+
 
-    sizes has each document's ids within the block; lead is how many ids of the first one lie in blocks before.
+def _raw_blocks(docs: DataFrame, path: str, pattern: str | None, end: int, dtype: str, size: int) -> DataFrame:
+    """shard, block, lead, ids, doc_ids, sizes, counts: each shard's ids in blocks.
+
+    sizes has each document's ids within the block; lead is how many ids of the first one lie in blocks before; counts, in the
+    last block of a shard, has how often the shard has each of size ids.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, shard = _kept(path, pattern, dtype), TaskContext.get().partitionId()
         width, ending = np.dtype(dtype).itemsize, np.array([end], dtype).tobytes()
-        held, owners, sizes, lead, block = bytearray(), [], [], 0, 0
+        held, owners, sizes, filled, lead, block = bytearray(), [], [], 0, 0, 0
+        met, waiting, doc_type = np.zeros(size, np.int64), None, None
 
-        def row(n: int, after: int) -> pa.RecordBatch:
-            nonlocal block
-            out = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (block, pa.int64()), (lead, pa.int64()), (bytes(held[: n * width]), pa.binary()), (owners, pa.list_(doc_type)), (sizes, pa.list_(pa.int32())))], names)
-            block += 1
-            del held[: n * width]
-            return out
+        def row(values: list, counts: bytes | None = None) -> pa.RecordBatch:
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(doc_type), pa.list_(pa.int32()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([*values, counts], types, strict=True)], ["shard", "block", "lead", "ids", "doc_ids", "sizes", "counts"])
 
-        names = ["shard", "block", "lead", "ids", "doc_ids", "sizes"]
-        doc_type = None
         for batch in batches:
-            doc_type = batch.schema.field("doc_id").type
-            for owner, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                own = ids.encode(text.as_py() or "")
-                left, before = len(own) // width + 1, 0
-                held += own + ending
-                while left:
-                    room = BLOCK - sum(sizes)
-                    part = min(room, left)
-                    if not sizes:
-                        lead = before
-                    owners.append(owner)
-                    sizes.append(part)
-                    left, before = left - part, before + part
-                    if part == room:
-                        yield row(BLOCK, left)
-                        owners, sizes = [], []
+            doc_type, texts, at = batch.schema.field("doc_id").type, batch.column("text"), 0
+            for data, own in ids.encode_all(texts, ending):
+                held += data
+                met += np.bincount(np.frombuffer(data, dtype), minlength=size)
+                for owner, left in zip(batch.column("doc_id").slice(at, len(own)).to_pylist(), (own // width).tolist(), strict=True):
+                    before = 0
+                    while left:
+                        part = min(BLOCK - filled, left)
+                        if not sizes:
+                            lead = before
+                        owners.append(owner)
+                        sizes.append(part)
+                        left, before, filled = left - part, before + part, filled + part
+                        if filled == BLOCK:
+                            if waiting:
+                                yield row(waiting)
+                            waiting = [shard, block, lead, bytes(held[: BLOCK * width]), owners, sizes]
+                            del held[: BLOCK * width]
+                            owners, sizes, filled, block = [], [], 0, block + 1
+                at += len(own)
         if sizes:
-            yield row(sum(sizes), 0)
-
-    size = input_bytes(docs)
+            if waiting:
+                yield row(waiting)
+            waiting = [shard, block, lead, bytes(held), owners, sizes]
+        if waiting:  # a shard's last block brings its counts
+            at = np.flatnonzero(met)
+            yield row(waiting, np.rec.fromarrays([at, met[at]], _COUNT).tobytes())
+
+    estimate = input_bytes(docs)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if size < 1 << 60:  # else Spark knows no size
-        n = max(n, size // SHARD_BYTES)
+    if estimate < 1 << 60:  # else Spark knows no size
+        n = max(n, estimate // SHARD_BYTES)
     # the last key deals rows that are equal in both others
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_at"))
     order = [F.col("doc_id").asc_nulls_first(), "_h", "_at"]
     dealt = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    return dealt.mapInArrow(run, f"shard int, block long, lead long, ids binary, doc_ids array<{kind}>, sizes array<int>")
+    return dealt.mapInArrow(run, f"shard int, block long, lead long, ids binary, doc_ids array<{kind}>, sizes array<int>, counts binary")
 
 
-def _counts(raw: DataFrame, size: int, dtype: str) -> np.ndarray:
+def _counts(raw: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs; one row per id of the vocabulary reaches the driver.
 
-    A task sends as many rows as it met ids, so tasks read COUNT_BYTES each, however small the files are.
+    A task sends as many rows as it met ids, so it adds up the shards of COUNT_BYTES of blocks, however small the files are.
     """
     tasks = max(raw.sparkSession.sparkContext.defaultParallelism, input_bytes(raw) // COUNT_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=size)
+            for counts in batch.column("counts"):
+                own = np.frombuffer(counts.as_buffer(), _COUNT)
+                total[own["id"]] += own["n"]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in raw.select("ids").coalesce(tasks).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in raw.where("counts is not null").select("counts").coalesce(tasks).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -327,8 +451,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, pattern: str | None
         spec = json.load(f)
     size = max([end, *spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens") or [])]) + 1
     dtype = "<u2" if size <= 1 << 16 else "<u4"
-    raw = materialise(_raw_blocks(docs, tokenizer, pattern, end, dtype))
-    freq = scaled(_counts(raw, size, dtype))
+    raw = materialise(_raw_blocks(docs, tokenizer, pattern, end, dtype, size))
+    freq = scaled(_counts(raw, size))
     table = Table(freq)
     kind = raw.schema["doc_ids"].dataType.simpleString()
 
@@ -365,7 +489,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, pattern: str | None
             yield coded(full, schema)
 
     form = f"shard int, block long, lead long, doc_ids {kind}, sizes array<int>, n_ids int, crc long, table_crc long, states binary, places array<int>, words binary"
-    blocks = materialise(raw.mapInArrow(run, form))
+    blocks = materialise(raw.drop("counts").mapInArrow(run, form))
     release(raw)
     blocks.repartitionByRange("shard", "block").sortWithinPartitions("shard", "block").write.option("compression", "none").parquet(f"{folder}/blocks")
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))  # one row a shard

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,51 @@ def test_ids_of_texts_equal_the_library(vocabulary):
         assert np.frombuffer(ids.encode(t or ""), "<u2").tolist() == lib.encode(t or "", add_special_tokens=False).ids, repr(t)[:80]
 
 
+def ids_of_all(ids, texts):
+    out = []
+    for data, sizes in ids.encode_all(pa.array(texts, pa.string()), b"\x02\x00"):
+        ends = np.cumsum(sizes // 2).tolist()
+        out += [np.frombuffer(data, "<u2")[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)]
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_ids_of_texts_side_by_side_equal_the_library(vocabulary, monkeypatch, small):
+    if small:  # slices of a few texts, calls of a few words, caches that are left behind
+        for name, value in (("SLICE_BYTES", 60), ("CALL", 3), ("CACHE", 20), ("LONG_PIECE", 4)):
+            monkeypatch.setattr(tokenids, name, value)
+    rng = random.Random(7)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "a", "Bc", "é", "ÿ", "×", "÷", "ł", "07", "²", "'", "'s", "'re", "’"]
+    parts += [".", ",", "#", "\0", "\x7f", "日", "я", "한", "😀", "e\u0301", "\u200d", "٣", "<|endoftext|>", "<|endof", "the", "word" * 20]
+    some = ["", None, "", " ", "a  ", "b", "\n", "c\n", "d", *("".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(1500))]
+    lib = library(vocabulary[0])
+    want = [lib.encode(t or "", add_special_tokens=False).ids + [2] for t in some]
+    array = pa.array(["x", *some], pa.string()).slice(1)
+    assert ids_of_all(tokenids.Ids(*vocabulary, "<u2"), some) == want
+    assert ids_of_all(tokenids.Ids(*vocabulary, "<u2"), array) == want
+    assert ids_of_all(tokenids.Ids(vocabulary[0], None, "<u2"), some) == want
+
+
+def test_new_words_share_calls_and_known_ones_make_none(vocabulary):
+    ids, calls = tokenids.Ids(*vocabulary, "<u2"), []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, *args, **options):
+            calls.append(1)
+            return self.library.encode_batch_fast(*args, **options)
+
+    ids.by_line = Counted(ids.by_line)
+    words = [f"{a}{b}{c}" for a in ("ere", "ion", "über") for b in ("tha", "qué", "zu") for c in "abcdefghijklmnopqrstuvwxyz"]
+    first = ids_of_all(ids, [" ".join(words) + ".", ", ".join(words)])
+    made = len(calls)
+    assert made <= 2 + 2 * len(words) // tokenids.CALL  # the words, and the marks
+    assert ids_of_all(ids, [" ".join(words) + ".", ", ".join(words)]) == first
+    assert len(calls) == made
+
+
 def expected(rows, lib):
     out, start = [], 0
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
