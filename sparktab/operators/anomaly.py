@@ -153,12 +153,12 @@ def neighbours(points: DataFrame, k: int, seed: int = 7) -> DataFrame:
     return upto.withColumn("kth", kth).where(F.col("kth").isNull() | (F.col("d") <= F.col("kth"))).select("p", "o", "d", "m", F.coalesce("kth", F.max("d").over(Window.partitionBy("p"))).alias("kth"))
 
 
-def local_outlier_factors(df: DataFrame, columns: list[str], k: int = 20, out: str = "lof", seed: int = 7) -> DataFrame:
+def local_outlier_factors(df: DataFrame, columns: list[str], k: int = 20, out: str = "lof", seed: int = 7, dense: float = 1.0) -> DataFrame:
     """df with the local outlier factor of each row among its k nearest others (all at the k-th distance count).
 
     Rows equal in all columns are one point with a weight, so copies make no pairs. A density is infinite where k copies
-    lie at one point: such rows have factor 1, and rows whose neighbours alone are such have an infinite one. Fewer than
-    k other rows are all neighbours; a single row has none and null.
+    lie at one point: such rows have the factor dense (NaN is what dividing their densities gives), and rows with such a
+    neighbour have an infinite one. Fewer than k other rows are all neighbours; a single row has none and null.
     """
     points = staged(df.select(_points(columns).alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("m")))
     near = staged(neighbours(points, k, seed))
@@ -166,7 +166,7 @@ def local_outlier_factors(df: DataFrame, columns: list[str], k: int = 20, out: s
     density = near.join(kth, "o").groupBy("p").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.greatest("ko", "d")).alias("reach"))
     density = density.select("p", "n", F.when(F.col("reach") > 0, F.col("n") / F.col("reach")).otherwise(F.lit(float("inf"))).alias("lrd"))
     mean = near.join(density.select(F.col("p").alias("o"), F.col("lrd").alias("lo")), "o").groupBy("p").agg((F.sum(F.col("m") * F.col("lo")) / F.sum("m")).alias("mean"))
-    factor = F.when(F.col("lrd") == float("inf"), F.lit(1.0)).otherwise(F.col("mean") / F.col("lrd"))
+    factor = F.when(F.col("lrd") == float("inf"), F.lit(dense)).otherwise(F.col("mean") / F.col("lrd"))
     scored = density.join(mean, "p").select(F.col("p").alias("_p"), factor.alias(out))
     return df.withColumn("_x", _points(columns)).join(scored, F.col("_x") == F.col("_p"), "left").select(*map(q, df.columns), out)
 
