@@ -8,18 +8,21 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 from ..sources.staging import staged
 from .profile import q
-from .ranks import quantiles
+from .ranks import ACCURACY, FEW, brackets
 
 #: Rows that a forest's trees are drawn from, and that robust covariance tries its starts on. Documented bounds of samples.
 POOL, TRIALS = 16_384, 1_500
 #: Concentration steps of every start on the trial rows.
 TRIAL_STEPS = 5
+#: Robust covariance stops when no moment moves by more than this share of its scale, and takes cuts that moved by at most
+#: half of NEAR_CUT as brackets of the next.
+STILL, NEAR_CUT = 1e-12, 1e-3
 #: Rows that a cell of the neighbour search holds on average, and cells at most.
 CELL_ROWS, CELLS = 256, 4_096
 
@@ -174,8 +177,10 @@ def local_outlier_factors(df: DataFrame, columns: list[str], k: int = 20, out: s
 # robust covariance
 
 
-def _sums(x: Column, d: int, w: Column) -> list[Column]:
-    return [F.sum(w).alias("w"), *[F.sum(w * x[i]).alias(f"s{i}") for i in range(d)], *[F.sum(w * x[i] * x[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)]]
+def _sums(x: list[Column], w: Column) -> dict[str, Column]:
+    d = len(x)
+    sums = {"w": w} | {f"s{i}": w * x[i] for i in range(d)} | {f"s{i}_{j}": w * x[i] * x[j] for i in range(d) for j in range(i, d)}
+    return {name: F.sum(c).alias(name) for name, c in sums.items()}
 
 
 def _moments(r, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +190,7 @@ def _moments(r, d: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, second - np.outer(mean, mean)
 
 
-def _mahalanobis(x: Column, mean: np.ndarray, covariance: np.ndarray) -> Column:
+def _mahalanobis(x: list[Column], mean: np.ndarray, covariance: np.ndarray) -> Column:
     inverse = np.linalg.inv(covariance)
     d = len(mean)
     diff = [x[i] - F.lit(float(mean[i])) for i in range(d)]
@@ -197,67 +202,99 @@ class RobustCovariance:
 
     FAST-MCD: starts of columns + 1 rows (smallest md5(seed|start|key)) are drawn from the TRIALS rows of smallest
     md5(seed|key) and take TRIAL_STEPS concentration steps there, each all starts at once; the best goes on over the whole table
-    until the determinant stands still. A step is one aggregate of second moments, an exact cut of the distances at rank
-    h = (n + columns + 1) // 2, and again; rows tied at the cut share what is left of h evenly, so the determinant never
-    rises. Starts of no volume are passed over. Sums are taken about the columns' means.
+    until its moments stand still. A step brackets the distance of rank h = (n + columns + 1) // 2, by the cut of the step before
+    once cuts move little and by a sketch until then, and takes the moments of all rows below the bracket and of each distance
+    in it in one aggregate. Rows tied at the cut share what is left of h evenly, so the determinant never rises. Starts of no
+    volume are passed over. Sums are taken about the columns' means.
     """
 
     def __init__(self, df: DataFrame, key: str, columns: list[str], starts: int = 20, steps: int = 50, seed: int = 7):
         self.columns = columns
         d = len(columns)
-        rows = df.select(q(key).cast("string").alias("k"), _points(columns).alias("x")).where("x IS NOT NULL")
-        centre = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)]).first()
+        xs = [f"x{i}" for i in range(d)]
+        rows = df.select(q(key).cast("string").alias("k"), *[finite(q(c)).alias(x) for c, x in zip(columns, xs, strict=True)]).na.drop(subset=xs)
+        centre = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(x) for x in xs]).first()
         self.n, self.h = centre["n"], (centre["n"] + d + 1) // 2
         self.determinants: list[float] = []
         self.location, self.covariance = np.full(d, np.nan), np.full((d, d), np.nan)
         if self.n <= d:
             return
-        shift = np.array([centre[f"m{i}"] for i in range(d)])
-        rows = rows.select("k", F.array(*[F.col("x")[i] - F.lit(float(shift[i])) for i in range(d)]).alias("x"))
+        shift = np.array([centre[x] for x in xs])
+        rows = rows.select("k", *[(F.col(x) - F.lit(float(m))).alias(x) for x, m in zip(xs, shift, strict=True)])
+        points = [F.col(x) for x in xs]
         digest = lambda *p: F.md5(F.concat_ws("|", F.lit(str(seed)), *p).cast("binary"))
-        trial = rows.orderBy(digest("k"), "k", "x").limit(TRIALS).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+        trial = staged(rows.orderBy(digest("k"), "k", *xs).limit(TRIALS)).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
         per = Window.partitionBy("start")
-        drawn = trial.withColumn("r", F.row_number().over(per.orderBy(digest(F.col("start").cast("string"), "k"), "k", "x"))).where(F.col("r") <= d + 1)
-        fits = self._per_start(drawn.withColumn("weight", F.lit(1.0)), d)
+        drawn = trial.withColumn("r", F.row_number().over(per.orderBy(digest(F.col("start").cast("string"), "k"), "k", *xs))).where(F.col("r") <= d + 1)
+        fits = self._per_start(drawn.withColumn("weight", F.lit(1.0)), points)
         for _ in range(TRIAL_STEPS):
             if not fits:
                 return
             # the distance by the fit of the row's own start; at most starts literals
             distance = F.lit(None).cast("double")
             for s, (mean, covariance) in fits.items():
-                distance = F.when(F.col("start") == s, _mahalanobis(F.col("x"), mean, covariance)).otherwise(distance)
+                distance = F.when(F.col("start") == s, _mahalanobis(points, mean, covariance)).otherwise(distance)
             ranked = trial.withColumn("dist", distance).where("dist IS NOT NULL")
             below = F.rank().over(per.orderBy("dist")) - 1
             ties = F.count(F.lit(1)).over(Window.partitionBy("start", "dist"))
             h = F.floor((F.count(F.lit(1)).over(per) + d + 1) / 2)
             weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (h - below) / ties))
-            fits = self._per_start(ranked.withColumn("weight", weight), d)
+            fits = self._per_start(ranked.withColumn("weight", weight), points)
         if not fits:
             return
         best = min(fits, key=lambda s: (np.linalg.det(fits[s][1]), s))
         mean, covariance = fits[best]
+        cuts: list[float] = []
         for _ in range(steps):
-            distance = _mahalanobis(F.col("x"), mean, covariance)
-            # the h-th smallest is a quantile without interpolation
-            cut = quantiles(rows, {"x": distance}, [(self.h - 1) / (self.n - 1)])["x"][0]
-            # rows below the cut and rows at it in one pass; a relative 1e-12 is what the sums' rounding leaves
-            tied = F.abs(F.col("dist") - F.lit(cut)) <= F.lit(1e-12 * cut)
-            near = rows.select("x", distance.alias("dist")).where(tied | (F.col("dist") < F.lit(cut))).groupBy(tied.alias("tied")).agg(*_sums(F.col("x"), d, F.lit(1.0)))
-            parts = {r["tied"]: r.asDict() for r in near.collect()}  # two rows
-            below, ties = parts.get(False, {}), parts[True]
-            share = max(0.0, min(1.0, (self.h - below.get("w", 0.0)) / ties["w"]))
-            mean, covariance = _moments({c: below.get(c, 0.0) + share * v for c, v in ties.items() if c != "tied"}, d)
+            near = self._nearest(rows.select(*xs, _mahalanobis(points, mean, covariance).alias("dist")), points, cuts)
+            cuts.append(near["cut"])
+            before = mean, covariance
+            mean, covariance = _moments(near, d)
             determinant = float(np.linalg.det(covariance))
             self.determinants.append(determinant)
-            if not determinant > 0 or (len(self.determinants) > 1 and determinant >= self.determinants[-2] * (1 - 1e-12)):
+            # the determinant stands still before the rows do: those swapped at the cut are about equally far
+            if not determinant > 0:
+                break
+            scale = np.sqrt(np.diag(covariance))
+            if max((np.abs(mean - before[0]) / scale).max(), (np.abs(covariance - before[1]) / np.outer(scale, scale)).max()) <= STILL:
                 break
         self.location, self.covariance = mean + shift, covariance
 
+    def _nearest(self, rows: DataFrame, points: list[Column], cuts: list[float]) -> Row:
+        """Sums over the h rows of smallest dist, and the largest of those as cut; cuts are those of the steps before."""
+        moved = 2 * abs(cuts[-1] / cuts[-2] - 1) if len(cuts) > 1 and cuts[-2] > 0 else math.inf
+        if moved <= NEAR_CUT:
+            width = max(moved, NEAR_CUT / 100)
+            near = self._within(rows, points, cuts[-1] * (1 - width), cuts[-1] * (1 + width))
+            if near is not None:
+                return near
+        if self.n > FEW:
+            p = (self.h - 1) / (self.n - 1)
+            low, high = rows.agg(F.percentile_approx("dist", brackets(p), ACCURACY)).first()[0]
+            near = self._within(rows, points, low, high)
+            if near is not None:
+                return near
+        return self._within(rows, points, -math.inf, math.inf)
+
+    def _within(self, rows: DataFrame, points: list[Column], low: float, high: float) -> Row | None:
+        """_nearest by a bracket of the cut, or None if that lies elsewhere. Only the bracket's distances are ordered."""
+        cell = F.when(F.col("dist") >= F.lit(low), F.col("dist")).alias("cell")
+        sums = _sums(points, F.lit(1.0))
+        cells = rows.where(F.col("dist") <= F.lit(high)).groupBy(cell).agg(*sums.values())
+        upto = F.sum("w").over(Window.orderBy(F.col("cell").asc_nulls_first()))
+        # all of a cell, what the cut leaves of it, or none
+        cells = cells.withColumn("share", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(float(self.h)) - upto + F.col("w")) / F.col("w"))))
+        found = cells.agg(
+            F.sum("w").alias("upto"), F.sum(F.when(F.col("cell").isNull(), F.col("w")).otherwise(0.0)).alias("below"), F.max(F.when(F.col("share") > 0, F.col("cell"))).alias("cut"),
+            *[F.sum(F.col("share") * F.col(c)).alias(c) for c in sums],
+        ).first()
+        return found if found["upto"] is not None and found["below"] < self.h <= found["upto"] else None
+
     @staticmethod
-    def _per_start(weighted: DataFrame, d: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    def _per_start(weighted: DataFrame, points: list[Column]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         out = {}
-        for r in weighted.groupBy("start").agg(*_sums(F.col("x"), d, F.col("weight"))).collect():  # one row a start
-            mean, covariance = _moments(r, d)
+        for r in weighted.groupBy("start").agg(*_sums(points, F.col("weight")).values()).collect():  # one row a start
+            mean, covariance = _moments(r, len(points))
             if np.linalg.det(covariance) > 1e-12 * max(1e-300, float(np.prod(np.diag(covariance)))):
                 out[r["start"]] = mean, covariance
         return out
@@ -266,5 +303,6 @@ class RobustCovariance:
         """df with each row's Mahalanobis distance; null for all rows where no subset has a volume."""
         if not np.isfinite(self.covariance).all() or not np.linalg.det(self.covariance) > 0:
             return df.withColumn(out, F.lit(None).cast("double"))
-        x = _points(self.columns)
-        return df.withColumn(out, F.when(x.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), _mahalanobis(x, self.location, self.covariance)))))
+        # a null in any column makes the sum null, and greatest would pass over it
+        squared = _mahalanobis([finite(q(c)) for c in self.columns], self.location, self.covariance)
+        return df.withColumn(out, F.sqrt(F.when(squared < 0, 0.0).otherwise(squared)))

@@ -20,7 +20,8 @@ ACCURACY, FEW = 10_000, 10_000
 _SLACK = 2 / ACCURACY
 
 
-def _brackets(p: float) -> list[float]:
+def brackets(p: float) -> list[float]:
+    """Approximate quantiles between which the exact one lies."""
     return [max(0.0, p - _SLACK), min(1.0, p + _SLACK)]
 
 
@@ -35,7 +36,7 @@ def quantiles_with(df: DataFrame, columns: dict[str, Column], at: list[float], o
     The first pass sketches, the second counts values below and within each bracket, and the third, where a bracket isn't a
     single value, orders the values within it; rows outside all brackets are dropped before anything is made of them.
     """
-    sketched = [p for q in at for p in _brackets(q)]
+    sketched = [p for q in at for p in brackets(q)]
     names = list(columns)
     aggs = []
     for i, name in enumerate(names):
@@ -87,7 +88,7 @@ def grouped_median(df: DataFrame, key: str, value: str, p: float = 0.5) -> DataF
     A group's values are sketched map-side; of a large group only the bracket's values are ordered in one task.
     """
     df = df.select(F.col(key).alias("g"), F.col(value).alias("v")).where("g IS NOT NULL AND v IS NOT NULL")
-    sketch = F.percentile_approx("v", _brackets(p), ACCURACY)
+    sketch = F.percentile_approx("v", brackets(p), ACCURACY)
     per = df.groupBy("g").agg(F.count("*").alias("all"), F.min("v").alias("lo"), F.max("v").alias("hi"), sketch.alias("s"))
     few = F.col("all") <= FEW
     per = per.select("g", "all", F.when(few, F.col("lo")).otherwise(F.col("s")[0]).alias("lo"), F.when(few, F.col("hi")).otherwise(F.col("s")[1]).alias("hi"))

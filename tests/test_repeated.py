@@ -1,9 +1,11 @@
 """Catalogue queries against their SQL on tables that are repeated with shifted keys."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from sparktab import catalogue
+from sparktab.operators import anomaly
 from test_catalogue import DATA, plain
 
 KEYS = {
@@ -26,3 +28,23 @@ def equal(spark, path, name, table_copies, rows=None):
 def test_outlier_factors_of_copies(spark, tmp_path, copies):
     # with 12 copies every row has k equal ones, and a density without bound
     equal(spark, tmp_path, "local_outlier_factor", {"part": copies})
+
+
+def test_robust_covariance_of_copies(spark, tmp_path):
+    equal(spark, tmp_path, "robust_covariance", {"orders": 8})  # beyond FEW rows
+
+
+def test_a_concentration_step_is_an_aggregate_and_at_most_a_sketch(spark):
+    rng = np.random.default_rng(5)
+    rows = np.vstack([rng.multivariate_normal([0, 0], [[1, 0.8], [0.8, 1]], 9000), rng.normal(6, 0.5, (3000, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rows)], "k long, x double, y double")
+    context = spark.sparkContext
+    context.setJobGroup("mcd", "robust covariance")
+    fitted = anomaly.RobustCovariance(df, "k", ["x", "y"], 6)
+    jobs = len(context.statusTracker().getJobIdsForGroup("mcd"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    # still: one more step by brute force changes nothing
+    diff = rows - fitted.location
+    nearest = np.argsort((diff @ np.linalg.inv(fitted.covariance) * diff).sum(1), kind="stable")[: fitted.h]
+    assert np.allclose(rows[nearest].mean(0), fitted.location, atol=1e-10) and np.allclose(np.cov(rows[nearest].T, bias=True), fitted.covariance, atol=1e-10)
+    assert len(fitted.determinants) > 5 and jobs <= 6 * len(fitted.determinants) + 30, (jobs, len(fitted.determinants))
