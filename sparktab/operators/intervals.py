@@ -9,9 +9,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.staging import staged
 from .profile import q
-from .ranks import as_double, ranged
+from .ranks import as_double, ranged, running_sums
 
 #: A level's cells are this many times as wide as those of the level below.
 BASE = 4
@@ -63,6 +65,30 @@ def overlap_join(left: DataFrame, right: DataFrame, left_start: str, left_end: s
     return met
 
 
+def overlap_totals(left: DataFrame, right: DataFrame, left_start: str, left_end: str, right_start: str, right_end: str, n: str = "n", total: str = "total") -> DataFrame:
+    """The rows of left that overlap rows of right, with how many those are and how long they overlap it in all.
+
+    No pair is made. Of the rows of right, as many overlap [s, e) as start before e, less those that end by s; the time that
+    they cover before t is t times those open at t, less the sum of the starts before t, plus that of the ends. Counts and
+    sums come from one running sum over the distinct bounds of both sides, within ranges. Totals of times are whole
+    microseconds (decimals, exact), totals of numbers doubles.
+    """
+    times = all(isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) for df, c in ((left, left_start), (left, left_end), (right, right_start), (right, right_end)))
+    exact = (lambda c: c.cast("decimal(38,0)")) if times else (lambda c: c)
+    a, b = _bounds(left, left_start, left_end), _bounds(right, right_start, right_end)
+    bound = lambda df, c, starts, ends: df.select(F.col(c).alias("t"), F.lit(starts).cast("long").alias("starts"), F.lit(ends).cast("long").alias("ends"))
+    events = bound(b, "_s", 1, 0).unionByName(bound(b, "_e", 0, 1)).unionByName(bound(a, "_s", 0, 0)).unionByName(bound(a, "_e", 0, 0))
+    per = staged(events.groupBy("t").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends")))
+    per = per.withColumn("moment", exact(F.col("t")) * (F.col("starts") - F.col("ends")))
+    summed = running_sums(per, "t", {"starts": "begun", "ends": "ended", "moment": "moments"})
+    covered = exact(F.col("t")) * (F.col("begun") - F.col("ended")) - F.col("moments")
+    at = staged(summed.select("t", "begun", (F.col("ended") + F.col("ends")).alias("over"), covered.alias("covered")))
+    first = at.select(F.col("t").alias("_s"), F.col("over").alias("_o"), F.col("covered").alias("_c1"))
+    last = at.select(F.col("t").alias("_e"), F.col("begun").alias("_b"), F.col("covered").alias("_c2"))
+    met = a.join(first, "_s").join(last, "_e").where(F.col("_b") > F.col("_o"))
+    return met.select(*map(q, left.columns), (F.col("_b") - F.col("_o")).alias(n), (F.col("_c2") - F.col("_c1")).alias(total))
+
+
 def latest_end_before(points: DataFrame, spans: DataFrame, by: str, at: str, start: str, end: str, out: str) -> DataFrame:
     """points with the largest end of all spans of the same `by` that start before at; at, start and end are doubles.
 

@@ -1,11 +1,14 @@
 """Catalogue queries against their SQL on tables that are repeated with shifted keys."""
 
+import random
+
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparktab import catalogue
-from sparktab.operators import anomaly
+from sparktab.operators import anomaly, intervals
 from test_catalogue import DATA, plain
 
 KEYS = {
@@ -48,3 +51,31 @@ def test_a_concentration_step_is_an_aggregate_and_at_most_a_sketch(spark):
     nearest = np.argsort((diff @ np.linalg.inv(fitted.covariance) * diff).sum(1), kind="stable")[: fitted.h]
     assert np.allclose(rows[nearest].mean(0), fitted.location, atol=1e-10) and np.allclose(np.cov(rows[nearest].T, bias=True), fitted.covariance, atol=1e-10)
     assert len(fitted.determinants) > 5 and jobs <= 6 * len(fitted.determinants) + 30, (jobs, len(fitted.determinants))
+
+
+def test_overlaps_of_copies(spark, tmp_path):
+    equal(spark, tmp_path, "interval_overlap", {"orders": 3, "lineitem": 3})
+
+
+@pytest.mark.parametrize("kind", ["double", "timestamp"])
+def test_overlap_totals_equal_brute_force(spark, kind):
+    rng = random.Random(11)
+    odd = [(900, None, 3.0), (901, 5.0, None), (902, 7.0, 7.0), (903, 9.0, 2.0), (904, 0.0, 1e6)]
+    side = lambda n: [(i, s := float(rng.randint(0, 1000)), s + rng.choice([1.0, 5.0, 60.0, 4000.0])) for i in range(n)] + odd
+    a, b = side(80), side(60)
+    frame = lambda rows: spark.createDataFrame(rows, "k long, s double, e double").withColumns({c: F.col(c).cast(kind) for c in "se"})
+    got = {r["k"]: (r["n"], float(r["total"]) / (1e6 if kind == "timestamp" else 1)) for r in intervals.overlap_totals(frame(a), frame(b), "s", "e", "s", "e").collect()}
+    real = lambda r: r[1] is not None and r[2] is not None and r[1] < r[2]
+    want = {}
+    for x in filter(real, a):
+        met = [min(x[2], y[2]) - max(x[1], y[1]) for y in filter(real, b) if x[1] < y[2] and y[1] < x[2]]
+        if met:
+            want[x[0]] = len(met), sum(met)
+    assert got == want and len(want) > 60
+
+
+def test_overlap_totals_make_no_pairs(spark):
+    spans = spark.range(20_000).select("id", (F.col("id") % 10).cast("double").alias("s"), F.lit(1e6).alias("e"))
+    met = intervals.overlap_totals(spans, spans, "s", "e", "s", "e")  # 400 million pairs
+    r = met.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    assert (r["rows"], r["n"]) == (20_000, 400_000_000)
