@@ -1,6 +1,8 @@
 """Catalogue queries against their SQL on tables that are repeated with shifted keys."""
 
+import math
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparktab import catalogue
-from sparktab.operators import anomaly, intervals
+from sparktab.operators import anomaly, intervals, retrieval
 from test_catalogue import DATA, plain
 
 KEYS = {
@@ -79,3 +81,44 @@ def test_overlap_totals_make_no_pairs(spark):
     met = intervals.overlap_totals(spans, spans, "s", "e", "s", "e")  # 400 million pairs
     r = met.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     assert (r["rows"], r["n"]) == (20_000, 400_000_000)
+
+
+def test_vector_context_of_copies(spark, tmp_path):
+    equal(spark, tmp_path, "context_vectorsearch", {"supplier": 2, "customer": 7})
+
+
+@pytest.mark.parametrize(("dense", "measure"), [(0, "cosine"), (10**9, "cosine"), (0, "jaccard"), (10**9, "jaccard")])
+def test_tiles_and_joins_find_the_same_rows(spark, monkeypatch, dense, measure):
+    for name, value in (("DENSE", dense), ("TILE_POSTINGS", 500), ("TILE_QUERIES", 7)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = random.Random(12)
+    texts = lambda n: [(i, "".join(rng.choice("abc0 ") for _ in range(rng.randint(1, 25)))) for i in range(n)]
+    rows, asked = texts(150) + [(None, "abcabc"), (500, None), (501, "abcabc"), (502, "abcabc")], texts(40) + [(90, "zzzz")]
+    found = retrieval.Retrieval(spark.createDataFrame(asked, "k long, t string"), spark.createDataFrame(rows, "k long, t string"), "k", "t", "k", "t", 4, 3, measure, retrieval.BUCKETS if measure == "cosine" else None)
+    assert found.needed.where("dense").isEmpty() == (dense == 0)
+    counts = lambda t: Counter(t[i : i + 3] for i in range(len(t) - 2))
+    want = []
+    for k, t in asked:
+        a, scored = counts(t), []
+        for j, u in rows:
+            b = counts(u or "")
+            common = sum(a[g] * b[g] for g in a) if measure == "cosine" else len(a.keys() & b.keys())
+            if common:
+                share = common / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())) if measure == "cosine" else common / len(a.keys() | b.keys())
+                scored.append((-round(share, 9), -1 if j is None else j, common))
+        want += [(k, j, common, -s) for s, j, common in sorted(scored)[:4]]
+    got = [(r["query"], -1 if r["key"] is None else r["key"], r["common"], r["score"]) for r in found.best().collect()]
+    assert sorted(got) == [pytest.approx(x, abs=2e-9) for x in sorted(want)] and len(want) > 120
+
+
+def test_frequent_ngrams_are_not_shuffled_for_each_pair(spark):
+    names = lambda kind, n: spark.range(n).select(F.col("id").alias("k"), F.format_string(kind + "#%09d", "id").alias("t"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return store.executorList(True).apply(0).totalShuffleWrite()
+
+    before = written()
+    found = retrieval.vector_context(names("Supplier", 100), names("Customer", 2000), "vectorsearch::5", "k", "k", ["t"]).collect()
+    assert len(found) == 500 and written() - before < 8_000_000
