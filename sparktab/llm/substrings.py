@@ -7,8 +7,8 @@ on the input and don't cross documents. Documents are dealt to shards by a hash
    equal windows have equal anchors at equal places. The shard sends its sorted distinct anchor hashes.
 2. The sorted lists of all shards, cut into ranges of hashes by binary search, are merged; anchors of one document go.
 3. Each shard finds its windows with a remaining anchor and sends them, neighbours of one anchor as one piece of text, each
-   distinct piece once.
-4. Pieces meet in content shards by anchor. A content shard sorts the suffixes of its distinct pieces (suffixes.py), takes
+   distinct piece once. Pieces of consecutive content shards travel as one parcel.
+4. Pieces meet in content shards by anchor, which a parcel's task takes one after the other. A content shard sorts the suffixes of its distinct pieces (suffixes.py), takes
    common prefixes, and so finds the runs of equal windows and each run's smallest doc_id; windows above it are removed.
 5. Each shard cuts its documents.
 
@@ -39,6 +39,9 @@ LENGTH, GRAM = 50, 24
 SHARD_BYTES, SLICE = 4_000_000, 300_000
 #: Content shards for each shard; their suffix arrays take about a hundred bytes a byte of text.
 BUCKETS = 8
+#: What a shard sends goes to PARCELS tasks or, with more shards, to one for every SHARDS_A_PARCEL of them, so that a shard's
+#: parcels don't become as many, and as small, as there are shards.
+PARCELS, SHARDS_A_PARCEL = 512, 4
 HOT_SHARDS = 1024
 _SPAN = LENGTH - GRAM + 1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -188,11 +191,17 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.table({"shard": table.column("shard"), "hashes": pa.array(out, pa.binary())}).filter(pa.array([bool(x) for x in out], pa.bool_()))
 
 
-_PIECES = "bucket int, shard int, text binary, sizes binary, holders binary"
+def parcels(shards: int) -> int:
+    """Tasks that what the shards send is dealt to, at most as many as content shards."""
+    return min(BUCKETS * shards, max(PARCELS, -(-shards // SHARDS_A_PARCEL)))
 
 
-def _pieces(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
-    """Step 3: (bucket, shard, text, sizes, holders): distinct pieces of the shard, and (piece, doc_id, row, start) of each."""
+_PIECES = "parcel int, shard int, text binary, sizes binary, holders binary"
+
+
+def _pieces(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Table, buckets: int, each: int) -> pa.Table:
+    """Step 3: (parcel, shard, text, sizes, holders): distinct pieces of the shard in the order of their content shards, each of
+    which make a parcel; sizes, then content shards; (piece, doc_id, row, start) of each holder."""
     docs = _in_order(docs)
     known = np.sort(np.concatenate([np.zeros(0, np.int64), *map(_unpack, shared.column("hashes").to_pylist())])).astype(np.uint64)
     plain = known >> np.uint64(1)
@@ -216,40 +225,37 @@ def _pieces(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Table, bucket
                     where.append(b if not hot else int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest()) * buckets >> 64)
                 holders.append((number, int(ids[at + t]), at + t, i))
     if not where:
-        return pa.table({"bucket": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "text": pa.array([], pa.binary()), "sizes": pa.array([], pa.binary()), "holders": pa.array([], pa.binary())})
+        return pa.table({"parcel": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "text": pa.array([], pa.binary()), "sizes": pa.array([], pa.binary()), "holders": pa.array([], pa.binary())})
     texts_, own = list(seen), np.array(where)
     sizes = np.array([len(x) for x in texts_], np.int32)
     order = np.argsort(own, kind="stable")
     place = np.empty(len(own), np.int64)
     held_ = np.array(holders, np.int64)
     held_ = held_[np.argsort(own[held_[:, 0]], kind="stable")]
-    starts, ends = _packets(own[order])
-    cuts = np.searchsorted(own[held_[:, 0]], own[order][starts], "left"), np.searchsorted(own[held_[:, 0]], own[order][starts], "right")
+    starts, ends = _packets(own[order] // each)
+    numbers = own[order][starts] // each
+    cuts = np.searchsorted(own[held_[:, 0]] // each, numbers, "left"), np.searchsorted(own[held_[:, 0]] // each, numbers, "right")
     rows = []
     for a, b, c, d in zip(starts, ends, *cuts, strict=True):
         some = order[a:b]
         place[some] = np.arange(len(some))
         part = held_[c:d].copy()
         part[:, 0] = place[part[:, 0]]
-        rows.append((int(own[some[0]]), key[0].as_py(), _squeeze(b"".join(texts_[i] for i in some)), _pack(sizes[some]), _pack(part.T.ravel())))
-    return pa.table({n: pa.array(c, k) for (n, k), c in zip((("bucket", pa.int32()), ("shard", pa.int32()), ("text", pa.binary()), ("sizes", pa.binary()), ("holders", pa.binary())), zip(*rows, strict=True), strict=True)})
+        rows.append((int(own[some[0]]) // each, key[0].as_py(), _squeeze(b"".join(texts_[i] for i in some)), _pack(np.concatenate([sizes[some], own[some]])), _pack(part.T.ravel())))
+    return pa.table({n: pa.array(c, k) for (n, k), c in zip((("parcel", pa.int32()), ("shard", pa.int32()), ("text", pa.binary()), ("sizes", pa.binary()), ("holders", pa.binary())), zip(*rows, strict=True), strict=True)})
 
 
-def repeated(texts: list[bytes], sizes: list[np.ndarray], least: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For pieces (as concatenations with sizes, and the smallest doc_id of each): smallest doc_id of every window, by list."""
+def repeated(pieces: list[bytes], least: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For pieces and the smallest doc_id of each: the number of each distinct piece, and by number the smallest doc_id of every
+    window."""
     numbers: dict[bytes, int] = {}
-    which, smallest = [], []
-    for text, own, low in zip(texts, sizes, least, strict=True):
-        ends = np.cumsum(own)
-        mine = np.empty(len(own), np.int64)
-        for i, (a, b, doc) in enumerate(zip((ends - own).tolist(), ends.tolist(), low.tolist(), strict=True)):
-            piece = text[a:b]
-            mine[i] = number = numbers.setdefault(piece, len(smallest))
-            if number == len(smallest):
-                smallest.append(doc)
-            elif doc < smallest[number]:
-                smallest[number] = doc
-        which.append(mine)
+    which, smallest = np.empty(len(pieces), np.int64), []
+    for i, (piece, doc) in enumerate(zip(pieces, least, strict=True)):
+        which[i] = number = numbers.setdefault(piece, len(smallest))
+        if number == len(smallest):
+            smallest.append(doc)
+        elif doc < smallest[number]:
+            smallest[number] = doc
     size = np.array([len(p) for p in numbers], np.int64)
     raw = np.frombuffer(b"".join(numbers), np.uint8)
     begin = np.cumsum(size) - size
@@ -267,32 +273,50 @@ def repeated(texts: list[bytes], sizes: list[np.ndarray], least: list[np.ndarray
 
 
 def _removals(table: pa.Table) -> pa.Table:
-    """Step 4: (shard, spans): (row, start, end) of bytes to remove, as the windows of one content shard tell."""
-    sizes = [_unpack(x) for x in table.column("sizes").to_pylist()]
-    holders = [np.ascontiguousarray(_unpack(x).reshape(4, -1).T) for x in table.column("holders").to_pylist()]
-    least = []
-    for own, held in zip(sizes, holders, strict=True):
-        low = np.full(len(own), 2**63 - 1, np.int64)
-        np.minimum.at(low, held[:, 0], held[:, 1])
-        least.append(low)
-    which, lows = repeated([_unsqueeze(x) for x in table.column("text").to_pylist()], sizes, least)
-    counts = np.array([len(x) for x in lows], np.int64)
-    flat = np.concatenate(lows)
-    begin = np.cumsum(counts) - counts
-    out = []
-    for mine, held in zip(which, holders, strict=True):
-        piece = mine[held[:, 0]]
-        n = counts[piece]
-        each = np.repeat(np.arange(len(held)), n)
+    """Step 4: (shard, spans): (row, start, end) of bytes to remove, as the windows of a parcel's content shards tell."""
+    table = table.sort_by("shard")
+    text = b"".join(map(_unsqueeze, table.column("text").to_pylist()))
+    lists = [_unpack(x).reshape(2, -1) for x in table.column("sizes").to_pylist()]
+    held = [np.ascontiguousarray(_unpack(x).reshape(4, -1).T) for x in table.column("holders").to_pylist()]
+    counts = np.array([x.shape[1] for x in lists], np.int64)
+    for x, before in zip(held, (np.cumsum(counts) - counts).tolist(), strict=True):
+        x[:, 0] += before
+    sender = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    sizes, bucket = np.concatenate(lists, 1)
+    holders = np.concatenate(held)
+    del lists, held
+    ends = np.cumsum(sizes)
+    least = np.full(len(sizes), 2**63 - 1, np.int64)
+    np.minimum.at(least, holders[:, 0], holders[:, 1])
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    by = np.argsort(bucket[holders[:, 0]], kind="stable")
+    holders, sender = holders[by], sender[by]
+    begun, over = _packets(bucket[order])
+    numbers = bucket[order][begun]
+    cuts = (np.searchsorted(bucket[holders[:, 0]], numbers, side) for side in ("left", "right"))
+    out = [np.zeros((0, 4), np.int64)]
+    for a, b, c, d in zip(begun.tolist(), over.tolist(), *cuts, strict=True):
+        some, mine = order[a:b], holders[c:d]
+        pieces = [text[x - n : x] for x, n in zip(ends[some].tolist(), sizes[some].tolist(), strict=True)]
+        which, lows = repeated(pieces, least[some].tolist())
+        windows = np.array([len(x) for x in lows], np.int64)
+        begin = np.cumsum(windows) - windows
+        piece = which[place[mine[:, 0]] - a]
+        n = windows[piece]
+        each = np.repeat(np.arange(len(mine)), n)
         offset = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-        gone = flat[np.repeat(begin[piece], n) + offset] < held[each, 1]
+        gone = np.concatenate(lows)[np.repeat(begin[piece], n) + offset] < mine[each, 1]
         each, offset = each[gone], offset[gone]
-        row, start = held[each, 2], held[each, 3] + offset
-        cut = np.concatenate([[True], (each[1:] != each[:-1]) | (offset[1:] != offset[:-1] + 1)])[: len(each)]
-        first = np.flatnonzero(cut)
-        last = np.concatenate([first[1:], [len(each)]])[: len(first)] - 1
-        out.append(_pack(np.concatenate([row[first], start[first], start[last] + LENGTH])) if len(each) else b"")
-    return pa.table({"shard": table.column("shard"), "spans": pa.array(out, pa.binary())}).filter(pa.array([bool(x) for x in out], pa.bool_()))
+        row, start = mine[each, 2], mine[each, 3] + offset
+        first, last = _packets(each * (1 << 40) + offset - np.arange(len(each)))  # steps of one within a holder
+        out.append(np.stack([sender[c:d][each[first]], row[first], start[first], start[last - 1] + LENGTH], 1))
+    spans = np.concatenate(out)
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    first, last = _packets(spans[:, 0])
+    shards = table.column("shard").to_numpy()[spans[first, 0]]
+    return pa.table({"shard": pa.array(shards, pa.int32()), "spans": pa.array([_pack(np.ascontiguousarray(spans[a:b, 1:].T).ravel()) for a, b in zip(first, last, strict=True)], pa.binary())})
 
 
 def _union(spans: np.ndarray) -> np.ndarray:
@@ -337,16 +361,18 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     shards = shards_for(docs, shard_bytes)
     dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("int"))
 
+    buckets, sent = BUCKETS * shards, parcels(shards)
+
     def offers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _offers(key, table, BUCKETS * shards)
+        return _offers(key, table, sent)
 
     def pieces(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        return _pieces(key, left, right, BUCKETS * shards)
+        return _pieces(key, left, right, buckets, -(-buckets // sent))
 
     offered = dealt.groupBy("shard").applyInArrow(offers, "bucket int, shard int, hashes binary")
     shared = offered.groupBy("bucket").applyInArrow(_merged, "shard int, hashes binary")
     found = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(pieces, _PIECES)
-    gone = found.groupBy("bucket").applyInArrow(_removals, "shard int, spans binary")
+    gone = found.groupBy("parcel").applyInArrow(_removals, "shard int, spans binary")
     return dealt.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
