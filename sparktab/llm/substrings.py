@@ -41,7 +41,7 @@ SHARD_BYTES, SLICE = 4_000_000, 300_000
 BUCKETS = 8
 #: What a shard sends goes to PARCELS tasks or, with more shards, to one for every SHARDS_A_PARCEL of them, so that a shard's
 #: parcels don't become as many, and as small, as there are shards.
-PARCELS, SHARDS_A_PARCEL = 512, 4
+PARCELS, SHARDS_A_PARCEL = 1024, 4
 HOT_SHARDS = 1024
 _SPAN = LENGTH - GRAM + 1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -274,7 +274,6 @@ def repeated(pieces: list[bytes], least: list[int]) -> tuple[np.ndarray, list[np
 
 def _removals(table: pa.Table) -> pa.Table:
     """Step 4: (shard, spans): (row, start, end) of bytes to remove, as the windows of a parcel's content shards tell."""
-    table = table.sort_by("shard")
     text = b"".join(map(_unsqueeze, table.column("text").to_pylist()))
     lists = [_unpack(x).reshape(2, -1) for x in table.column("sizes").to_pylist()]
     held = [np.ascontiguousarray(_unpack(x).reshape(4, -1).T) for x in table.column("holders").to_pylist()]
@@ -282,6 +281,8 @@ def _removals(table: pa.Table) -> pa.Table:
     for x, before in zip(held, (np.cumsum(counts) - counts).tolist(), strict=True):
         x[:, 0] += before
     sender = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    shards = table.column("shard").to_numpy()
+    del table
     sizes, bucket = np.concatenate(lists, 1)
     holders = np.concatenate(held)
     del lists, held
@@ -315,8 +316,7 @@ def _removals(table: pa.Table) -> pa.Table:
     spans = np.concatenate(out)
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     first, last = _packets(spans[:, 0])
-    shards = table.column("shard").to_numpy()[spans[first, 0]]
-    return pa.table({"shard": pa.array(shards, pa.int32()), "spans": pa.array([_pack(np.ascontiguousarray(spans[a:b, 1:].T).ravel()) for a, b in zip(first, last, strict=True)], pa.binary())})
+    return pa.table({"shard": pa.array(shards[spans[first, 0]], pa.int32()), "spans": pa.array([_pack(np.ascontiguousarray(spans[a:b, 1:].T).ravel()) for a, b in zip(first, last, strict=True)], pa.binary())})
 
 
 def _union(spans: np.ndarray) -> np.ndarray:

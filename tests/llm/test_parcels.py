@@ -43,4 +43,4 @@ def test_shards_do_not_send_as_many_parcels_as_there_are_content_shards(spark, t
 
 def test_parcels_grow_slower_than_content_shards():
     # at 6 GB 1,500 shards each had 12,000 of them
-    assert substrings.parcels(25) == 200 and substrings.parcels(1500) == 512 and substrings.parcels(7500) == 1875
+    assert substrings.parcels(25) == 200 and substrings.parcels(1500) == 1024 and substrings.parcels(7500) == 1875
